@@ -5,21 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointquarry.llm import linededup, simhash
+from pointquarry.llm import chat, license_scan, linededup, mixing, simhash
 from pointquarry.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("__words").alias("n_words"),
+        F.col("__base").alias("n_base"),
+        F.col("__first").alias("first_word"),
+        F.col("__last").alias("last_word"),
+        F.array_join("__base_labels", ",").alias("base_labels"),
+        F.array_join("__labels", ",").alias("labels"),
+        F.col("__score").alias("score"),
+    )
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), [3, 1, 2], epochs=1.5, most=2.0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=2, words_per_shingle=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marks)
+    out = chat.format_chats(turns).select("*", chat.parsed_turns(F.col("formatted")).alias("read"), chat.learnt_text(F.col("segments")).alias("learnt"))
+    digest = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10, min_docs=2)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_mixing": op2_mixing,
+    "op8_chat_format": op8_chat_format,
     "op3_simhash": op3_simhash,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -75,6 +75,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
@@ -88,7 +89,8 @@ def mix(
     The shards of a source number the square root of all documents, so a hot source is
     spread like the rest and no window holds more than such a part.
 
-    Returns the id, ``size``, ``source_size``, ``target`` and ``taken``.
+    Returns the id, ``size``, ``source_size``, ``target``, ``taken`` and the columns named in
+    ``carry``, which should be narrow.
 
     Null and empty texts have no words and nothing is taken of them. The ids may be null
     or repeat; equal ids and sizes are interchangeable. An empty table gives an empty
@@ -96,7 +98,7 @@ def mix(
     """
     src = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sizes = staged(docs.select(F.col(id_col).alias("id"), src.alias("src"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")), "mix")
+    sizes = staged(docs.select(F.col(id_col).alias("id"), src.alias("src"), word_count(F.col(text_col)).alias("size"), draw.alias("draw"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]), "mix")
     shards = max(1, math.isqrt(sizes.count()))
     spread = sizes.withColumn("shard", F.pmod(F.conv(F.substring("draw", 1, 12), 16, 10).cast("long"), F.lit(shards)))
     held = spread.groupBy("src", "shard").agg(F.sum("size").alias("held"))
@@ -111,4 +113,4 @@ def mix(
     rounds = F.when(F.col("held") > 0, F.floor(F.col("take") / F.col("held"))).otherwise(F.lit(0))
     rest = F.col("take") - rounds * F.col("held")
     part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), rest) - F.col("start"))
-    return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
+    return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +54,18 @@ def simhash(text: Column, words_per_shingle: int = 3, seed: int = 42) -> Column:
 def covering_masks(radius: int) -> list[int]:
     """Bit masks of which one at least misses all differences of any two close values.
 
-    Bit i gets the non-zero vector 1 + i mod (2**(radius+1) - 1) over the two-element
-    field; each non-zero vector v of as many coordinates gives the mask of bits whose
-    vectors have an odd product with v. At most ``radius`` vectors can't span the
-    space, so some v is orthogonal to the vectors of all differing bits, and both
-    values agree on its mask.
+    Each bit gets a non-zero vector of radius + 1 coordinates over the two-element field;
+    each non-zero vector v gives the mask of bits whose vectors have an odd product
+    with v. At most ``radius`` vectors can't span the space, so some v is orthogonal to
+    the vectors of all differing bits, and both values agree on its mask. The bits take
+    all vectors in turn; for radius 6, where there are more vectors than bits, those whose
+    first coordinate is one: then each mask has 32 bits, and one has all.
     """
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be 0 to 6")
     n = 2 ** (radius + 1) - 1
-    return [sum(1 << i for i in range(64) if (v & (1 + i % n)).bit_count() % 2) for v in range(1, n + 1)]
+    vectors = [1 + i % n for i in range(64)] if n <= 64 else [64 + i for i in range(64)]
+    return [sum(1 << i for i in range(64) if (v & vectors[i]).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def signed(x: int) -> int:
@@ -77,9 +82,10 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     triangle inequality; two within the radius share the centre half-way. A centre
     has at most 65 distinct fingerprints (for radius 2), and each is linked to the
     smallest, so the links grow with the fingerprints and none of them is lost.
+    Other radii have too many centres, or none half-way; ``bucket_links`` serves them.
     """
     if radius not in (0, 2):
-        raise ValueError("radius must be 0 or 2: centres half-way need an even one")
+        return bucket_links(prints, radius)
     masks = covering_masks(radius)
     rows = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("v"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("b")).select("fp", "b.*")
     shared = rows.groupBy("v", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where(F.col("lo") < F.col("hi")).select("v", "key")
@@ -90,11 +96,63 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return stars.select(F.array_min("fps").alias("dst"), F.explode("fps").alias("src")).where("src <> dst").distinct()
 
 
-def near_copies(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spanning(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Links that join the fingerprints of a bucket as all its pairs within the radius do:
+    one less than the members of each component. A fingerprint that was reached is compared
+    with those not reached yet, so a dense bucket takes few rounds."""
+    src, dst, left, queue = [], [], fps, np.zeros(0, np.uint64)
+    while len(left):
+        if not len(queue):
+            queue, left = left[:1], left[1:]
+        pivot, queue = queue[0], queue[1:]
+        near = np.bitwise_count(left ^ pivot) <= radius
+        found = left[near]
+        src += found.view(np.int64).tolist()
+        dst += [int(np.int64(pivot.view(np.int64)))] * len(found)
+        queue, left = np.concatenate([queue, found]), left[~near]
+    return src, dst
+
+
+def bucket_links(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) -> DataFrame:
+    """Links that join distinct fingerprints as all pairs within ``radius`` do.
+
+    The fingerprints are dealt to the buckets of all covering masks, ``rows_per_task`` in a task
+    or so. A task sorts its rows by bucket and links the members of each bucket that are within
+    the radius, by a spanning forest and never by all pairs.
+    """
+    masks = covering_masks(radius)
+    rows = prints.select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("v", "mask"))
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * len(masks) // rows_per_task))
+    dealt = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).repartition(tasks, "v", "key").select("v", "fp")
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("v").to_numpy(), b.column("fp").to_numpy().view(np.uint64)) for b in batches]
+        if not held:
+            return
+        v, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = fp & np.array(masks, np.uint64)[v]
+        order = np.lexsort((fp, key, v))
+        v, fp, key = v[order], fp[order], key[order]
+        starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (key[1:] != key[:-1])]))
+        sizes = np.diff(np.append(starts, len(v)))
+        two = starts[sizes == 2]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        src, dst = fp[two + 1].view(np.int64).tolist(), fp[two].view(np.int64).tolist()
+        for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            more = spanning(fp[a : a + n], radius)
+            src += more[0]
+            dst += more[1]
+        yield pa.RecordBatch.from_arrays([pa.array(dst, pa.int64()), pa.array(src, pa.int64())], ["dst", "src"])
+
+    return dealt.mapInArrow(of_task, "dst long, src long").distinct()
+
+
+def near_copies(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Groups of documents whose fingerprints link, directly or by others.
 
     Returns the id (as it is), ``fp`` (long), ``component_id`` (smallest id of the group)
-    and ``first_fp`` (smallest fingerprint among those rows that hold that id). Equal
+    and ``first_fp`` (smallest fingerprint among those rows that hold that id), and the
+    columns named in ``carry``, which should be narrow. Equal
     fingerprints are one vertex, so copies cost one row each. Fingerprints are written
     once to the shared folder, texts are never shuffled.
 
@@ -102,11 +160,11 @@ def near_copies(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, se
     in full stay repeated. Null ids come last: a group of only null ids has a null
     ``component_id``. An empty table gives an empty table.
     """
-    prints = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), words_per_shingle, seed).alias("fp")), "simhash")
+    prints = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), words_per_shingle, seed).alias("fp"), F.struct(*carry).alias("carry") if carry else F.lit(0).alias("carry")), "simhash")
     vertices = prints.groupBy("fp").agg(F.min("id").alias("first"))
     edges = staged(links(vertices.select("fp"), radius), "simhash-links")
     roots = components(edges)
     least = vertices.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = least.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))).alias("m"))
     groups = least.join(best, "root").select("fp", F.col("m.first").alias("component_id"), F.col("m.fp").alias("first_fp"))
-    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "first_fp")
+    return prints.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "first_fp", *[F.col("carry")[c].alias(c) for c in carry])

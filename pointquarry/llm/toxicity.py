@@ -213,6 +213,7 @@ def score_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    whole: bool = False,
 ) -> DataFrame:
     """Score each whole text by the labelled examples nearest to it.
 
@@ -229,7 +230,8 @@ def score_toxicity(
     Texts are read once for the sample and once for all features, which are written to the
     shared folder; documents are not shuffled. The id, source and language are no inputs.
 
-    Returns the id, ``held_out``, ``score`` and ``evidence`` (ids of the nearest examples).
+    Returns the id, ``held_out``, ``score`` and ``evidence`` (ids of the nearest examples); with
+    ``whole`` the columns of ``docs`` and ``__score``, row by row without a join.
 
     Null and empty texts have no features. Documents labelled several times have the
     rounded mean label; null labels are ignored. Without labels of both kinds the score is the share
@@ -241,7 +243,8 @@ def score_toxicity(
     n = rated.count()
     near_enough = F.pmod("draw", F.lit(1 << 32)) < int(min(1.0, 1.2 * max_examples / max(n, 1)) * (1 << 32))
     chosen = staged((rated.where(near_enough) if n > 2 * max_examples else rated).orderBy("draw", "id").limit(max_examples).select("id", "toxic"), "toxic-sample")
-    texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"))
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), *row)
     sample = texts.join(F.broadcast(chosen), "id").select("text", "toxic")
     features = learnt_features(staged(sample, "toxic-texts"), max_features, least_chi2)
     terms = staged(term_counts(texts, features, "text").drop("text"), "toxic-terms")
@@ -280,4 +283,6 @@ def score_toxicity(
             yield pa.array([of(tuple(i), tuple(t)) for i, t in zip(ids.to_pylist(), tf.to_pylist(), strict=True)], kind)
 
     out = terms.withColumn("s", score("__ids", "__tf"))
+    if whole:
+        return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("s.score").alias("__score"))
     return out.select(F.col("id").alias(id_col), "held_out", F.col("s.score").alias("score"), F.col("s.evidence").alias("evidence"))

@@ -1,32 +1,76 @@
-"""The corpus pipeline; its stages are registered as they are built."""
+"""The corpus pipeline: toxic documents go, then repeated lines, near copies and benchmark
+passages, and what stays is mixed by source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointquarry.llm import linededup, simhash
+from pointquarry.llm import decontam, linededup, mixing, simhash, toxicity
 from pointquarry.llm.common import scratch_path, table
 
+#: Toxicity from which a document goes.
+TOXIC = 0.7
+#: Weights of the sources in the order of code points, in turn, and the size of the mix.
+WEIGHTS, EPOCHS, MOST = [3, 1, 2], 1.5, 2.0
+#: Two-word shingles and 6 of 64 bits: pairs that share 0.8 of their five-word shingles are mostly this near.
+SHINGLE, RADIUS = 2, 6
+
+
+def with_text(docs: DataFrame, text: Column, changed: Column, columns: list[str]) -> DataFrame:
+    """The columns of documents, with another text and its length where it changed."""
+    new = docs.withColumns({"__changed": changed, "__text": text})
+    n_chars = F.when(F.col("__changed"), F.char_length("__text").cast("long")).otherwise(F.col("n_chars"))
+    return new.withColumns({"text": F.when(F.col("__changed"), F.col("__text")).otherwise(F.col("text")), "n_chars": n_chars}).select(*columns)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds what tells rows apart: the id (null last) and a hash of the text."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(linededup.LAST)), "__hash": F.xxhash64("text")})
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents scored as toxic go."""
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), whole=True)
+    return scored.where(F.col("__score") < TOXIC).select(*docs.columns)
+
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: repeated lines go from the texts; n_chars follows."""
     out = linededup.dedup_lines(docs)
-    text = F.when((F.col("__dropped") == 0), F.col("text")).otherwise(F.col("__kept"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("__dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+    return with_text(out, F.col("__kept"), F.col("__dropped") > 0, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near copies the document of the smallest id stays."""
-    groups = simhash.near_copies(docs)
-    stay = groups.where("doc_id <=> component_id and fp = first_fp").select("doc_id", "fp").distinct()
-    prints = docs.withColumn("__fp", simhash.simhash(F.col("text")))
-    return prints.join(stay, prints.doc_id.eqNullSafe(stay.doc_id) & (prints["__fp"] == stay.fp), "left_semi").dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    groups = simhash.near_copies(keyed(docs).select("__id", "__hash", "text"), RADIUS, SHINGLE, id_col="__id", carry=("__hash",))
+    stay = groups.where("__id = component_id and fp = first_fp").groupBy("component_id").agg(F.min("__hash").alias("__hash")).withColumnRenamed("component_id", "__id")
+    return keyed(docs).join(stay, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: benchmark passages go from the texts, and documents that were nothing else."""
+    out = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    left = out.where((F.col("__hit") == 0) | (F.col("__hit") < F.col("__words")))
+    return with_text(left, F.col("__clean"), F.col("__hit") > 0, docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the documents that the mix takes, with ``taken``, the words it takes of each
+    (whole texts first, again from the start, and a part at last). Rows repeated in full
+    are one document here."""
+    parts = mixing.mix(keyed(docs).select("__id", "__hash", "text", "source"), WEIGHTS, EPOCHS, MOST, id_col="__id", carry=("__hash",))
+    taken = parts.groupBy("__id", "__hash").agg(F.sum("size").alias("__size"), F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.sum("taken").alias("__taken"))
+    both = keyed(docs).join(taken.where(F.col("__taken") > 0), ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
+    return both.select(*docs.columns, *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
 ]
 
 #: No SQL expresses the stages.

@@ -1,6 +1,8 @@
-"""Registered point-cloud queries and the SQL that checks them."""
+"""All point-cloud queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pointquarry.plans import measures, profiles, shades, transfers, trees
+from pointquarry.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "measures", "profiles", "shades", "transfers", "trees"]

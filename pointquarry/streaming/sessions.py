@@ -28,12 +28,12 @@ def answers_of(events: pd.DataFrame, is_open: bool) -> tuple[pd.DataFrame, bool]
     return events.assign(answer=answer)[asked][["event_id", "sid", "t_ms", "answer"]], bool(active[-1]) if len(active) else is_open
 
 
-def answered(requests: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def answered(requests: DataFrame, idle_ms: int | None = 3_600_000) -> DataFrame:
     """Answers of a stream of requests (event_id, sid, t_ms, dur_ms, outcome).
 
     A session's state is whether it is open. A session without events for ``idle_ms`` is
     forgotten, which closes it: a late request then gets ``inactive`` and does not open it
-    again. A request that comes twice is answered once.
+    again; with none, sessions are kept, as fits a bounded run. A request that comes twice is answered once.
     """
 
     def of_session(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,18 +43,19 @@ def answered(requests: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         is_open = bool(state.exists and state.get[0])
         out, is_open = answers_of(pd.concat(list(parts)), is_open)
         state.update((is_open,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
     once = requests.dropDuplicates(["event_id"])
-    return once.groupBy("sid").applyInPandasWithState(of_session, ANSWER_SCHEMA, "is_open boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return once.groupBy("sid").applyInPandasWithState(of_session, ANSWER_SCHEMA, "is_open boolean", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def answer_all(requests: DataFrame) -> DataFrame:
     """Run the stream over all that is there and return what was written."""
     spark = requests.sparkSession
     out, marks = shared_path(spark, "answers"), shared_path(spark, "answers-checkpoint")
-    run = answered(requests).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
+    run = answered(requests, None).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(ANSWER_SCHEMA).parquet(out)
 

@@ -37,6 +37,18 @@ def wrapped_longitude(lon: Column) -> Column:
     return F.pmod(F.pmod(lon + 180, F.lit(360.0)) + 360, F.lit(360.0)) - 180
 
 
+def geodetic_latitude(conformal: Column) -> Column:
+    """The latitude of a conformal one, both in radians, by a series."""
+    n = FLATTENING / (2 - FLATTENING)
+    series = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    )
+    return sum((F.lit(d) * F.sin(2 * k * conformal) for k, d in enumerate(series, 1)), conformal)
+
+
 @dataclass(frozen=True)
 class TransverseMercator:
     """Series of the ellipsoidal transverse Mercator projection (UTM with its defaults)."""
@@ -80,19 +92,12 @@ class TransverseMercator:
             17 * n**3 / 480 - 37 * n**4 / 840,
             4397 * n**4 / 161280,
         )
-        lat = (
-            2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
-            7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
-            56 * n**3 / 15 - 136 * n**4 / 35,
-            4279 * n**4 / 630,
-        )
         r = self.scale * self._radius
         xi, eta = (y - self.y0) / r, (x - self.x0) / r
         xi1 = sum((F.lit(-b) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(back, 1)), xi)
         eta1 = sum((F.lit(-b) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(back, 1)), eta)
         chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-        phi = sum((F.lit(d) * F.sin(2 * k * chi) for k, d in enumerate(lat, 1)), chi)
-        return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + self.lon0, F.degrees(phi)
+        return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + self.lon0, F.degrees(geodetic_latitude(chi))
 
 
 def utm(zone: int, south: bool = False) -> TransverseMercator:
@@ -130,13 +135,10 @@ class ConformalConic:
 
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         n, af, rho0 = self._constants()
-        e, sign = math.sqrt(E2), math.copysign(1.0, n)
+        sign = math.copysign(1.0, n)
         dx, dy = x * self.to_meter - self.x0, F.lit(rho0) - (y * self.to_meter - self.y0)
         t = F.pow(F.sqrt(dx * dx + dy * dy) / abs(af), F.lit(1 / abs(n)))
-        p = F.lit(math.pi / 2) - 2 * F.atan(t)
-        for _ in range(6):
-            es = F.lit(e) * F.sin(p)
-            p = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - es) / (1 + es), F.lit(e / 2)))
+        p = geodetic_latitude(F.lit(math.pi / 2) - 2 * F.atan(t))
         return F.degrees(F.atan2(sign * dx, sign * dy) / n) + self.lon0, F.degrees(p)
 
 

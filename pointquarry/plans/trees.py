@@ -105,7 +105,7 @@ def pick_attributes(spark, sf):
     features = NN.feature_ids(C.keyed_points(spark, sf), KEYS)
     asked = C.nodes(spark, sf).select("node_key", F.explode(F.array(F.lit(0), F.lit(3))).alias("feature_id"))
     got = NN.picked(features, asked, ["classification", "intensity"])
-    return got.select("node_key", "feature_id", *[F.col("attributes")[a].alias(a) for a in ("classification", "intensity")])
+    return got.select("node_key", F.col("feature_id").cast("long").alias("feature_id"), *[F.col("attributes")[a].alias(a) for a in ("classification", "intensity")])
 
 
 @query("points", "SELECT pulse_id, " + ", ".join(f"round(sum({e}), 2) AS {a}" for a, e in zip(("ex", "ey", "ez"), A, strict=True)) + " FROM fx_points WHERE x IS NOT NULL GROUP BY pulse_id")
@@ -264,10 +264,11 @@ def projections_round_trip(spark, sf):
     lon, lat = G.utm(10).inverse(F.col("e"), F.col("n"))
     p = p.withColumns({"lon": lon, "lat": lat})
     good = F.lit(True)
-    for proj in (G.utm(10), G.ConformalConic(43.0, 45.5, 41.75, -120.5, 400000.0, 0.0, 0.3048), G.WebMercator(), G.LongLat()):
-        x, y = proj.forward(F.col("lon"), F.col("lat"))
-        lon1, lat1 = proj.inverse(x, y)
-        good = good & (F.abs(lon1 - F.col("lon")) < 1e-10) & (F.abs(lat1 - F.col("lat")) < 1e-10)
+    for i, proj in enumerate((G.utm(10), G.ConformalConic(43.0, 45.5, 41.75, -120.5, 400000.0, 0.0, 0.3048), G.WebMercator(), G.LongLat())):
+        # Each step is a column of its own, so that no expression is built twice.
+        p = p.withColumns(dict(zip((f"x{i}", f"y{i}"), proj.forward(F.col("lon"), F.col("lat")), strict=True)))
+        p = p.withColumns(dict(zip((f"lon{i}", f"lat{i}"), proj.inverse(F.col(f"x{i}"), F.col(f"y{i}")), strict=True)))
+        good = good & (F.abs(F.col(f"lon{i}") - F.col("lon")) < 1e-10) & (F.abs(F.col(f"lat{i}") - F.col("lat")) < 1e-10)
     return p.withColumn("good", good).groupBy("classification").agg(F.count("*").alias("n"), F.min("good").alias("exact"))
 
 

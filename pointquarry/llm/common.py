@@ -25,6 +25,11 @@ def word_array(text: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` without columns whose names begin with two underscores: those are the operators' own."""
+    return docs.drop(*[c for c in docs.columns if c.startswith("__")])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by whatever store Spark can read it from."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointquarry.llm.common import LOWER, UPPER, staged
+from pointquarry.llm.common import LOWER, UPPER, plain, staged
 from pointquarry.llm.fmindex import FMIndex
 
 #: Bytes of words stay, A-Z lower-cased; all others become blanks. UTF-8 beyond ASCII is words.
@@ -176,8 +176,10 @@ def find_leaks(
     in spans) and with ``clean`` also ``__clean`` (the text without the spans, null without any).
 
     Null and empty texts have no words and no hits; items without words have no windows.
-    Rows are independent and may repeat. Empty tables of either kind give no hits.
+    Rows are independent and may repeat. Empty tables of either kind give no hits. Columns of
+    ``docs`` that begin with two underscores are left out.
     """
+    docs = plain(docs)
     ids = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
     bench = benchmark.select(ids.alias("item"), F.col(item_text).alias("text"))
     total = bench.agg(F.sum(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0

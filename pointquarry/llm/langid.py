@@ -20,14 +20,22 @@ BITS = 14
 LETTER_BYTES = bytes(ord(chr(b).lower()) if chr(b) in UPPER else b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
+#: Bytes of a text whose n-grams are counted at once, up to the next blank.
+PIECE = 1 << 20
+
+
 def ngram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashed sequences of three bytes within and at the edges of words, and their counts."""
-    words = b" ".join([b"", *text.translate(LETTER_BYTES).split(), b""])
-    b = np.frombuffer(words, np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - BITS)
-    counts = np.bincount(grams, minlength=1 << BITS)
+    counts, begin = np.zeros(1 << BITS, np.int64), 0
+    letters = text.translate(LETTER_BYTES)
+    while begin < len(letters):
+        end = letters.find(b" ", begin + PIECE)
+        end = len(letters) if end < 0 else end
+        words = b" ".join([b"", *letters[begin:end].split(), b""])
+        begin = end
+        b = np.frombuffer(words, np.uint8).astype(np.uint32)
+        if len(b) >= 3:
+            counts += np.bincount((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - BITS), minlength=1 << BITS)
     at = np.flatnonzero(counts)
     return at, counts[at]
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointquarry.llm.common import word_array
+from pointquarry.llm.common import plain, word_array
 
 
 @dataclass(frozen=True)
@@ -85,9 +85,10 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, rare_wor
     (the best template's, 0 without one).
 
     Null and empty texts have no words and no labels. A text of any length is one row. Rows
-    are independent: repeated ones give repeated results, an empty table gives an empty one.
+    are independent: repeated ones give repeated results, an empty table gives an empty one. Columns of
+    ``docs`` that begin with two underscores are left out.
     """
-    notices = NOTICES if notices is None else notices
+    notices, docs = NOTICES if notices is None else notices, plain(docs)
     known = sorted({w for t in notices for w in t.words})
     df = document_frequencies(docs, known, text_col)
     idf = {w: math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) + 1 for w in known}

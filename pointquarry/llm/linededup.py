@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointquarry.llm.common import BLANKS, LOWER, UPPER
+from pointquarry.llm.common import BLANKS, LOWER, UPPER, plain
 
 #: The place of a null id in the order of ids: after all others.
 LAST = 2**63 - 1
@@ -31,8 +31,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
 
     A null or empty text is one empty line. Rows of one id are one document; a row
     repeated in full is treated alike each time. Null ids are one document after all
-    others. An empty table gives an empty table. Other columns pass through.
+    others. An empty table gives an empty table. Other columns pass through, but for those that
+    begin with two underscores.
     """
+    docs = plain(docs)
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),

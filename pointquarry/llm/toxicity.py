@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointquarry.llm.common import staged
+from pointquarry.llm.common import plain, staged
 from pointquarry.llm.decontam import words_of
 
 #: Beginnings of words that count as features, in bytes, where the word goes on.
@@ -235,7 +235,8 @@ def score_toxicity(
 
     Null and empty texts have no features. Documents labelled several times have the
     rounded mean label; null labels are ignored. Without labels of both kinds the score is the share
-    of toxic ones, or 0. Rows are independent and may repeat; an empty table gives an empty one.
+    of toxic ones, or 0. Rows are independent and may repeat; an empty table gives an empty one. Columns of
+    ``docs`` that begin with two underscores are left out.
     """
     key = F.col(id_col)
     rated = labels.where(F.col(label_col).isNotNull() & key.isNotNull() & ~held_out(id_col)).groupBy(key.alias("id")).agg(F.round(F.avg(label_col)).cast("int").alias("toxic"))
@@ -243,6 +244,7 @@ def score_toxicity(
     n = rated.count()
     near_enough = F.pmod("draw", F.lit(1 << 32)) < int(min(1.0, 1.2 * max_examples / max(n, 1)) * (1 << 32))
     chosen = staged((rated.where(near_enough) if n > 2 * max_examples else rated).orderBy("draw", "id").limit(max_examples).select("id", "toxic"), "toxic-sample")
+    docs = plain(docs)
     row = [F.struct(*docs.columns).alias("row")] if whole else []
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), *row)
     sample = texts.join(F.broadcast(chosen), "id").select("text", "toxic")
@@ -255,8 +257,8 @@ def score_toxicity(
     same = terms.join(F.broadcast(chosen), "id").groupBy("__ids", "__tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"), F.min("id").alias("first")).orderBy("first").collect()
     full = [r for r in same if r["__ids"]]
     bare = [r for r in same if not r["__ids"]]
-    plain = (sum(r["bad"] for r in bare) + 0.5 * bool(full)) / (sum(r["n"] for r in bare) + 1.0) if bare or full else 0.0
-    e = Examples([weighed(r["__ids"], r["__tf"], idf) for r in full], np.array([r["n"] for r in full], float), np.array([r["bad"] for r in full], float), np.array([r["first"] for r in full], object), idf, plain)
+    unknown = (sum(r["bad"] for r in bare) + 0.5 * bool(full)) / (sum(r["n"] for r in bare) + 1.0) if bare or full else 0.0
+    e = Examples([weighed(r["__ids"], r["__tf"], idf) for r in full], np.array([r["n"] for r in full], float), np.array([r["bad"] for r in full], float), np.array([r["first"] for r in full], object), idf, unknown)
     index = BlockMaxIndex(e.vectors, len(features))
     if full:
         calibrate(e, index, neighbours)

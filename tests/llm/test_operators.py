@@ -417,6 +417,17 @@ def test_empty_documents_table(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = [(1, "under the mit license", 1, 2, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __words int, __hit int, id string, row int")
+    items = spark.createDataFrame([(1, "mit license")], "item_id long, text string")
+    assert license_scan.scan_licenses(docs).first()["__words"] == 4
+    assert linededup.dedup_lines(docs).columns == ["doc_id", "text", "id", "row", "__lines", "__dropped", "__kept"]
+    assert decontam.find_leaks(docs, items).first()["__hit"] == 2
+    assert mixing.mix(docs.withColumn("source", docs.text), [1]).first()["size"] == 4
+    assert simhash.near_copies(docs).first().component_id == 1
+
+
 def test_null_and_repeated_documents(spark):
     rows = [(1, "a b c d", "en", "s", 7)] * 3 + [(None, None, None, None, None), (2, "", None, None, 0), (None, "a b c d", None, None, 7)]
     docs = spark.createDataFrame(rows, DOCS)

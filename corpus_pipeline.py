@@ -1,5 +1,8 @@
 """The corpus pipeline: toxic documents go, then repeated lines, near copies and benchmark
-passages, and what stays is mixed by source."""
+passages, and what stays is mixed by source.
+
+Columns of documents that begin with two underscores are the operators' own: stages leave them out.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointquarry.llm import decontam, linededup, mixing, simhash, toxicity
-from pointquarry.llm.common import scratch_path, table
+from pointquarry.llm.common import plain, scratch_path, table
 
 #: Toxicity from which a document goes.
 TOXIC = 0.7
@@ -26,11 +29,12 @@ def with_text(docs: DataFrame, text: Column, changed: Column, columns: list[str]
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds what tells rows apart: the id (null last) and a hash of the text."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(linededup.LAST)), "__hash": F.xxhash64("text")})
+    return plain(docs).withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(linededup.LAST)), "__hash": F.xxhash64("text")})
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents scored as toxic go."""
+    docs = plain(docs)
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), whole=True)
     return scored.where(F.col("__score") < TOXIC).select(*docs.columns)
 
@@ -38,21 +42,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: repeated lines go from the texts; n_chars follows."""
     out = linededup.dedup_lines(docs)
-    return with_text(out, F.col("__kept"), F.col("__dropped") > 0, docs.columns)
+    return with_text(out, F.col("__kept"), F.col("__dropped") > 0, plain(docs).columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near copies the document of the smallest id stays."""
     groups = simhash.near_copies(keyed(docs).select("__id", "__hash", "text"), RADIUS, SHINGLE, id_col="__id", carry=("__hash",))
     stay = groups.where("__id = component_id and fp = first_fp").groupBy("component_id").agg(F.min("__hash").alias("__hash")).withColumnRenamed("component_id", "__id")
-    return keyed(docs).join(stay, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return keyed(docs).join(stay, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*plain(docs).columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: benchmark passages go from the texts, and documents that were nothing else."""
     out = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     left = out.where((F.col("__hit") == 0) | (F.col("__hit") < F.col("__words")))
-    return with_text(left, F.col("__clean"), F.col("__hit") > 0, docs.columns)
+    return with_text(left, F.col("__clean"), F.col("__hit") > 0, plain(docs).columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +66,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     parts = mixing.mix(keyed(docs).select("__id", "__hash", "text", "source"), WEIGHTS, EPOCHS, MOST, id_col="__id", carry=("__hash",))
     taken = parts.groupBy("__id", "__hash").agg(F.sum("size").alias("__size"), F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.sum("taken").alias("__taken"))
     both = keyed(docs).join(taken.where(F.col("__taken") > 0), ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
-    return both.select(*docs.columns, *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+    own = ("size", "source_size", "target", "taken")
+    return both.select(*[c for c in plain(docs).columns if c not in own], *[F.col(f"__{c}").alias(c) for c in own])
 
 
 STAGES = [

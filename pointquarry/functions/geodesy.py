@@ -168,3 +168,22 @@ def checked_position(lon: Column, lat: Column) -> Column:
     """True, or an error where a position is not finite or out of range."""
     good = lon.between(-180, 180) & lat.between(-90, 90) & ~F.isnan(lon) & ~F.isnan(lat)
     return F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("position out of range: "), lon.cast("string"), F.lit(", "), lat.cast("string"))).cast("boolean"))
+
+
+def axis_validity(low: list[Column], high: list[Column]) -> Column:
+    """Which axes of header bounds can be used (finite, not inverted) and which have a span:
+    flat ones both, heights of their own; one flat axis with a span is enough."""
+    finite = [~F.isnan(v) & (F.abs(v) < float("inf")) for v in (*low, *high)]
+    usable = [finite[i] & finite[i + 3] & (high[i] >= low[i]) for i in range(3)]
+    flat, heights = usable[0] & usable[1], usable[2]
+    return F.struct(
+        flat.alias("xy_usable"),
+        (flat & ((high[0] > low[0]) | (high[1] > low[1]))).alias("xy_has_span"),
+        heights.alias("z_usable"),
+        (heights & (high[2] > low[2])).alias("z_has_span"),
+    )
+
+
+def from_scaled(value: Column, scale: float, offset: float) -> Column:
+    """A coordinate of its stored whole number."""
+    return value * F.lit(scale) + F.lit(offset)

@@ -93,3 +93,50 @@ def latest_only(df: DataFrame, by: list[str], token: str) -> DataFrame:
     """Rows of the largest token of their group: late answers to older clicks go."""
     top = df.groupBy(*by).agg(F.max(token).alias("__top"))
     return df.join(top, by).where(F.col(token) == F.col("__top")).drop("__top")
+
+
+def mean_difference(a: DataFrame, b: DataFrame, place: str, value: str) -> DataFrame:
+    """Mean absolute difference of two series over their common places; null without any."""
+    both = a.select(place, F.col(value).alias("a")).join(b.select(place, F.col(value).alias("b")), place)
+    return both.agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("difference"))
+
+
+def lit_pixels(pixels: DataFrame, width: int, height: int, dark: float = 10) -> DataFrame:
+    """Centre, bounds and share of the pixels that are brighter than ``dark``, in parts of the picture."""
+    lit = pixels.where(F.greatest("red", "green", "blue") > dark)
+    parts = [f(F.col(c)) / s for c, s in (("px", width), ("py", height)) for f in (F.avg, F.min, F.max)]
+    names = [f"{f}_{c}" for c in ("x", "y") for f in ("mean", "min", "max")]
+    return lit.agg(*[p.alias(n) for p, n in zip(parts, names, strict=True)], (F.count("*") / (width * height)).alias("coverage"))
+
+
+def variant_costs(passes: DataFrame, points: float) -> DataFrame:
+    """What reading costs by variant (none, xyz, all), in ms per million points, from medians per variant."""
+    per = lambda c: c / points * 1e6
+    wide = passes.groupBy().pivot("variant", ["none", "xyz", "all"]).agg(F.max("median"))
+    return wide.select(per(F.col("none")).alias("decompress"), per(F.col("xyz") - F.col("none")).alias("positions"), per(F.col("all") - F.col("none")).alias("all_dimensions"), (F.col("none") / F.col("xyz")).alias("share"))
+
+
+def bytes_by_pattern(sent: DataFrame, finished: DataFrame, key: list[str], pattern: str) -> DataFrame:
+    """Requests whose URL matches, and the bytes of those of them that finished."""
+    asked = sent.where(F.col("url").rlike(pattern)).select(*key).distinct()
+    done = finished.groupBy(*key).agg(F.sum("bytes").alias("bytes"))
+    return asked.join(done, key, "left").agg(F.count("*").alias("requests"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def staleness(logs: DataFrame, least: float) -> DataFrame:
+    """Adds what a log line says is shown, its ratio to what is there, and whether that is enough without failures."""
+    shown = F.regexp_extract("line", r"shown=(\d+)", 1).cast("double")
+    ratio = F.when(F.col("actual") > 0, shown / F.col("actual"))
+    return logs.withColumns({"shown": shown, "ratio": ratio}).withColumn("fresh", F.coalesce((F.col("ratio") >= least) & (F.col("failed") == 0), F.lit(False)))
+
+
+def frame_rate(frames: DataFrame, t_ms: str, by: list[str]) -> DataFrame:
+    """Whole frames per second of each series; null without a duration."""
+    span = F.max(t_ms) - F.min(t_ms)
+    return frames.groupBy(*by).agg(F.floor(F.when(span > 0, (F.count("*") - 1) * 1000 / span) + 0.5).alias("fps"))
+
+
+def suite_summary(checks: DataFrame) -> DataFrame:
+    """Checks, failures and passes of each suite."""
+    failed = F.sum(F.when(F.col("failed"), 1).otherwise(0)).cast("long")
+    return checks.groupBy("suite").agg(F.count("*").alias("total"), failed.alias("failures")).withColumn("passes", F.col("total") - F.col("failures"))

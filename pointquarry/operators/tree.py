@@ -128,3 +128,15 @@ def reachable(nodes: DataFrame, root: str = "0-0-0-0", max_depth: int = 32) -> D
         level = rows.where(F.col("d") == d).join(level.select(F.col("node_key").alias("up")), "up", "left_semi").select("node_key", "d")
         found = found.unionByName(level)
     return found
+
+
+def bounded_rects(cubes: DataFrame, header: dict[str, float], angular: bool) -> DataFrame:
+    """The rectangle of each node: its cube's, or for coordinates in degrees the part within the
+    header's bounds (all of these where they do not meet)."""
+    sides = {a: (F.col(f"min_{a}"), F.col(f"min_{a}") + F.col("side")) for a in "xy"}
+    if not angular:
+        return cubes.select("node_key", *[c for a, (lo, hi) in sides.items() for c in (lo.alias(f"min_{a}"), hi.alias(f"max_{a}"))])
+    low = {a: F.greatest(lo, F.lit(header[f"min_{a}"])) for a, (lo, _) in sides.items()}
+    high = {a: F.least(hi, F.lit(header[f"max_{a}"])) for a, (_, hi) in sides.items()}
+    meet = (high["x"] >= low["x"]) & (high["y"] >= low["y"])
+    return cubes.select("node_key", *[c for a in "xy" for c in (F.when(meet, low[a]).otherwise(header[f"min_{a}"]).alias(f"min_{a}"), F.when(meet, high[a]).otherwise(header[f"max_{a}"]).alias(f"max_{a}"))])

@@ -246,3 +246,58 @@ def budget_regression(spark, sf):
     wide = r.groupBy("ds").pivot("cap", ["uncapped", "capped"]).count().na.fill(0)
     ok = (F.col("uncapped") <= 100 * 1.05) | (F.abs(F.col("capped") - F.col("uncapped")) / F.col("uncapped") <= 0.05)
     return wide.withColumn("pass", ok)
+
+
+@query("requests", "WITH a AS (SELECT event_id // 2 AS p, dur_ms AS v FROM fx_requests WHERE event_id % 2 = 0), b AS (SELECT event_id // 2 AS p, dur_ms AS v FROM fx_requests WHERE event_id % 2 = 1) SELECT round(avg(abs(a.v - b.v)), 6) AS difference FROM a JOIN b USING (p)")
+def mean_abs_diff(spark, sf):
+    """How far even and odd requests differ on average."""
+    r = C.requests(spark, sf).withColumn("p", F.floor(F.col("event_id") / 2))
+    out = SE.mean_difference(r.where("event_id % 2 = 0"), r.where("event_id % 2 = 1"), "p", "dur_ms")
+    return out.select(F.round("difference", 6).alias("difference"))
+
+
+@query("points", """
+WITH l AS (SELECT (pulse_id % 640)::INT AS px, (point_source_id % 480)::INT AS py FROM fx_points WHERE greatest(red % 256, green % 256, blue % 256) > 10)
+SELECT round(avg(px) / 640, 9) AS mean_x, min(px) / 640.0::DOUBLE AS min_x, max(px) / 640.0::DOUBLE AS max_x, round(avg(py) / 480, 9) AS mean_y, min(py) / 480.0::DOUBLE AS min_y, max(py) / 480.0::DOUBLE AS max_y, count(*) / 307200.0::DOUBLE AS coverage FROM l
+""")
+def pixel_summary(spark, sf):
+    """Where the bright ones of all points lie on a picture."""
+    p = C.points(spark, sf).select((F.col("pulse_id") % 640).cast("int").alias("px"), (F.col("point_source_id") % 480).cast("int").alias("py"), *[(F.col(c) % 256).alias(c) for c in ("red", "green", "blue")])
+    out = SE.lit_pixels(p, 640, 480)
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_x", "mean_y")})
+
+
+@query("requests", f"WITH s AS (SELECT CASE k % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'xyz' ELSE 'all' END AS variant, list_sort(list(dur_ms)) AS v FROM fx_requests WHERE k IS NOT NULL GROUP BY 1), m AS (SELECT variant, {at('v', '0.5')} AS med FROM s), w AS (SELECT max(med) FILTER (variant = 'none') AS n, max(med) FILTER (variant = 'xyz') AS x, max(med) FILTER (variant = 'all') AS a FROM m) SELECT round(n / 5e5 * 1e6, 6) AS decompress, round((x - n) / 5e5 * 1e6, 6) AS positions, round((a - n) / 5e5 * 1e6, 6) AS all_dimensions, round(n / x, 9) AS share FROM w")
+def decode_costs(spark, sf):
+    """The cost of decompression, of positions and of all dimensions."""
+    r = C.requests(spark, sf).where("k is not null").withColumn("variant", F.get(F.array(*map(F.lit, ("none", "xyz", "all"))), F.col("k") % 3))
+    out = SE.variant_costs(O.upper_median(r, "dur_ms", ["variant"]), 5e5)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("decompress", "positions", "all_dimensions")], F.round("share", 9).alias("share"))
+
+
+@query("requests", "WITH a AS (SELECT DISTINCT sid, k FROM fx_requests WHERE outcome = 'click' AND k IS NOT NULL AND k % 10 = 3), f AS (SELECT sid, k, sum(dur_ms) AS b FROM fx_requests WHERE outcome = 'view' AND k IS NOT NULL GROUP BY 1, 2) SELECT count(*) AS requests, round(coalesce(sum(b), 0), 3) AS bytes FROM a LEFT JOIN f USING (sid, k)")
+def bytes_by_url(spark, sf):
+    """Requests to URLs of a pattern and what they brought."""
+    r = C.requests(spark, sf).where("k is not null").withColumns({"url": F.concat(F.lit("http://h/"), F.col("k").cast("string")), "bytes": F.col("dur_ms")})
+    out = SE.bytes_by_pattern(r.where("outcome = 'click'"), r.where("outcome = 'view'"), ["sid", "k"], "/[0-9]*3$")
+    return out.withColumn("bytes", F.round("bytes", 3))
+
+
+@query("requests", "SELECT event_id, k::DOUBLE AS shown, round(k / 50.0::DOUBLE, 9) AS ratio, k / 50.0::DOUBLE >= 0.9 AND sid % 2 = 0 AS fresh FROM fx_requests WHERE k IS NOT NULL")
+def staleness(spark, sf):
+    """Whether what a log line says is shown is nearly all that is there."""
+    r = C.requests(spark, sf).where("k is not null").select("event_id", F.concat(F.lit("tiles shown="), F.col("k").cast("string"), F.lit(" ok")).alias("line"), F.lit(50.0).alias("actual"), (F.col("sid") % 2).alias("failed"))
+    return SE.staleness(r, 0.9).select("event_id", "shown", F.round("ratio", 9).alias("ratio"), "fresh")
+
+
+@query("requests", "SELECT sid % 7 AS g, floor(CASE WHEN max(t_ms) > min(t_ms) THEN (count(*) - 1) * 1000 * 1e6 / (max(t_ms) - min(t_ms)) END + 0.5)::BIGINT AS fps FROM fx_requests GROUP BY 1")
+def frame_rate(spark, sf):
+    """Frames per second, with time a million times as fast."""
+    r = C.requests(spark, sf).select((F.col("sid") % 7).alias("g"), (F.col("t_ms") / 1e6).alias("t"))
+    return SE.frame_rate(r, "t", ["g"])
+
+
+@query("requests", "SELECT concat('s', k % 4) AS suite, count(*) AS total, count(*) FILTER (outcome = 'error') AS failures, count(*) FILTER (outcome <> 'error') AS passes FROM fx_requests WHERE k IS NOT NULL GROUP BY 1")
+def suite_summary(spark, sf):
+    r = C.requests(spark, sf).where("k is not null")
+    return SE.suite_summary(r.select(F.concat(F.lit("s"), (F.col("k") % 4).cast("string")).alias("suite"), (F.col("outcome") == "error").alias("failed")))

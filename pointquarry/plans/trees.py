@@ -322,3 +322,61 @@ def component_wrap(spark, sf):
     """Values as unsigned bytes hold them, and how many exceed an unsigned short."""
     p = C.points(spark, sf)
     return p.groupBy("classification").agg(F.sum(N.wrapped(F.floor("x"), "UNSIGNED_BYTE")).alias("bytes_sum"), F.sum(F.when(~N.fits(F.col("x"), "UNSIGNED_SHORT"), 1).otherwise(0)).cast("long").alias("out_of_short"))
+
+
+@query("nodes", """
+WITH b AS (SELECT node_key, kx * (131072 / power(2, d)) AS x0, ky * (131072 / power(2, d)) AS y0, 131072 / power(2, d) AS s FROM fx_nodes),
+c AS (SELECT node_key, greatest(x0, 20000) AS lx, least(x0 + s, 90000) AS hx, greatest(y0, 10000) AS ly, least(y0 + s, 80000) AS hy FROM b)
+SELECT node_key, CASE WHEN hx >= lx AND hy >= ly THEN lx ELSE 20000 END::DOUBLE AS min_x, CASE WHEN hx >= lx AND hy >= ly THEN hx ELSE 90000 END::DOUBLE AS max_x,
+  CASE WHEN hx >= lx AND hy >= ly THEN ly ELSE 10000 END::DOUBLE AS min_y, CASE WHEN hx >= lx AND hy >= ly THEN hy ELSE 80000 END::DOUBLE AS max_y FROM c
+""")
+def header_bounded_nodes(spark, sf):
+    """The rectangles of nodes within the bounds of a header, as for coordinates in degrees."""
+    header = {"min_x": 20000.0, "max_x": 90000.0, "min_y": 10000.0, "max_y": 80000.0}
+    return T.bounded_rects(T.node_cubes(C.nodes(spark, sf), C.SIDE), header, angular=True)
+
+
+@query("", "SELECT * FROM (VALUES ('good', true, true, true, true), ('flat', true, false, true, true), ('inverted', false, false, true, false), ('endless', true, true, false, false), ('line', true, true, true, false)) t(name, xy_usable, xy_has_span, z_usable, z_has_span)")
+def axis_validity(spark, sf):
+    """Which axes of several headers can be used."""
+    inf = float("inf")
+    rows = [("good", 0.0, 0.0, 0.0, 1.0, 1.0, 1.0), ("flat", 5.0, 5.0, 0.0, 5.0, 5.0, 2.0), ("inverted", 9.0, 0.0, 3.0, 1.0, 1.0, 3.0), ("endless", 0.0, 0.0, 0.0, 1.0, 1.0, inf), ("line", 0.0, 2.0, 4.0, 3.0, 2.0, 4.0)]
+    names = ["x0", "y0", "z0", "x1", "y1", "z1"]
+    h = spark.createDataFrame(rows, "name string, " + ", ".join(f"{n} double" for n in names))
+    return h.select("name", G.axis_validity([F.col(n) for n in names[:3]], [F.col(n) for n in names[3:]]).alias("v")).select("name", "v.*")
+
+
+@query("points", "SELECT radians(-123.0::DOUBLE + min(y) / 1e6) AS west, radians(44.0::DOUBLE + min(x) / 1e6) AS south, radians(-123.0::DOUBLE + max(y) / 1e6) AS east, radians(44.0::DOUBLE + max(x) / 1e6) AS north, min(z) AS min_h, max(z) AS max_h FROM fx_points")
+def extent_region(spark, sf):
+    """The region of the points themselves, for aiming a camera."""
+    p = C.placed(C.points(spark, sf))
+    b = p.agg(F.min("lon").alias("min_x"), F.min("lat").alias("min_y"), F.max("lon").alias("max_x"), F.max("lat").alias("max_y"), F.min("z").alias("min_h"), F.max("z").alias("max_h")).withColumn("k", F.lit(0))
+    at = T.edge_samples(b, ["k", "min_h", "max_h"])
+    lons = T.longitude_bounds(at, "x", ["k"])
+    rest = at.groupBy("k").agg(F.min("y").alias("south"), F.max("y").alias("north"), F.max("min_h").alias("min_h"), F.max("max_h").alias("max_h"))
+    return lons.join(rest, "k").select(*[F.radians(c).alias(c) for c in ("west", "south", "east", "north")], "min_h", "max_h")
+
+
+@query("points", "SELECT classification, round(sum(floor(x * 100)::BIGINT * 0.01::DOUBLE + 500), 3) AS sum_x FROM fx_points GROUP BY 1")
+def scaled_coordinates(spark, sf):
+    """Coordinates of stored whole numbers."""
+    p = C.points(spark, sf).withColumn("raw", F.floor(F.col("x") * 100))
+    return p.groupBy("classification").agg(F.round(F.sum(G.from_scaled(F.col("raw"), 0.01, 500.0)), 3).alias("sum_x"))
+
+
+@query("points", "SELECT lpad(classification::VARCHAR, 3, ' ') || lpad(count(*)::VARCHAR, 10, ' ') || lpad(printf('%.2f', round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM fx_points), 2)), 8, ' ') || '%' || lpad(printf('%.1f', round(avg(z), 1)), 10, ' ') AS line FROM fx_points GROUP BY classification")
+def class_report(spark, sf):
+    """Lines of a class profile."""
+    from pointquarry.operators.profile import class_profile
+    from pointquarry.sinks.reports import class_line
+
+    return class_profile(C.points(spark, sf)).select(class_line(*map(F.col, ("classification", "n", "pct", "z_mean"))).alias("line"))
+
+
+@query("keyed", "SELECT node_key, list([x, y, z] ORDER BY x, y, z, pulse_id).flatten()::VARCHAR AS flat FROM fx_keyed WHERE d = 4 AND kx = 0 GROUP BY node_key")
+def flat_triplets(spark, sf):
+    """The coordinates of each of some tiles, one after another, as text."""
+    p = C.keyed_points(spark, sf).where("d = 4 and kx = 0")
+    rows = F.array_sort(F.collect_list(F.struct("x", "y", "z", "pulse_id")))
+    flat = F.flatten(F.transform(rows, lambda r: F.array(r["x"], r["y"], r["z"])))
+    return p.groupBy("node_key").agg(F.concat(F.lit("["), F.array_join(flat, ", "), F.lit("]")).alias("flat"))

@@ -14,6 +14,7 @@ from pointquarry.scratch import shared_path
 #: A request that takes longer is answered with an error.
 TIMEOUT_MS = 40_000.0
 #: Kinds of events and the answers they get while their session is open.
+OPEN, CLOSE = "signup", "close"
 ANSWERS = {"click": "data", "view": "json", "purchase": "empty"}
 ANSWER_SCHEMA = "event_id long, sid long, t_ms double, answer string"
 
@@ -21,10 +22,10 @@ ANSWER_SCHEMA = "event_id long, sid long, t_ms double, answer string"
 def answers_of(events: pd.DataFrame, is_open: bool) -> tuple[pd.DataFrame, bool]:
     """The answers to a session's events in order, and whether it is open afterwards."""
     events = events.sort_values(["t_ms", "event_id"])
-    opens = (events["outcome"] == "signup").cumsum().to_numpy() > 0
-    active = opens | is_open
+    # The last opening or closing before an event says whether the session is open there.
+    active = events["outcome"].map({OPEN: 1.0, CLOSE: 0.0}).ffill().fillna(float(is_open)).to_numpy() > 0
     answer = events["outcome"].map(ANSWERS).fillna("error").where(events["dur_ms"] <= TIMEOUT_MS, "timeout").where(active, "inactive")
-    asked = events["outcome"] != "signup"
+    asked = ~events["outcome"].isin([OPEN, CLOSE])
     return events.assign(answer=answer)[asked][["event_id", "sid", "t_ms", "answer"]], bool(active[-1]) if len(active) else is_open
 
 

@@ -52,3 +52,6 @@ def test_sessions_answer_in_order():
     assert out["answer"].tolist() == ["inactive", "data", "timeout", "empty"]
     assert is_open
     assert answers_of(e[:1], True)[0]["answer"].tolist() == ["data"]
+    closed, is_open = answers_of(e.assign(outcome=["signup", "click", "close", "click", "signup"]), False)
+    assert closed["answer"].tolist() == ["data", "inactive"]
+    assert is_open

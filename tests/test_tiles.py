@@ -62,3 +62,28 @@ def test_tree(spark):
     proxy = doc["root"]["children"][0]["children"][0]
     assert proxy["content"]["uri"] == "s/page/2-0-0-1.json"
     assert "children" not in proxy
+
+
+def test_cloud_facade(spark, sf_dir, tmp_path):
+    from pointquarry.cloud import PointCloud
+    from pointquarry.sinks.reports import markdown, write_json
+    from pointquarry.sources import clouds
+
+    p = clouds.points(spark, sf_dir).selectExpr("490000 + x / 100 as x", "4870000 + y / 100 as y", "z / 100 as z", "classification", "intensity", "return_number", "number_of_returns", "red", "green", "blue", "d")
+    p.selectExpr("x - 490000 as x", "y - 4870000 as y", "z", "* except (x, y, z)").write.parquet(str(tmp_path / "cloud"))
+    cloud = PointCloud.open(spark, str(tmp_path / "cloud"), 1310.72, 4, default_crs="+proj=utm +zone=10", point_budget=1000, color_by="height")
+    assert cloud.visible.count() <= 1000
+    tile = cloud.tiles().first()
+    assert tiles.parsed_tile(bytes(tile.pnts))["head"]["POINTS_LENGTH"] == tile.n
+    seeds = spark.createDataFrame([(1, 300.0, 200.0, 500.0)], "seed_id long, x double, y double, z double")
+    hit = cloud.snap(seeds, ["x", "y", "z", "classification"], 4).first()
+    assert hit.classification not in (7, 18)
+    assert {r.name for r in cloud.attribute_range(["z", "intensity"]).collect()} == {"z", "intensity"}
+    asked = spark.createDataFrame([(hit.node_key, 0)], "node_key string, feature_id int")
+    assert set(cloud.pick(asked, ["intensity"]).first().attributes) == {"intensity"}
+    assert cloud.tile_tree(100.0, "s/").count() == cloud.nodes.count()
+    assert markdown(cloud.attribute_range(["z"]), "Ranges").startswith("## Ranges\n\n| name | lo | hi |")
+    write_json(cloud.attribute_range(["z"]), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 1
+    with pytest.raises(ValueError):
+        markdown(spark.range(10), "Long", most=5)

@@ -56,7 +56,7 @@ def escaped(text: Column, t: Template) -> Column:
     """``text`` without control strings: the escape is doubled, and put after the first
     character of each control string."""
     out = F.replace(text, F.lit(t.escape), F.lit(2 * t.escape))
-    for c in {x.strip() for x in t.controls}:
+    for c in sorted({x.strip() for x in t.controls}):
         out = F.replace(out, F.lit(c), F.lit(c[0] + t.escape + c[1:]))
     return out
 
@@ -65,7 +65,7 @@ def unescaped(text: Column, t: Template) -> Column:
     """The inverse of ``escaped``. A single escape after a control string's first character
     was put there; those of the text itself come in twos."""
     out = text
-    for c in {x.strip() for x in t.controls}:
+    for c in sorted({x.strip() for x in t.controls}):
         out = F.replace(out, F.lit(c[0] + t.escape + c[1:]), F.lit(c))
     return F.replace(out, F.lit(2 * t.escape), F.lit(t.escape))
 

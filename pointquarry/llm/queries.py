@@ -133,6 +133,23 @@ WITH docs AS (
 ), hit_items AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+""",
+    "op8_chat_format": r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(n)
+), turns AS (
+  SELECT *, row_number() OVER w AS rn, lag(r) OVER w AS before, lead(r) OVER w IS NULL AS final FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)
+), controls(c) AS (VALUES ('<<SYS>>'), ('<</SYS>>'), ('[INST]'), ('[/INST]'), ('<s>'), ('</s>'), ('<<ROLE>>'), ('<<TEXT>>'), ('<</ROLE>>'), ('\')
+), lengths AS (
+  SELECT conv_id, rn, CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 25 + length(r) END + length(x)
+    + (SELECT sum((length(x) - length(replace(x, c, ''))) / length(c) + CASE WHEN r IN ('system', 'user', 'assistant') THEN 0 ELSE (length(r) - length(replace(r, c, ''))) / length(c) END) FROM controls) AS n FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY rn)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY rn) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN rn = 1 THEN r IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN r = 'user' WHEN before = 'user' THEN r = 'assistant' ELSE false END AND (NOT final OR r = 'assistant')) AS valid
+FROM turns JOIN lengths USING (conv_id, rn) GROUP BY conv_id
 """,
     "op10_line_dedup": r"""
 WITH lines AS (

@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A path below ``spark.checkpoint.dir``; only a session that has none gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

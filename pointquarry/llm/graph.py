@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointquarry.llm.common import staged
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, root) for each node of an edge: root is the smallest node of its component.
+def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node): a star for each component of the given edges, around its smallest node."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, x, root[y])
+        np.minimum.at(least, y, root[x])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    far = np.flatnonzero(root != np.arange(len(names)))
+    return names[root[far]], names[far]
+
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", edges_per_task: int = 1 << 20) -> DataFrame:
+    """(node, root) for each node of an edge (longs): root is the smallest node of its component.
 
+    First the edges are dealt into parts of ``edges_per_task``, and each part becomes stars
+    around the smallest nodes of its own components: fewer edges, and shorter ways.
     Each round gives a node the smallest label among its neighbours' and then
     the label of its label, which halves the way to the root; each round is written to
     the shared folder, so no plan grows and a lost executor costs one round. Only
     the number of changed labels comes to the driver. Loops and repeated edges are
     harmless; edges with a null end are ignored; no edges give no rows.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    given = staged(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "given-edges")
+
+    def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+        if held:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            root, node = local_stars(a, b)
+            # A node whose edges are all loops is kept by one.
+            loops = np.setdiff1d(a[a == b], np.concatenate([root, node]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([root, loops])), pa.array(np.concatenate([node, loops]))], ["a", "b"])
+
+    parts = max(1, -(-given.count() // edges_per_task))
+    pairs = given.repartition(parts).mapInArrow(of_part, "a long, b long")
     both = staged(pairs.union(pairs.select("b", "a")).distinct(), "edges")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:

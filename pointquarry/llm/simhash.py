@@ -167,8 +167,7 @@ def near_copies(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, se
     """
     prints = staged(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), words_per_shingle, seed).alias("fp"), F.struct(*carry).alias("carry") if carry else F.lit(0).alias("carry")), "simhash")
     vertices = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    edges = staged(links(vertices.select("fp"), radius), "simhash-links")
-    roots = components(edges)
+    roots = components(links(vertices.select("fp"), radius))
     least = vertices.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     best = least.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("fp"))).alias("m"))
     groups = least.join(best, "root").select("fp", F.col("m.first").alias("component_id"), F.col("m.fp").alias("first_fp"))

@@ -129,6 +129,19 @@ def test_links_of_any_radius(spark, radius):
     assert [roots.get(simhash.signed(x), simhash.signed(x)) for x in fps] == want
 
 
+@pytest.mark.parametrize("per_task", [1 << 20, 7])
+def test_components_by_brute_force(spark, per_task):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)] + [(500, 500), (None, 3)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "src long, dst long"), edges_per_task=per_task).collect()}
+    root = {x: x for p in pairs[:-1] for x in p}
+    for _ in root:
+        for a, b in pairs[:-1]:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_masks_cover_all_differences():
     for radius in range(7):
         masks, rng = simhash.covering_masks(radius), np.random.default_rng(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointquarry.llm.common import BLANKS, LOWER, UPPER, plain
+from pointquarry.llm.common import BLANKS, LOWER, UPPER, plain, staged
 
 #: The place of a null id in the order of ids: after all others.
 LAST = 2**63 - 1
@@ -50,7 +50,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     else:
         pairs = hashed.select(*of_key, "id").distinct()
         repeated = pairs.groupBy(*of_key).agg(F.min("id").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    gone = hashed.join(repeated.select(*of_key, "first"), of_key).where(F.col("id") > F.col("first"))
+    # Written first, both sides of the join are plain shuffles, of which adaptive execution splits the hot ones.
+    repeated = staged(repeated.select(*of_key, "first"), "repeated-lines")
+    gone = hashed.join(repeated, of_key).where(F.col("id") > F.col("first"))
     gone = gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
     joined = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__row": F.xxhash64(F.col(text_col))}).join(
         gone.withColumnsRenamed({"id": "__id", "row": "__row"}), ["__id", "__row"], "left"

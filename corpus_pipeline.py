@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointquarry.llm import decontam, linededup, mixing, simhash, toxicity
+from pointquarry.llm import decontam, linededup, mixing, nearcopies, toxicity
 from pointquarry.llm.common import plain, scratch_path, table
 
 #: Toxicity from which a document goes.
 TOXIC = 0.7
 #: Weights of the sources in the order of code points, in turn, and the size of the mix.
 WEIGHTS, EPOCHS, MOST = [3, 1, 2], 1.5, 2.0
-#: Two-word shingles and 6 of 64 bits: pairs that share 0.8 of their five-word shingles are mostly this near.
+#: Two-word shingles and 6 of 64 bits find candidates among near copies, beside bands of min-wise hashes.
 SHINGLE, RADIUS = 2, 6
 
 
@@ -46,9 +46,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of near copies the document of the smallest id stays."""
-    groups = simhash.near_copies(keyed(docs).select("__id", "__hash", "text"), RADIUS, SHINGLE, id_col="__id", carry=("__hash",))
-    stay = groups.where("__id = component_id and fp = first_fp").groupBy("component_id").agg(F.min("__hash").alias("__hash")).withColumnRenamed("component_id", "__id")
+    """Operator 3: of each group of near copies, linked by pairs that share 0.8 or more of their
+    five-word shingles, the document of the smallest id stays."""
+    stay = nearcopies.firsts(keyed(docs).select("__id", "__hash", "text"), RADIUS, SHINGLE)
     return keyed(docs).join(stay, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*plain(docs).columns)
 
 

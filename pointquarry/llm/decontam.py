@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointquarry.llm.common import LOWER, UPPER, plain, staged
-from pointquarry.llm.fmindex import FMIndex
+from pointquarry.llm.fmindex import MOST_SYMBOLS, FMIndex
 
 #: Bytes of words stay, A-Z lower-cased; all others become blanks. UTF-8 beyond ASCII is words.
 WORD_BYTES = bytes(LOWER.encode()[UPPER.index(chr(b))] if chr(b) in UPPER else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -93,6 +93,55 @@ def leaks_in(texts: list[bytes | None], p: Phrases) -> tuple[list[int], list[lis
     return sizes, spans, [sorted(x) for x in items]
 
 
+def leaks_of_long(text: bytes, p: Phrases, most: int) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """As ``leaks_in`` of one text, in pieces of less than ``most`` words, of which each begins
+    with the last words of the one before, one fewer than a window has."""
+    is_word = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 0x20
+    edge = np.flatnonzero(np.diff(is_word, prepend=False, append=False))
+    begin, end = edge[::2], edge[1::2]
+    n, again = len(begin), p.windows.shape[1] - 1
+    edges = np.zeros(n + 1, np.int64)
+    items: set[str] = set()
+    at = 0
+    while n:
+        to = min(n, at + most - 1)
+        _, (found,), (names,) = leaks_in([text[begin[at] : end[to - 1]]], p)
+        items.update(names)
+        for b, e in found:
+            edges[at + b] += 1
+            edges[at + e] -= 1
+        if to == n:
+            break
+        at = to - again
+    turns = np.diff(np.concatenate([[0], np.cumsum(edges) > 0]).astype(np.int8))
+    return n, list(zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist(), strict=True)), sorted(items)
+
+
+def leaks_bounded(texts: list[bytes | None], p: Phrases, most: int = MOST_SYMBOLS) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """As ``leaks_in``, with no index of more than ``most`` symbols (or two windows, if these
+    are more): texts of more words are searched in pieces, others in runs that fit."""
+    most = max(most, 2 * p.windows.shape[1])
+    sizes, spans, items = [], [], []
+    run: list[bytes | None] = []
+    held = 0
+    for i, t in enumerate([*texts, b""]):
+        # A word takes two bytes at least, but the last one; and each text has a gap.
+        need = (len(t or b"") + 1) // 2 + 1
+        if run and (i == len(texts) or held + need > most):
+            for all_of, part in zip((sizes, spans, items), leaks_in(run, p), strict=True):
+                all_of += part
+            run, held = [], 0
+        if i == len(texts):
+            break
+        if need > most:
+            for all_of, one in zip((sizes, spans, items), leaks_of_long(t, p, most), strict=True):
+                all_of.append(one)
+        else:
+            run.append(t)
+            held += need
+    return sizes, spans, items
+
+
 def without(text: bytes, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between them; a blank is left."""
     flat = text.translate(WORD_BYTES)
@@ -116,7 +165,7 @@ def scan(docs: DataFrame, phrases: Phrases, text_col: str, shard_bytes: int, cle
 
     def of_shard(rows: pa.Table) -> pa.RecordBatch:
         texts = [x.as_buffer().to_pybytes() if x.is_valid else None for x in rows.column(text_col)]
-        sizes, spans, items = leaks_in(texts, Phrases(*sent.value))
+        sizes, spans, items = leaks_bounded(texts, Phrases(*sent.value))
         out = [rows.column(c).combine_chunks() for c in keep]
         out = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in out]
         out += [
@@ -165,7 +214,8 @@ def find_leaks(
     run of a task's documents; its FM-index holds every word of them. Windows are searched
     backward through the ranks of a wavelet matrix, all at a time, and their
     occurrences located by sampled suffixes; occurrences that touch merge into spans.
-    Documents are not shuffled and shards are bounded, however hot a passage is.
+    Documents are not shuffled and indexes are bounded, however hot a passage is: a shard of
+    too many words has several, and so has a text, whose pieces overlap by a window less one word.
 
     The benchmark goes to each task if it has at most ``max_words`` words, which is
     counted first. A larger one is dealt into parts by its items; the documents are

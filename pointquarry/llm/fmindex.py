@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Symbols that an index holds at most, besides the end: three ranks have to fit into a number.
+MOST_SYMBOLS = (1 << 21) - 2
+
+
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
     """All suffixes in order. ``text`` ends with 0, which stands nowhere else.
 

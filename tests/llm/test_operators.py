@@ -319,6 +319,25 @@ def test_leaks_by_brute_force(spark, sf_dir, shard, most):
         assert (r["__clean"] is None) == (r["__hit"] == 0)
 
 
+def test_leaks_in_a_text_of_more_words_than_an_index_holds(spark):
+    n, passage = fmindex.MOST_SYMBOLS, "p0 p1 p2 p3 p4 p5 p6 p7 p8 p9 p10 p11"
+    long = " ".join(["w"] * (n - 6) + passage.split() + ["w"] * 60_000 + passage.split())
+    docs = spark.createDataFrame([(1, "a b"), (2, long), (3, passage)], "doc_id long, text string").repartition(1)
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = decontam.find_leaks(docs, items, clean=False).orderBy("doc_id").collect()
+    assert [(r["__words"], r["__hit"], r["__items"]) for r in got] == [(2, 0, []), (n + 60_018, 24, ["7"]), (12, 12, ["7"])]
+    assert [tuple(x) for x in got[1]["__spans"]] == [(n - 6, n + 6), (n + 60_006, n + 60_018)]
+
+
+@pytest.mark.parametrize("most", [8, 9, 13, 40, 1000])
+def test_pieces_have_the_leaks_of_the_whole(most):
+    rng = np.random.default_rng(most)
+    texts = [" ".join(rng.choice(list("abc"), n)).encode() for n in (0, 1, 3, 4, 30, 200, 7, 90)] + [None, b"", b" a, b;"]
+    p = decontam.phrases_of(((str(i), " ".join(rng.choice(list("abc"), int(rng.integers(1, 9))))) for i in range(12)), 4)
+    assert decontam.leaks_bounded(texts, p, most) == decontam.leaks_in(texts, p)
+    assert decontam.leaks_bounded([], p, most) == ([], [], [])
+
+
 def test_leaks_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "A b  c", 5), (3, "A b  c", 5)], "doc_id long, text string, __x int")
     items = spark.createDataFrame([(1, "b C")], "item_id long, text string")

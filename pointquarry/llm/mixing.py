@@ -81,11 +81,13 @@ def mix(
 
     Sources in the order of code points, null last, take ``weights`` in turn. Their
     targets are apportioned in blocks of ``block_words`` words: first among the
-    sources, then each source's blocks among its shards, both by the highest
-    quotients. A document's shard and its place there come from a seeded hash; the
-    blocks of a shard are cut from the words in that order, and its quota takes them from
-    the first on, once around and again if need be. So a document is taken at most ``most``
-    times (shards end at that), in parts at the edges only, and reruns agree.
+    sources; then whole rounds of a source go to all its shards, and the blocks of the rest
+    among them, both by the highest quotients. What a shard cannot hold is shared again, by
+    words, among those with room, so a source of small shards reaches its target too. A
+    document's shard and its place there come from a seeded hash; the blocks of a shard
+    are cut from the words in that order, and its quota takes them from the first on, once
+    around and again if need be. So a document is taken at most ``most`` times (shards
+    end at that, in whole words), in parts at the edges only, and reruns agree.
     The shards of a source number the square root of all documents, so a hot source is
     spread like the rest and no window holds more than such a part.
 
@@ -105,8 +107,19 @@ def mix(
     targets = source_targets(held.groupBy("src").agg(F.sum("held").alias("source_size")), weights, epochs, most)
     claims = targets.withColumn("blocks", F.floor(F.col("total") / block_words + 0.5))
     quotas = sainte_lague(claims, "blocks", "target", [], "rank").select("src", "source_size", "target", "quota")
-    parts = sainte_lague(held.join(quotas, "src").withColumnRenamed("quota", "of_source"), "of_source", "held", ["src"], "shard")
-    take = F.least(F.col("quota") * block_words, F.floor(F.col("held") * float(most)))
+    # Whole rounds of all shards come first, and only the rest is apportioned.
+    words = F.least(F.col("quota") * block_words, F.floor(F.col("source_size") * float(most)))
+    around = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0))
+    of_source = quotas.withColumn("words", words.cast("long")).withColumn("around", around).withColumn("left", F.col("words") - F.col("around") * F.col("source_size"))
+    of_source = of_source.select("src", "source_size", "target", "around", "left", F.floor(F.col("left") / block_words).alias("left_blocks"))
+    shared = sainte_lague(held.join(of_source, "src"), "left_blocks", "held", ["src"], "shard")
+    ceiling = F.least(F.col("held"), F.floor(F.col("held") * float(most)) - F.col("around") * F.col("held"))
+    shared = shared.withColumn("part", F.least(F.col("quota") * block_words, ceiling).cast("long")).withColumn("room", (ceiling - F.col("part")).cast("long")).drop("quota")
+    # What was clipped, and less than a block, goes by words to the shards with room.
+    shared = shared.withColumn("short", F.col("left") - F.sum("part").over(W.partitionBy("src")))
+    shared = staged(shared.select("src", "shard", "source_size", "target", "held", "around", "part", "room", "short"), "mix-shares")
+    parts = sainte_lague(shared, "short", "room", ["src"], "shard")
+    take = F.col("around") * F.col("held") + F.col("part") + F.least(F.col("quota"), F.col("room"))
     parts = parts.select("src", "shard", "source_size", "target", "held", take.cast("long").alias("take"))
     line = W.partitionBy("src", "shard").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     laid = spread.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(parts, ["src", "shard"])

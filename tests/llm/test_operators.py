@@ -72,6 +72,17 @@ def test_mixing_nears_its_targets(spark, sf_dir):
     assert (abs(by.taken - by.target) <= 0.02 * by.target + 64).all()
 
 
+@pytest.mark.parametrize("most,epochs", [(2.0, 1.5), (2.0, 0.4), (3.0, 2.5)])
+def test_sources_of_short_texts_reach_their_targets(spark, most, epochs):
+    small = F.when(F.col("id") < 1000, F.lit("a")).otherwise(F.concat(F.lit("b"), (F.col("id") % 2).cast("string")))
+    rows = spark.range(120_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), F.when(F.col("id") < 1000, 10).otherwise(12)).alias("text"), small.alias("source"))
+    m = mixing.mix(rows, [30, 1, 2], epochs, most, carry=("source",))
+    by = m.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("times")).collect()
+    assert len(by) == 3
+    print(by)
+    assert all(abs(r.taken - r.target) <= 16 and r.times <= most for r in by)
+
+
 def test_apportionment_by_brute_force(spark):
     weights = [53, 24, 23, 7, 1, 0]
     claims = spark.createDataFrame([(i, 100, w) for i, w in enumerate(weights)], "i int, seats int, w int")

@@ -2,200 +2,242 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointquarry.llm.common import plain, staged
 from pointquarry.llm.decontam import words_of
 
-#: Beginnings of words that count as features, in bytes, where the word goes on.
-STEMS = range(4, 10)
-#: Words of which a task remembers the features.
-REMEMBERED = 1 << 18
+#: Bytes of the beginnings of words that are terms beside the words themselves, where the word goes on.
+STEMS = (6,)
+#: Words of which a task remembers the terms, and documents that are scored at once.
+REMEMBERED, BATCH = 1 << 18, 128
+#: Documents of the labelled sample that are added, at the overall rates, to those seen with a term.
+SMOOTHING = 5.0
 
+Vector = tuple[np.ndarray, np.ndarray]
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word, and its beginnings marked as such."""
-    return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
+
+def term_hashes(word: bytes) -> tuple[int, ...]:
+    """A hash of the word and of each of its beginnings."""
+    return (xxhash.xxh64_intdigest(word, 0), *(xxhash.xxh64_intdigest(word[:n], n) for n in STEMS if len(word) > n))
+
+
+class Remembered(dict):
+    """The terms of a word, computed when it is first seen."""
+
+    def __init__(self, of_word: Callable[[bytes], tuple[int, ...]]):
+        super().__init__()
+        self.of_word = of_word
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[word] = self.of_word(word)
+        return found
+
+
+def numbered(vocabulary: np.ndarray) -> Callable[[bytes], tuple[int, ...]]:
+    """Places of a word's terms among the hashes ``vocabulary``; others are left out."""
+    place = {h: i for i, h in enumerate(vocabulary.tolist())}
+    return lambda word: tuple(place[h] for h in term_hashes(word) if h in place)
+
+
+def counted(text: pa.Scalar, known: Remembered, kind: type) -> Vector:
+    """The distinct terms of a whole text, sorted, and how often each stands there."""
+    words = Counter(words_of(text.as_buffer().to_pybytes())) if text.is_valid else {}
+    found = [known[w] for w in words]
+    terms = np.fromiter(chain.from_iterable(found), kind)
+    distinct, place = np.unique(terms, return_inverse=True)
+    return distinct, np.bincount(place, np.repeat(list(words.values()), [len(x) for x in found]), len(distinct)) if len(terms) else np.zeros(0)
+
+
+def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of the ranges, one range after another, and the number of each one's range."""
+    n = ends - begins
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begins[which], which
 
 
 class BlockMaxIndex:
-    """Postings of normalised example vectors, in blocks of examples, with the largest
-    weight of each term in each block.
+    """Postings of normalised example vectors by term and block of examples, with the
+    largest weight of each term in each block.
 
-    ``nearest`` visits blocks in the order of their bounds (query times largest weights) and
-    stops at the first bound below the k-th cosine found, so its result is exact.
+    Terms of a sixteenth of the examples or more have one posting for every example (a dense row). A query
+    first visits the ``FIRST`` blocks of the largest bounds (query times largest weights), and then each block whose
+    bound reaches its k-th cosine there; no other block can hold one of the k nearest, so they are exact.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64):
-        order = sorted(range(len(vectors)), key=lambda i: (tuple(vectors[i][0]), tuple(vectors[i][1])))
-        self.examples = np.array(order, np.int64)
-        self.block, blocks = block, -(-len(order) // block)
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        cell = term * blocks + place // block
-        by = np.argsort(cell, kind="stable")
-        self.place, self.weight = place[by], weight[by]
-        self.ends = np.searchsorted(cell[by], np.arange(terms * blocks + 1))
-        self.most = np.zeros((terms, blocks))
-        np.maximum.at(self.most, (term, place // block), weight)
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of positive cosine, the largest first (ties: in the index's order), until their sizes reach k."""
-        bounds = weights @ self.most[ids]
-        found, cosines, kth = [], [], 0.0
-        blocks = self.most.shape[1]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(ids, weights, strict=True):
-                lo, hi = self.ends[t * blocks + b], self.ends[t * blocks + b + 1]
-                scores[self.place[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(scores > 0)
-            found.append(hit + b * self.block)
-            cosines.append(scores[hit])
-            at, cos = np.concatenate(found), np.concatenate(cosines)
-            by = np.lexsort((at, -cos))
-            enough = np.searchsorted(np.cumsum(size[self.examples[at[by]]]), k) + 1
-            by = by[:enough]
-            found, cosines = [at[by]], [cos[by]]
-            kth = cos[by][-1] if size[self.examples[at[by]]].sum() >= k else 0.0
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        return self.examples[found[0]], np.minimum(cosines[0], 1.0)
-
-
-@dataclass
-class Examples:
-    """Distinct labelled vectors: term numbers, weights, how many examples, how many toxic, the
-    smallest id; ``idf`` of the terms; share of toxic ones without terms; a calibration."""
-
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    size: np.ndarray
-    toxic: np.ndarray
-    first: np.ndarray
-    idf: np.ndarray
-    plain: float
-    slope: float = 1.0
-    shift: float = 0.0
-
-
-def weighed(ids: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.array(ids, np.int64)
-    w = (1 + np.log(np.array(counts, float))) * idf[at]
-    return at, w / np.sqrt((w * w).sum())
-
-
-def vote(e: Examples, index: BlockMaxIndex, ids: np.ndarray, weights: np.ndarray, k: int, leave: int = -1, label: int = 0) -> tuple[float, list[int]]:
-    """The distance-weighted share of toxic ones among the k nearest, with the evidence."""
-    size, toxic = e.size, e.toxic
-    if leave >= 0:
-        size, toxic = size.copy(), toxic.copy()
-        size[leave] -= 1
-        toxic[leave] -= label
-    near, cos = index.nearest(ids, weights, k, size)
-    part = np.minimum(size[near], k) / np.maximum(size[near], 1)
-    w = part / (1.05 - cos)
-    total = (w * size[near]).sum()
-    share = ((w * toxic[near]).sum() + e.plain) / (total + 1)
-    return float(share), e.first[near[:5]].tolist()
-
-
-def logit(p: float) -> float:
-    p = min(max(p, 1e-3), 1 - 1e-3)
-    return math.log(p / (1 - p))
-
-
-def calibrate(e: Examples, index: BlockMaxIndex, k: int, most: int = 2000) -> None:
-    """Fit a logistic curve to the votes on the examples, each without itself; of many
-    distinct vectors every n-th, ``most`` at most, as is the sample itself bounded."""
-    xs, ys, ws = [], [], []
-    for i in range(0, len(e.vectors), -(-len(e.vectors) // most) or 1):
-        for label, n in ((1, e.toxic[i]), (0, e.size[i] - e.toxic[i])):
-            if n:
-                xs.append(logit(vote(e, index, *e.vectors[i], k, i, label)[0]))
-                ys.append(label)
-                ws.append(n)
-    x, y, w = np.array(xs), np.array(ys, float), np.array(ws, float)
-    if not len(x) or y.min() == y.max():
-        return
-    a, b = 1.0, 0.0
+    FIRST = 4
+
+    def __init__(self, vectors: list[Vector], terms: int, block: int = 64):
+        n = self.n = len(vectors)
+        lengths = [len(v[0]) for v in vectors]
+        term = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
+        example = np.repeat(np.arange(n), lengths)
+        seen = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(seen >= max(2, n / 16))
+        # Examples with the same heaviest common term, and of like weights of it, share blocks: their bounds are near their cosines.
+        heavy = np.where(np.isin(term, common), weight, 0)
+        by = np.lexsort((heavy, example))
+        last = np.cumsum(lengths)[np.array(lengths, int) > 0] - 1
+        lead, top = np.zeros(n, np.int64), np.zeros(n)
+        lead[example[by][last]], top[example[by][last]] = term[by][last], heavy[by][last]
+        self.order = np.lexsort((np.arange(n), top, lead))
+        at = np.empty(n, np.int64)
+        at[self.order] = np.arange(n)
+        place = at[example]
+        self.block, self.blocks = block, -(-n // block)
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.dense = np.zeros((len(common), self.blocks * block))
+        self.dense[self.row[term[dense]], place[dense]] = weight[dense]
+        self.dense_most = self.dense.reshape(len(common), self.blocks, block).max(axis=2) if n else np.zeros((len(common), 0))
+        term, place, weight = term[~dense], place[~dense], weight[~dense]
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by], weight[by]
+        cell = term * max(1, self.blocks) + self.place // block
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_end = np.append(first, len(cell))
+        self.cell_block = self.place[first] // block
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.term_end = np.searchsorted(term[first], np.arange(terms + 1))
+
+    def cosines(self, queries: list[Vector], k: int, without: np.ndarray | None = None) -> np.ndarray:
+        """A row of cosines for each query, in the index's order of examples: of its k nearest, all
+        that tie with the k-th, and perhaps more; the others are zero. ``without`` names an example that each query leaves out."""
+        q, blocks = len(queries), self.blocks
+        scores = np.zeros((q, blocks * self.block))
+        if not self.n:
+            return scores
+        doc = np.repeat(np.arange(q), [len(x[0]) for x in queries])
+        term, weight = np.concatenate([x[0] for x in queries]), np.concatenate([x[1] for x in queries])
+        row = self.row[term]
+        ask = np.zeros((q, len(self.dense)))
+        ask[doc[row >= 0], row[row >= 0]] = weight[row >= 0]
+        doc, term, weight = doc[row < 0], term[row < 0], weight[row < 0]
+        cell, which = spread(self.term_end[term], self.term_end[term + 1])
+        doc, weight, of_block = doc[which], weight[which], self.cell_block[cell]
+        bounds = ask @ self.dense_most + np.bincount(doc * blocks + of_block, weight * self.cell_most[cell], q * blocks).reshape(q, blocks)
+
+        def visit(go: np.ndarray) -> None:
+            for b in np.flatnonzero(go.any(axis=0)).tolist():
+                rows, part = np.flatnonzero(go[:, b]), slice(b * self.block, (b + 1) * self.block)
+                scores[rows, part] = ask[rows] @ self.dense[:, part]
+            kept = go[doc, of_block]
+            at, of = spread(self.cell_end[cell[kept]], self.cell_end[cell[kept] + 1])
+            cells = doc[kept][of] * scores.shape[1] + self.place[at]
+            scores.ravel()[:] += np.bincount(cells, weight[kept][of] * self.weight[at], scores.size)
+            if without is not None:
+                scores[np.arange(q), np.argsort(self.order)[without]] = 0
+
+        first = np.zeros((q, blocks), bool)
+        best = np.argpartition(-bounds, min(self.FIRST, blocks) - 1, axis=1)[:, : self.FIRST]
+        np.put_along_axis(first, best, True, axis=1)
+        visit(first)
+        kth = self.kth(scores, k)
+        visit((bounds >= kth[:, None] - 1e-9) & (bounds > 0) & ~first)
+        return scores[:, : self.n]
+
+    @staticmethod
+    def kth(scores: np.ndarray, k: int) -> np.ndarray:
+        k = min(k, scores.shape[1])
+        return np.partition(scores, -k, axis=1)[:, -k] if k else np.zeros(len(scores))
+
+
+class Votes:
+    """Shares of toxic examples among the nearest ones, weighted by distance, and the evidence."""
+
+    def __init__(self, vectors: list[Vector], toxic: np.ndarray, names: list[str], terms: int, prior: float, k: int):
+        self.index, self.k, self.prior = BlockMaxIndex(vectors, terms), k, prior
+        self.toxic = toxic[self.index.order] if len(toxic) else toxic
+        self.names = [names[i] for i in self.index.order]
+
+    def of(self, queries: list[Vector], without: np.ndarray | None = None, evidence: bool = True) -> tuple[np.ndarray, list[list[str]]]:
+        """The k nearest vote, with all that tie with the k-th, by 1 / (1.05 - cosine); the prior has one vote of weight 1."""
+        if not self.index.n:
+            return np.full(len(queries), self.prior), [[] for _ in queries]
+        cos = np.round(np.minimum(self.index.cosines(queries, self.k, without), 1.0), 12)
+        near = (cos >= self.index.kth(cos, self.k)[:, None]) & (cos > 0)
+        weight = np.where(near, 1 / (1.05 - cos), 0)
+        share = (weight @ self.toxic + self.prior) / (weight.sum(axis=1) + 1)
+        found = []
+        for i in range(len(queries) if evidence else 0):
+            at = np.flatnonzero(near[i])
+            found.append([self.names[j] for j in sorted(at.tolist(), key=lambda j: (-cos[i, j], self.names[j]))[:5]])
+        return share, found
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def curve(share: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve that fits the votes of examples to their labels."""
+    if not len(share) or toxic.min() == toxic.max():
+        return 1.0, 0.0
+    x, a, b = logit(share), 1.0, 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        r = w * p * (1 - p)
+        r = p * (1 - p)
         h = np.array([[(r * x * x).sum() + 1, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(w * (y - p) * x).sum() + (1 - a), (w * (y - p)).sum()])
+        step = np.linalg.solve(h, [((toxic - p) * x).sum() + (1 - a), (toxic - p).sum()])
         a, b = a + step[0], b + step[1]
         if abs(step).max() < 1e-9:
             break
-    if a > 0:
-        e.slope, e.shift = float(a), float(b)
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
 
+def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray) -> Vector:
+    w = (1 + np.log(counts)) * factor[terms]
+    return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
-def learnt_features(sample: DataFrame, most: int, least_chi2: float) -> list[bytes]:
-    """Features that go with toxic labels in the labelled sample, by the chi-squared statistic."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+def example_terms(sample: DataFrame) -> pa.Table:
+    """(id, toxic, h, tf): hashed terms of each labelled example, and their counts."""
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Remembered(term_hashes)
         for batch in batches:
-            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update({f for w in set(words_of(text.as_buffer().to_pybytes() if text.is_valid else b"")) for f in features_of(w)})
-        both = list(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(both), 100_000):
-            fs = both[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(fs, pa.binary()), pa.array([seen[1][f] for f in fs], pa.int64()), pa.array([seen[0][f] for f in fs], pa.int64())], ["f", "bad", "good"])
-
-    totals = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
-    bad, n = float(totals["t"] or 0), float(totals["n"])
-    good = n - bad
-    if not bad or not good:
-        return []
-    found = sample.mapInArrow(count, "f binary, bad long, good long").groupBy("f").agg(F.sum("bad").alias("a"), F.sum("good").alias("c"))
-    both = F.col("a") + F.col("c")
-    apart = F.col("a") * (good - F.col("c")) - F.col("c") * (bad - F.col("a"))
-    chi2 = n * apart * apart / (both * (n - both) * bad * good)
-    kept = found.where((F.col("a") >= 3) & (both < n) & (F.col("a") * good > F.col("c") * bad)).withColumn("x", chi2).where(F.col("x") >= least_chi2)
-    return sorted(bytes(r["f"]) for r in kept.orderBy(F.desc("x"), "f").limit(most).collect())
-
-
-def term_counts(docs: DataFrame, features: list[bytes], text_col: str) -> DataFrame:
-    """Adds ``__ids`` and ``__tf``: the learnt features of each whole text, and how often each stands there."""
-    sent = docs.sparkSession.sparkContext.broadcast(features)
-
-    @F.arrow_udf("struct<ids:array<int>,tf:array<int>>")
-    def of_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        number, known = {f: i for i, f in enumerate(sent.value)}, {}
-
-        def of_word(w: bytes) -> tuple[int, ...]:
-            if len(known) > REMEMBERED:
-                known.clear()
-            found = known[w] = tuple(number[f] for f in features_of(w) if f in number)
-            return found
-
-        def of_text(text: pa.Scalar) -> dict:
-            out: Counter[int] = Counter()
-            for w, n in Counter(words_of(text.as_buffer().to_pybytes())).items() if text.is_valid else ():
-                ids = known.get(w)
-                for i in of_word(w) if ids is None else ids:
-                    out[i] += n
-            ids = sorted(out)
-            return {"ids": ids, "tf": [out[i] for i in ids]}
-
-        kind = pa.struct([("ids", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
-        for texts in batches:
-            yield pa.array([of_text(t) for t in texts], kind)
+            terms = [counted(t, known, np.uint64) for t in batch.column("text")]
+            h = pa.array([x.view(np.int64) for x, _ in terms], pa.list_(pa.int64()))
+            tf = pa.array([n.astype(np.int32) for _, n in terms], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), h, tf], ["id", "toxic", "h", "tf"])
+
+    return sample.select(F.col("id").cast("string").alias("id"), "toxic", "text").mapInArrow(of_task, "id string, toxic int, h array<long>, tf array<int>").toArrow()
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each term stands, and the number of documents. A task counts its
+    own ones first, so no more than the vocabulary is shuffled from each."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    out = docs.withColumn("__terms", of_batch(F.col(text_col).cast("string")))
-    return out.withColumns({"__ids": F.col("__terms.ids"), "__tf": F.col("__terms.tf")}).drop("__terms")
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df, n = Remembered(numbered(sent.value)), np.zeros(len(sent.value), np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            for text in batch.column("text"):
+                words = set(words_of(text.as_buffer().to_pybytes())) if text.is_valid else ()
+                df[np.array(list(set(chain.from_iterable(known[w] for w in words))), np.int64)] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "n"])
+
+    found = docs.select("text").mapInArrow(of_task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1) -> Column:
@@ -207,9 +249,8 @@ def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
     neighbours: int = 15,
-    max_examples: int = 20_000,
-    max_features: int = 1024,
-    least_chi2: float = 50.0,
+    max_examples: int = 2048,
+    max_bytes: int = 64 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -217,24 +258,26 @@ def score_toxicity(
 ) -> DataFrame:
     """Score each whole text by the labelled examples nearest to it.
 
-    Learnt from labelled documents that aren't held out, at most ``max_examples`` of them (a
-    bounded sample, those of the smallest hashes of ids): features (words and beginnings of
-    words) that go with toxic labels, and the examples' vectors. Document frequencies
-    of the features are counted over all documents. Vectors are (1 + log tf) * idf,
-    normalised. Each document's nearest examples by exact cosine come from a block-max
-    inverted index, which has a proven size bound (examples times features) and goes to each
-    task; equal vectors are one entry. Votes weighted by 1 / (1.05 - cosine) are calibrated
-    by a logistic curve fitted to the examples, each without itself. A document without
-    any feature gets the share of toxic ones among such examples.
+    Examples are a bounded sample of the labelled documents that aren't held out: those of the smallest
+    hashes of ids, at most ``max_examples`` with ``max_bytes`` of text together. Terms
+    are all words of the examples and the beginnings of these words; none is left out. A vector holds
+    (1 + log tf) * idf * log2(1 + lift), normalised: the document frequencies are
+    counted over all documents, and the lift is how many times as often a term stands in toxic examples as
+    in others (smoothed; 1 for a term without bearing), the relevance factor of supervised TF-IDF.
+    Each document's nearest examples by exact cosine come from a block-max
+    inverted index, which has the bounds of the sample and goes to each task. Votes weighted
+    by 1 / (1.05 - cosine) are calibrated by a logistic curve fitted to the examples, each
+    without itself. A document that shares no term with any example gets the calibrated share of toxic examples.
 
-    Texts are read once for the sample and once for all features, which are written to the
-    shared folder; documents are not shuffled. The id, source and language are no inputs.
+    Texts are read once for the sample, once for the frequencies and once for the scores; they
+    are neither shuffled nor written. The id, source and language are no inputs.
 
     Returns the id, ``held_out``, ``score`` and ``evidence`` (ids of the nearest examples); with
     ``whole`` the columns of ``docs`` and ``__score``, row by row without a join.
 
-    Null and empty texts have no features. Documents labelled several times have the
-    rounded mean label; null labels are ignored. Without labels of both kinds the score is the share
+    Null and empty texts have no terms; texts of any length are scored whole. Documents labelled several times have the
+    rounded mean label; null labels and labels without a document are ignored. Of labelled rows of one id the
+    smallest text is the example. Without labels of both kinds the score is the share
     of toxic ones, or 0. Rows are independent and may repeat; an empty table gives an empty one. Columns of
     ``docs`` that begin with two underscores are left out.
     """
@@ -243,48 +286,53 @@ def score_toxicity(
     rated = staged(rated.withColumn("draw", F.xxhash64("id")), "toxic-labels")
     n = rated.count()
     near_enough = F.pmod("draw", F.lit(1 << 32)) < int(min(1.0, 1.2 * max_examples / max(n, 1)) * (1 << 32))
-    chosen = staged((rated.where(near_enough) if n > 2 * max_examples else rated).orderBy("draw", "id").limit(max_examples).select("id", "toxic"), "toxic-sample")
+    chosen = staged((rated.where(near_enough) if n > 2 * max_examples else rated).orderBy("draw", "id").limit(max_examples), "toxic-sample")
     docs = plain(docs)
     row = [F.struct(*docs.columns).alias("row")] if whole else []
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), *row)
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "toxic")
-    features = learnt_features(staged(sample, "toxic-texts"), max_features, least_chi2)
-    terms = staged(term_counts(texts, features, "text").drop("text"), "toxic-terms")
-    df = np.zeros(len(features))
-    for r in terms.select(F.explode("__ids").alias("i")).groupBy("i").count().collect():
-        df[r["i"]] = r["count"]
-    idf = np.log((1 + terms.count()) / (1 + df)) + 1
-    same = terms.join(F.broadcast(chosen), "id").groupBy("__ids", "__tf").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"), F.min("id").alias("first")).orderBy("first").collect()
-    full = [r for r in same if r["__ids"]]
-    bare = [r for r in same if not r["__ids"]]
-    unknown = (sum(r["bad"] for r in bare) + 0.5 * bool(full)) / (sum(r["n"] for r in bare) + 1.0) if bare or full else 0.0
-    e = Examples([weighed(r["__ids"], r["__tf"], idf) for r in full], np.array([r["n"] for r in full], float), np.array([r["bad"] for r in full], float), np.array([r["first"] for r in full], object), idf, unknown)
-    index = BlockMaxIndex(e.vectors, len(features))
-    if full:
-        calibrate(e, index, neighbours)
-    sent = docs.sparkSession.sparkContext.broadcast((e.vectors, e.size, e.toxic, e.first, e.idf, e.plain, e.slope, e.shift))
+    own = texts.join(F.broadcast(chosen), "id").groupBy("draw", "id", "toxic").agg(F.min("text").alias("text"))
+    sizes = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy("draw", "id"))
+    own = staged(own, "toxic-texts")
+    fitting = own.select("id", (sizes <= max_bytes).alias("fits")).where("fits").select("id")
+    drawn = example_terms(own.join(F.broadcast(fitting), "id")).sort_by("id")
+    toxic, names = drawn.column("toxic").to_numpy().astype(float), drawn.column("id").to_pylist()
+    bad, good = toxic.sum(), (1 - toxic).sum()
+    lengths = drawn.column("h").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    hashes, tf = (drawn.column(c).combine_chunks().flatten().to_numpy() for c in ("h", "tf"))
+    vocabulary, terms = np.unique(hashes.view(np.uint64), return_inverse=True)
+    slope, shift, prior = 1.0, 0.0, float(bad / (bad + good)) if bad + good else 0.0
+    if not bad or not good:
+        vocabulary, votes = vocabulary[:0], ([], toxic[:0], [])
+        factor = np.zeros(0)
+    else:
+        df, rows = document_frequencies(texts, vocabulary)
+        a, both = np.bincount(terms, np.repeat(toxic, lengths), len(vocabulary)), np.bincount(terms, minlength=len(vocabulary))
+        lift = ((a + SMOOTHING * prior) / bad) / ((both - a + SMOOTHING * (1 - prior)) / good)
+        factor = (np.log((1 + rows) / (1 + df)) + 1) * np.log2(1 + lift)
+        ends = np.cumsum(lengths)
+        vectors = [weighed(terms[e - m : e], tf[e - m : e], factor) for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        votes = (vectors, toxic, names)
+        ballot = Votes(*votes, len(vocabulary), prior, neighbours)
+        shares = [ballot.of(vectors[i : i + BATCH], np.arange(i, min(i + BATCH, len(vectors))), evidence=False)[0] for i in range(0, len(vectors), BATCH)]
+        slope, shift = curve(np.concatenate(shares), toxic)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, factor, votes))
 
     @F.arrow_udf("struct<score:double,evidence:array<string>>")
-    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        own = Examples(*sent.value)
-        index, done = BlockMaxIndex(own.vectors, len(own.idf)), {}
-
-        def of(ids: list[int], tf: list[int]) -> dict:
-            if not ids:
-                return {"score": own.plain, "evidence": []}
-            if (ids, tf) not in done:
-                if len(done) > REMEMBERED:
-                    done.clear()
-                share, near = vote(own, index, *weighed(ids, tf, own.idf), neighbours)
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, own.slope * logit(share) + own.shift))))
-                done[ids, tf] = {"score": p, "evidence": [str(x) for x in near]}
-            return done[ids, tf]
-
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary, factor, votes = sent.value
+        ballot, known = Votes(*votes, len(vocabulary), prior, neighbours), Remembered(numbered(vocabulary))
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.string()))])
-        for ids, tf in batches:
-            yield pa.array([of(tuple(i), tuple(t)) for i, t in zip(ids.to_pylist(), tf.to_pylist(), strict=True)], kind)
-
-    out = terms.withColumn("s", score("__ids", "__tf"))
+        for texts in batches:
+            shares, near = [np.zeros(0)], []
+            for i in range(0, len(texts), BATCH):
+                found = ballot.of([weighed(*counted(t, known, np.int64), factor) for t in texts[i : i + BATCH]])
+                shares.append(found[0])
+                near += found[1]
+            share = np.concatenate(shares)
+            p = 1 / (1 + np.exp(-np.clip(slope * logit(share) + shift, -30, 30))) if len(vocabulary) else share
+            yield pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(near, pa.list_(pa.string()))], fields=list(kind))
+
+    out = texts.withColumn("s", score("text"))
     if whole:
         return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("s.score").alias("__score"))
     return out.select(F.col("id").alias(id_col), "held_out", F.col("s.score").alias("score"), F.col("s.evidence").alias("evidence"))

@@ -1,7 +1,9 @@
 """The corpus operators against brute force, round trips and held-out labels."""
 
+import collections
 import hashlib
 import io
+import math
 import re
 import zipfile
 import zlib
@@ -276,16 +278,102 @@ def test_toxicity_on_held_out_documents(spark):
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
-    for _ in range(300):
-        at = np.sort(rng.choice(40, 5, replace=False))
-        w = rng.random(5)
+    for i in range(900):
+        at = i % 4 * 100 + np.sort(rng.choice(100, 12, replace=False, p=(q := 1 / np.arange(1, 101)) / q.sum()))
+        w = rng.random(12)
         vectors.append((at, w / np.linalg.norm(w)))
-    index, dense = toxicity.BlockMaxIndex(vectors, 40), np.zeros((300, 40))
+    vectors.append((np.zeros(0, np.int64), np.zeros(0)))
+    index, dense = toxicity.BlockMaxIndex(vectors, 400), np.zeros((901, 400))
     for row, (at, w) in zip(dense, vectors, strict=True):
         row[at] = w
-    for at, w in vectors[:20]:
-        _, cos = index.nearest(at, w, 10, np.ones(300))
-        assert cos == pytest.approx(np.sort(dense[:, at] @ w)[::-1][:10])
+    got = index.cosines(vectors[:60], 10)
+    assert (got == 0).mean() > 0.1  # blocks were passed over
+    for i, scores in enumerate(got):
+        assert np.sort(scores)[::-1][:10] == pytest.approx(np.sort(dense @ dense[i])[::-1][:10])
+        seen = scores > 0
+        assert scores[seen] == pytest.approx((dense @ dense[i])[index.order][seen])
+    own = index.cosines(vectors[:60], 10, without=np.arange(60))
+    assert all(own[i, index.order == i] == 0 for i in range(60))
+
+
+def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int], k: int) -> dict[int, tuple[float, list[str]]]:
+    """All cosines with dense loops; ids of at least 1."""
+
+    def terms(text):
+        out = collections.Counter()
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(common.UPPER, common.LOWER))):
+            raw = w.encode()
+            out[raw, 0] += 1
+            if len(raw) > 6:
+                out[raw[:6], 6] += 1
+        return out
+
+    tf = {i: terms(t) for i, t in docs.items()}
+    known = sorted((i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1), key=str)
+    bad = sum(labels[i] for i in known)
+    good, prior = len(known) - bad, bad / len(known)
+    df, a, c = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in tf.values():
+        df.update(set(t))
+    for i in known:
+        (a if labels[i] else c).update(set(tf[i]))
+    weight = {t: (math.log((1 + len(docs)) / (1 + df[t])) + 1) * math.log2(1 + ((a[t] + 5 * prior) / bad) / ((c[t] + 5 * (1 - prior)) / good)) for t in a | c}
+
+    def vector(i):
+        w = {t: (1 + math.log(n)) * weight[t] for t, n in tf[i].items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    vectors = {i: vector(i) for i in docs}
+
+    def share(i, leave):
+        cos = {j: round(min(1.0, sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items())), 12) for j in known if not (leave and j == i)}
+        cos = {j: x for j, x in cos.items() if x > 0}
+        least = sorted(cos.values())[-min(k, len(cos))] if cos else 0
+        near = {j: 1 / (1.05 - x) for j, x in cos.items() if x >= least}
+        first = sorted(near, key=lambda j: (-cos[j], str(j)))[:5]
+        return (sum(w * labels[j] for j, w in near.items()) + prior) / (sum(near.values()) + 1), [str(j) for j in first]
+
+    def logit(p):
+        p = min(max(p, 1e-3), 1 - 1e-3)
+        return math.log(p / (1 - p))
+
+    x, y = np.array([logit(share(i, True)[0]) for i in known]), np.array([labels[i] for i in known], float)
+    slope, shift = 1.0, 0.0
+    for _ in range(200):  # the penalised likelihood, by plain Newton steps
+        p = 1 / (1 + np.exp(-(slope * x + shift)))
+        g = np.array([((y - p) * x).sum() + 1 - slope, (y - p).sum()])
+        r = p * (1 - p)
+        d = np.linalg.solve([[(r * x * x).sum() + 1, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]], g)
+        slope, shift = slope + d[0], shift + d[1]
+    out = {}
+    for i in docs:
+        s, near = share(i, False)
+        out[i] = 1 / (1 + math.exp(-(slope * logit(s) + shift))), near
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {i: t for i, t in table(spark, sf, "documents")[["doc_id", "text"]].itertuples(index=False) if i is not None}
+    docs |= {10**6: None, 10**6 + 1: "", 10**6 + 2: "qqzz 123"}
+    rated = table(spark, sf, "labels").dropna(subset=["toxic"])
+    labels = {int(i): int(t) for i, t in zip(rated.doc_id, rated.toxic, strict=True) if i in docs}
+    given = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = toxicity.score_toxicity(given, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), neighbours=5).collect()
+    want = toxicity_by_brute_force(docs, labels, 5)
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id][0], abs=1e-6)
+        assert r.evidence == want[r.doc_id][1]
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    insults, clean = "vile rotten nasty", "lake river stone tree"
+    rows = [(i, f"{insults if i % 4 == 0 else clean} w{i} {clean if i % 8 else ''}") for i in range(200)] + [(1000, f"{clean} " * 300_000), (1001, f"{insults} " * 300_000)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[1000] < 0.3 and got[1001] > 0.7
 
 
 def test_toxicity_of_odd_tables(spark):

@@ -80,7 +80,7 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[Vector], terms: int, block: int = 64):
         n = self.n = len(vectors)
-        lengths = [len(v[0]) for v in vectors]
+        lengths = np.array([len(v[0]) for v in vectors], np.int64)
         term = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
         weight = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
         example = np.repeat(np.arange(n), lengths)
@@ -89,7 +89,7 @@ class BlockMaxIndex:
         # Examples with the same heaviest common term, and of like weights of it, share blocks: their bounds are near their cosines.
         heavy = np.where(np.isin(term, common), weight, 0)
         by = np.lexsort((heavy, example))
-        last = np.cumsum(lengths)[np.array(lengths, int) > 0] - 1
+        last = np.cumsum(lengths)[lengths > 0] - 1
         lead, top = np.zeros(n, np.int64), np.zeros(n)
         lead[example[by][last]], top[example[by][last]] = term[by][last], heavy[by][last]
         self.order = np.lexsort((np.arange(n), top, lead))

@@ -29,6 +29,20 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[root[far]], names[far]
 
 
+def looked_up(hop: DataFrame, onward: DataFrame, few: int = 1 << 17, salts: int = 16) -> DataFrame:
+    """(node, old, root): each node with the label of its label, where that has another one. ``onward`` is
+    broadcast if it has at most ``few`` rows; else the nodes of a hot label are salted."""
+    root = F.coalesce("next", "mid").alias("root")
+    n = onward.count()
+    if not n:
+        return hop.select("node", "old", F.col("mid").alias("root"))
+    if n <= few:
+        return hop.join(F.broadcast(onward), "mid", "left").select("node", "old", root)
+    salted = hop.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    copies = onward.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["mid", "salt"], "left").select("node", "old", root)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", edges_per_task: int = 1 << 20) -> DataFrame:
     """(node, root) for each node of an edge (longs): root is the smallest node of its component.
 
@@ -57,9 +71,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", edges_per_t
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("m"))
-        hop = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid"))
-        onward = hop.select(F.col("node").alias("mid"), F.col("mid").alias("next"))
-        moved = staged(hop.join(onward, "mid", "left").select("node", "old", F.least("mid", F.coalesce("next", "mid")).alias("root")), "labels")
+        hop = staged(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid")), "hops")
+        # A label that is a root has no other label: members of a large component, who share
+        # one, are looked up once together, and in the end not at all.
+        onward = hop.where("mid < node").select(F.col("node").alias("mid"), F.col("mid").alias("next"))
+        moved = staged(looked_up(hop, staged(hop.select("mid").distinct().join(onward, "mid"), "onward")), "labels")
         labels = moved.select("node", "root")
         if moved.where("root <> old").isEmpty():
             return labels

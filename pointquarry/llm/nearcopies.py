@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointquarry.llm.common import staged
 from pointquarry.llm.graph import components
-from pointquarry.llm.simhash import bucket_links, fingerprint_of
+from pointquarry.llm.simhash import bucket_links, fingerprint_of, in_cells
 
 #: Words of a shingle, and the similarity of near copies as a fraction.
 WORDS, PART, WHOLE = 5, 4, 5
@@ -76,7 +76,8 @@ def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def pairs_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidates of a bucket, by places: all pairs of a few members. Of more, each with the member
-    nearest to the majority of bits among those not near to an earlier one, and with the next by size."""
+    nearest to the majority of bits among those not near to an earlier one, and with the next by size;
+    the rest of the pairs is left to ``prefix_pairs``."""
     if len(fp) <= FEW:
         a, b = np.triu_indices(len(fp), 1)
     else:
@@ -96,51 +97,48 @@ def pairs_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[fit], b[fit]
 
 
-def band_links(nodes: DataFrame, rows_per_task: int = 1 << 19) -> DataFrame:
-    """Candidates (src, dst) among nodes that share the key of a band."""
-    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() * BANDS // rows_per_task))
-    dealt = nodes.select(F.explode("bands").alias("key"), "node", "n", "fp").repartition(tasks, "key")
+def band_links(nodes: DataFrame, total: int, rows_per_task: int = 1 << 19, block: int = 1 << 17) -> DataFrame:
+    """Candidates (src, dst, partial) among nodes that share the key of a band; ``partial`` where the bucket
+    has others too. A bucket of more than ``block`` nodes is dealt in blocks of which each two meet."""
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-total * BANDS // rows_per_task))
+    rows = in_cells(nodes.select(F.explode("bands").alias("key"), "node", "n", "fp"), ["key"], "node", total, block)
+    dealt = rows.repartition(tasks, "key", "cell")
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(b.column(c).to_numpy() for c in ("key", "node", "n", "fp")) for b in batches]
+        held = [tuple(b.column(c).to_numpy() for c in ("key", "cell", "node", "n", "fp")) for b in batches]
         if not held:
             return
-        key, node, n, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((node, key))
-        key, node, n, fp = key[order], node[order], n[order], fp[order].view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, cell, node, n, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, cell, key))
+        key, cell, node, n, fp = key[order], cell[order], node[order], n[order], fp[order].view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
         two = two[sized(n[two], n[two + 1])]
-        src, dst = [node[two + 1]], [node[two]]
+        src, dst, partial = [node[two + 1]], [node[two]], [np.zeros(len(two), bool)]
         for at, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             a, b = pairs_of(fp[at : at + m], n[at : at + m])
             src.append(node[at : at + m][b])
             dst.append(node[at : at + m][a])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+            partial.append(np.full(len(a), m > FEW))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, partial)], ["src", "dst", "partial"])
 
-    return dealt.mapInArrow(of_task, "src long, dst long")
+    return dealt.mapInArrow(of_task, "src long, dst long, partial boolean")
 
 
 def print_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Candidates (src, dst) by fingerprints: the first nodes of linked ones, and nodes of one fingerprint with its first."""
+    """Candidates (src, dst, partial) by fingerprints: the first nodes of linked ones, and nodes of one
+    fingerprint with its first. These are spanning forests, so others may be near too."""
     first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
     same = nodes.select("fp", "node").join(first, "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
     near = bucket_links(first.select("fp"), radius)
     a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("src", "dst"))
-    return same.union(near.join(a, "src").join(b, "dst").select("first_src", "first_dst"))
+    return same.union(near.join(a, "src").join(b, "dst").select("first_src", "first_dst")).withColumn("partial", F.lit(True))
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidates whose sets of shingles share 4/5 of their union or more, counted exactly.
-
-    Texts are read again where a bitmap of the candidates' texts has a place for their hash,
-    so only the shingles of candidates are written and joined.
-    """
-    sizes = nodes.select("node", "n")
-    ordered = pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    both = ordered.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-    asked = staged(both.where(F.least("na", "nb") * WHOLE >= F.greatest("na", "nb") * PART), "near-asked")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, s): the shingles of all ends of the pairs. Texts are read again where a bitmap of the
+    ends' texts has a place for their hash, so only the shingles of candidates are written."""
     ends = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
     texts = staged(nodes.join(ends, "node").select("node", F.col("first.__hash").alias("__hash")), "near-texts")
     places = texts.select(F.pmod("__hash", F.lit(PLACES)).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
@@ -158,11 +156,79 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("__hash"), pa.array(sets, pa.list_(pa.int64()))], ["__hash", "s"])
 
     read = docs.select("__hash", F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(of_task, "__hash long, s array<long>")
-    sets = staged(read.join(texts, "__hash").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
+    return staged(read.join(texts, "__hash").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
+
+
+def verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b, na, nb) whose sets share 4/5 of their union or more, counted exactly."""
     sa, sb = (sets.withColumnsRenamed({"node": c, "s": f"s{c}"}) for c in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
     counted = asked.join(sa, "a").select("a", "b", "na", "nb", "sa").join(sb, "b").select("a", "b", "na", "nb", shared.alias("both"))
-    return counted.where(F.col("both") * WHOLE >= (F.col("na") + F.col("nb") - F.col("both")) * PART).select("a", "b")
+    return staged(counted.where(F.col("both") * WHOLE >= (F.col("na") + F.col("nb") - F.col("both")) * PART).select("a", "b"), "near-links")
+
+
+def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root, first, n) of all nodes."""
+    roots = components(links, "a", "b")
+    return staged(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds ``ra`` and ``rb``, the roots of the ends, to the pairs of which these differ."""
+    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return pairs.join(ra, "a").join(rb, "b").where("ra <> rb")
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, list_rows: int = 1 << 16) -> DataFrame:
+    """All pairs (a, b, na, nb) of nodes with different roots that can share 4/5 of their union.
+
+    An exact join by prefixes: shingles are ordered by how many of the given nodes have them, the rarest first.
+    Of two sets that are near copies the first fifths (and one more) share a shingle, at places after
+    which both still hold enough for the similarity. Passages that many nodes share come last in this order
+    and so make no pairs. In the list of a shingle only pairs of different roots are
+    formed: nodes of other roots than the most frequent one are compared with all. Long
+    lists are dealt in blocks of the most frequent root's nodes.
+    """
+    tokens = sets.join(nodes.select("node", "root", "n"), "node").select("node", "root", "n", F.explode("s").alias("t"))
+    df = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    ordered = tokens.join(df, "t").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("s"))
+    prefix = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).cast("int"))
+    held = staged(ordered.select("node", "root", "n", F.posexplode(prefix).alias("at", "x")).where("x.mixed").select("node", "root", "n", "at", "x.t"), "near-prefixes")
+    by_root = held.groupBy("t", "root").agg(F.count("*").alias("m"))
+    lists = staged(by_root.groupBy("t").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.max("m").alias("top")), "near-lists")
+    salts = F.ceil(F.col("top") / list_rows).cast("int")
+    own = F.when(F.col("root") == F.col("most"), F.array(F.pmod(F.hash("node"), salts))).otherwise(F.sequence(F.lit(0), salts - 1))
+    dealt = held.join(lists, "t").select("t", F.explode(own).alias("salt"), "node", "root", "n", "at", (F.col("root") == F.col("most")).alias("common"))
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-held.count() // (1 << 19)))
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "salt", "node", "root", "n", "at", "common")) for b in batches]
+        if not held:
+            return
+        t, salt, node, root, n, at, common = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((common, salt, t))
+        t, salt, node, root, n, at, common = (x[order] for x in (t, salt, node, root, n, at, common))
+
+        def close(i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
+            room = 1 + np.minimum(n[i] - 1 - at[i], n[j] - 1 - at[j])
+            return (root[j] != root[i]) & sized(n[i], n[j]) & (room * (PART + WHOLE) >= PART * (n[i] + n[j]))
+
+        starts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])]))
+        ends = np.append(starts[1:], len(t))
+        two = starts[ends - starts == 2]
+        left, right = [two], [two + 1]
+        for begin, end in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            # Nodes of the most frequent root come last and are not compared with one another.
+            for i in range(begin, begin + np.searchsorted(common[begin:end], True)):
+                j = i + 1 + np.flatnonzero(close(i, slice(i + 1, end)))
+                left.append(np.full(len(j), i))
+                right.append(j)
+        i, j = np.concatenate(left), np.concatenate(right)
+        i, j = (x[close(i, j)] for x in (i, j))
+        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], n[i], n[j])], ["a", "b", "na", "nb"])
+
+    return dealt.repartition(parts, "t", "salt").mapInArrow(of_task, "a long, b long, na long, nb long").distinct()
 
 
 def firsts(docs: DataFrame, radius: int, words_per_shingle: int) -> DataFrame:
@@ -172,12 +238,29 @@ def firsts(docs: DataFrame, radius: int, words_per_shingle: int) -> DataFrame:
     their distinct five-word shingles (words between ASCII white space, A-Z lower-cased); groups
     are what such pairs connect. Candidates are fingerprints within ``radius`` bits and documents that
     share a band of min-wise hashes. Of each candidate the similarity is counted, so no other pair
-    is linked. Equal sets are one node. Null and wordless texts are copies of one another.
+    is linked. Each document is compared with its most frequent candidate first, and then with those that
+    are in no group with it yet. In buckets of which only a part of the pairs were candidates the groups
+    with a pair that failed are joined exactly by prefixes, so every near copy that met in a
+    bucket is linked. Equal sets are one node. Null and wordless texts are copies of one another.
     """
     prints = staged(printed(docs, words_per_shingle), "near-prints")
     one = prints.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("first"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = staged(one, "near-nodes")
-    pairs = staged(print_links(nodes, radius).union(band_links(nodes)), "near-pairs")
-    roots = components(verified(docs, nodes, pairs), "a", "b")
-    groups = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    return groups.agg(F.min("first").alias("f")).select("f.__id", "f.__hash")
+    found = print_links(nodes, radius).union(band_links(nodes, nodes.count())).where("src <> dst")
+    pairs = found.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("partial").alias("partial"), F.max("dst").alias("hub"), F.count("*").alias("met"))
+    sizes = nodes.select("node", "n")
+    both = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+    asked = staged(both.where(F.least("na", "nb") * WHOLE >= F.greatest("na", "nb") * PART), "near-asked")
+    sets = shingle_sets(docs, nodes, asked)
+    best = asked.groupBy(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member")).agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("met", "hub")).alias("p"))
+    links = verified(best.select("p.*").distinct(), sets)
+    links = links.union(verified(apart(asked, rooted(nodes, links)), sets))
+    roots = rooted(nodes, links)
+    failed = staged(apart(asked.where("partial"), roots).select("ra", "rb"), "near-failed")
+    if not failed.isEmpty():
+        open_roots = failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
+        rest = staged(roots.join(open_roots, "root", "left_semi").select("node", "root", "n"), "near-rest")
+        more = verified(prefix_pairs(rest, sets), sets)
+        if not more.isEmpty():
+            roots = rooted(nodes, links.union(more))
+    return roots.groupBy("root").agg(F.min("first").alias("f")).select("f.__id", "f.__hash")

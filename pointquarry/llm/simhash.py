@@ -118,27 +118,49 @@ def spanning(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return src, dst
 
 
-def bucket_links(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20) -> DataFrame:
+def in_cells(rows: DataFrame, keys: list[str], node: str, total: int, block: int, sample: int = 1 << 16) -> DataFrame:
+    """Adds ``cell``, by which together with ``keys`` the members of a bucket are dealt to tasks.
+
+    Members of a bucket that a sample of ``sample`` nodes says to hold more than ``block`` of the ``total``
+    are cut into blocks; each pair of blocks is a cell, and a row goes to every cell of its block. So
+    all pairs of a bucket still meet, and no task holds more than two blocks. Each hot bucket
+    has a thousandth of the sample at least, so the table of these is bounded and broadcast.
+    """
+    if total <= block:
+        return rows.withColumn("cell", F.lit(0))
+    every = max(1, total // sample)
+    drawn = rows.where(F.pmod(F.xxhash64(node), F.lit(every)) == 0)
+    seen = drawn.groupBy(*keys).agg(F.count("*").alias("seen")).where(F.col("seen") >= max(block / every, sample / 1024))
+    hot = staged(seen.select(*keys, F.ceil(F.col("seen") * every / block).cast("int").alias("blocks")), "hot-buckets")
+    n = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.hash(F.col(node), F.lit(17)), n)
+    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own, j) * n + F.greatest(own, j))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("cell", F.explode(cells)).drop("blocks")
+
+
+def bucket_links(prints: DataFrame, radius: int, rows_per_task: int = 1 << 20, block: int = 1 << 18) -> DataFrame:
     """Links that join distinct fingerprints as all pairs within ``radius`` do.
 
     The fingerprints are dealt to the buckets of all covering masks, ``rows_per_task`` in a task
-    or so. A task sorts its rows by bucket and links the members of each bucket that are within
+    or so, and those of a bucket of more than ``block`` in blocks of which each two meet. A task
+    sorts its rows by bucket and links the members of each bucket that are within
     the radius, by a spanning forest and never by all pairs.
     """
-    masks = covering_masks(radius)
+    masks, total = covering_masks(radius), prints.count()
     rows = prints.select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("v", "mask"))
-    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() * len(masks) // rows_per_task))
-    dealt = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).repartition(tasks, "v", "key").select("v", "fp")
+    rows = in_cells(rows.select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), ["v", "key"], "fp", total, block)
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, -(-total * len(masks) // rows_per_task))
+    dealt = rows.repartition(tasks, "v", "key", "cell").select("v", "fp", "cell")
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("v").to_numpy(), b.column("fp").to_numpy().view(np.uint64)) for b in batches]
+        held = [(b.column("v").to_numpy(), b.column("fp").to_numpy().view(np.uint64), b.column("cell").to_numpy()) for b in batches]
         if not held:
             return
-        v, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        v, fp, cell = (np.concatenate(x) for x in zip(*held, strict=True))
         key = fp & np.array(masks, np.uint64)[v]
-        order = np.lexsort((fp, key, v))
-        v, fp, key = v[order], fp[order], key[order]
-        starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (key[1:] != key[:-1])]))
+        order = np.lexsort((fp, cell, key, v))
+        v, fp, key, cell = v[order], fp[order], key[order], cell[order]
+        starts = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
         sizes = np.diff(np.append(starts, len(v)))
         two = starts[sizes == 2]
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]

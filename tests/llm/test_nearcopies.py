@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pointquarry.llm import nearcopies
+from pointquarry.llm import graph, nearcopies, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 KINDS = ("scattered", "appended", "replaced")
@@ -62,6 +62,57 @@ def test_a_large_group_hangs_together(spark, sf_dir):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()] == [0]
 
 
+def test_prefixes_miss_no_pair(spark):
+    rng = np.random.default_rng(13)
+    bases = [rng.choice(10**6, 60, replace=False) for _ in range(8)]
+    shared = rng.choice(10**6, 40, replace=False)
+    sets = {}
+    for i in range(160):
+        own = set(rng.choice(bases[i % 8], int(rng.integers(50, 61)), replace=False).tolist())
+        sets[i] = own | (set(shared.tolist()) if i % 3 else set()) | set(rng.integers(0, 10**6, int(rng.integers(0, 8))).tolist())
+    roots = {i: i % 8 if i % 5 else i for i in sets}
+    nodes = spark.createDataFrame([(i, roots[i], len(s)) for i, s in sets.items()], "node long, root long, n long")
+    given = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, s array<long>")
+    want = {(i, j) for i in sets for j in sets if i < j and roots[i] != roots[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    for rows in (1 << 16, 3):
+        found = nearcopies.prefix_pairs(nodes, given, list_rows=rows)
+        assert {(r.a, r.b) for r in nearcopies.verified(found, given).collect()} == want
+        assert len(want) > 100 and found.count() < 6 * len(want)
+
+
+def test_a_pair_far_from_its_crowd_is_linked(spark, sf_dir):
+    """Copies of a crowd's text whose own edits agree: near each other, but not near the crowd's middle."""
+    rng = np.random.default_rng(14)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    texts = [" ".join(edited(rng, base, "scattered", 0.004)) for _ in range(200)]
+    apart = edited(rng, base, "replaced", 0.14)
+    texts += [" ".join(edited(rng, apart, "scattered", 0.004)) for _ in range(3)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()) == [0, 200]
+
+
+@pytest.mark.parametrize("block", [10, 50, 10**6])
+def test_buckets_in_blocks_link_alike(spark, block):
+    rng = np.random.default_rng(15)
+    middle = int(rng.integers(1, 2**62))
+    fps = sorted({middle ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 5)), replace=False)) for _ in range(150)})
+    prints = spark.createDataFrame([(x,) for x in fps], "fp long")
+    roots = {r.node: r.root for r in graph.components(simhash.bucket_links(prints, 4, block=block)).collect()}
+    parent = {x: x for x in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in fps:
+        for y in fps:
+            if (x ^ y).bit_count() <= 4:
+                a, b = sorted((find(x), find(y)))
+                parent[b] = a
+    assert {x: roots.get(x, x) for x in fps} == {x: find(x) for x in fps}
+
+
 def test_short_and_wordless_texts(spark, sf_dir):
     rows = [(1, "a b", None, None, None), (2, "A  b", None, None, None), (3, "a b c", None, None, None), (4, "", None, None, None), (5, None, None, None, None), (6, " \n", None, None, None)]
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect())

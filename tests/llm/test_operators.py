@@ -142,6 +142,15 @@ def test_links_of_any_radius(spark, radius):
     assert [roots.get(simhash.signed(x), simhash.signed(x)) for x in fps] == want
 
 
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_labels_of_labels(spark, few):
+    hop = spark.createDataFrame([(i, i, 5 if i > 4 else max(0, i - 1)) for i in range(60)], "node long, old long, mid long")
+    onward = hop.where("mid < node").selectExpr("node as mid", "mid as next")
+    asked = hop.select("mid").distinct().join(onward, "mid")
+    label = {r.node: r.mid for r in hop.collect()}
+    assert {r.node: r.root for r in graph.looked_up(hop, asked, few).collect()} == {i: label[label[i]] for i in label}
+
+
 @pytest.mark.parametrize("per_task", [1 << 20, 7])
 def test_components_by_brute_force(spark, per_task):
     rng = np.random.default_rng(5)

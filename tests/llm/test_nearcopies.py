@@ -74,8 +74,8 @@ def test_prefixes_miss_no_pair(spark):
     nodes = spark.createDataFrame([(i, roots[i], len(s)) for i, s in sets.items()], "node long, root long, n long")
     given = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, s array<long>")
     want = {(i, j) for i in sets for j in sets if i < j and roots[i] != roots[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    for rows in (1 << 16, 3):
-        found = nearcopies.prefix_pairs(nodes, given, list_rows=rows)
+    for spread in (8.0, 0.5):
+        found = nearcopies.prefix_pairs(nodes, given, spread)
         assert {(r.a, r.b) for r in nearcopies.verified(found, given).collect()} == want
         assert len(want) > 100 and found.count() < 6 * len(want)
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from pointquarry.functions.geodesy import checked_position
 from pointquarry.functions.octree import key_of, place_at
-from pointquarry.functions.wkt import chosen_system, projection_of
+from pointquarry.functions.wkt import chosen_system, projection_of, units_of
 from pointquarry.operators import nearest, profile, reproject, shading, tree
 from pointquarry.sinks import tiles as tile_sink
 from pointquarry.sources import clouds
@@ -38,16 +39,39 @@ class PointCloud:
     options: Options = field(default_factory=Options)
     order: tuple[str, ...] = ("x", "y", "z")
     header_crs: str | None = None
+    low: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, side: float, max_depth: int, **options) -> PointCloud:
-        """A Parquet table with x, y, z and a depth ``d`` for each point (0 where there is none)."""
-        p = spark.read.parquet(path)
-        p = p if "d" in p.columns else p.withColumn("d", F.lit(0))
-        p = p.where(F.col("d") <= max_depth)
-        for a in "xyz":
-            p = p.withColumn(f"k{a}", place_at(F.col(a), 0.0, side, F.col("d")))
-        return cls(p.withColumn("node_key", key_of(*map(F.col, ("d", "kx", "ky", "kz")))), side, Options(**options))
+    def of(cls, points: DataFrame, side: float, max_depth: int, low: tuple[float, float, float] = (0.0, 0.0, 0.0), header_crs: str | None = None, **options) -> PointCloud:
+        """Points with x, y, z and a depth ``d`` (0 where there is none); deeper ones than ``max_depth``
+        are points of the nodes at that depth. The middle of the cube must have a longitude and a latitude."""
+        depth = F.least(F.col("d"), F.lit(max_depth)) if "d" in points.columns else F.lit(0)
+        p = points.withColumn("d", depth.cast("int"))
+        for a, at in zip("xyz", low, strict=True):
+            p = p.withColumn(f"k{a}", place_at(F.col(a), at, side, F.col("d")))
+        cloud = cls(p.withColumn("node_key", key_of(*map(F.col, ("d", "kx", "ky", "kz")))), side, Options(**options), header_crs=header_crs, low=tuple(low))
+        if cloud.options.crs or header_crs or cloud.options.default_crs:
+            middle = cloud.projection.inverse(*(F.lit(float(low[i] + side / 2)) for i in (0, 1)))
+            points.sparkSession.range(1).select(checked_position(*middle)).first()
+        return cloud
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, side: float, max_depth: int, **settings) -> PointCloud:
+        """A Parquet table of points, see ``of``."""
+        return cls.of(spark.read.parquet(path), side, max_depth, **settings)
+
+    @classmethod
+    def of_header(cls, points: DataFrame, header: Row, max_depth: int, **options) -> PointCloud:
+        """Points of the file that a row of ``copc.headers`` describes: its cube and its reference system,
+        with the units that this names."""
+        cube = header["cube"]
+        forced = options.get("crs") or header["crs"] or options.get("default_crs") or ""
+        across, up, _ = units_of(forced)
+        return cls.of(points, cube[3] - cube[0], max_depth, tuple(cube[:3]), header["crs"], **{"unit": across, "z_unit": up} | options)
+
+    @property
+    def projection(self):
+        return projection_of(chosen_system(self.options.crs, self.header_crs, self.options.default_crs))
 
     @property
     def nodes(self) -> DataFrame:
@@ -59,15 +83,15 @@ class PointCloud:
         shown = clouds.visible(self.points, self.options.hide)
         if self.options.point_budget <= 0:
             return shown
-        cut = profile.point_budget(self.nodes, self.options.point_budget).select("node_key", "take")
+        counted = shown.groupBy("d", "kx", "ky", "kz", "node_key").agg(F.count("*").alias("point_count"))
+        cut = profile.point_budget(counted, self.options.point_budget).select("node_key", "take")
         ranked = nearest.feature_ids(shown, list(self.order)).join(cut, "node_key")
         return ranked.where(F.col("feature_id") < F.col("take")).drop("feature_id", "take")
 
     def placed(self) -> DataFrame:
         """Visible points with ``lon``, ``lat`` and ``h``."""
-        projection = projection_of(chosen_system(self.options.crs, self.header_crs, self.options.default_crs))
         b = self.points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-        p = self.visible if b[0] is None else reproject.reprojected(self.visible, projection, (b[0], b[1]), (b[2], b[3]))
+        p = self.visible if b[0] is None else reproject.reprojected(self.visible, self.projection, (b[0], b[1]), (b[2], b[3]))
         return p.withColumn("h", F.col("z") * self.options.z_unit)
 
     def colored(self) -> DataFrame:
@@ -93,7 +117,7 @@ class PointCloud:
 
     def snap(self, seeds: DataFrame, keep: list[str], max_depth: int = 32) -> DataFrame:
         """The nearest visible point in the deepest node around each seed (seed_id, x, y, z)."""
-        at = tree.locate(seeds, self.nodes, self.side, max_depth).select("seed_id", "node_key")
+        at = tree.locate(seeds, self.nodes, self.side, max_depth, low=self.low).select("seed_id", "node_key")
         shown = clouds.visible(self.points, self.options.hide)
         return nearest.nearest_in_node(seeds.join(at, "seed_id"), shown, keep, list(self.order), self.options.unit, self.options.z_unit)
 

@@ -1,61 +1,164 @@
-"""Units in the text of coordinate reference systems, as columns over rows of datasets, and
-the choice of a reference system when a dataset is opened."""
+"""Coordinate reference systems in well-known text or as projection strings: their units, and
+the closed-form projection they name.
+
+A text is read once into a tree of its nodes, however deep they nest, after the grammar of the public
+standard (ISO 19162 and the older OGC 01-009): a keyword, and in brackets strings, numbers, names and nodes.
+A projection string is a map of its ``+key=value`` pairs.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Metres in the units that a projection string names.
-NAMED_UNITS = {"m": 1.0, "ft": 0.3048, "us-ft": 1200 / 3937}
-PROJECTED, GEOGRAPHIC = ("PROJCS", "PROJCRS"), ("GEOGCS", "GEOGCRS", "GEOGRAPHICCRS")
-VERTICAL = ("VERT_CS", "VERTCS", "VERTCRS", "VERTICALCRS")
-#: A bracketed part nests at most so deep: deeper brackets don't occur in well-known text.
-DEPTH = 10
-
-
-def bracketed(text: Column, keywords: tuple[str, ...]) -> Column:
-    """The part of the earliest keyword with its balanced brackets; null without one."""
-    body = r"[^\[\]]*"
-    nested = body
-    for _ in range(DEPTH):
-        nested = rf"{body}(?:\[{nested}\]{body})*+"
-    found = F.regexp_extract(text, rf"(?i)\b(?:{'|'.join(keywords)})\s*\[{nested}\]", 0)
-    return F.nullif(found, F.lit(""))
-
-
-def last_unit(text: Column) -> Column:
-    """Metres of the last linear unit in a part."""
-    found = F.regexp_extract_all(text, F.lit(r'(?i)(?:LENGTHUNIT|UNIT)\s*\["[^"]*",\s*([0-9.eE+-]+)'), 1)
-    return F.when(F.size(found) > 0, F.element_at(found, -1)).cast("double")
+from pointquarry.functions import geodesy
+
+# Fixed values of the public standards: metres of named units, and the keywords of kinds of nodes.
+NAMED_UNITS = {"m": 1.0, "ft": 0.3048, "us-ft": 1200 / 3937}
+PROJECTED, GEOGRAPHIC = {"PROJCS", "PROJCRS"}, {"GEOGCS", "GEOGCRS", "GEOGRAPHICCRS"}
+VERTICAL, COMPOUND = {"VERT_CS", "VERTCS", "VERTCRS", "VERTICALCRS"}, {"COMPD_CS", "COMPOUNDCRS"}
+LENGTH, METHOD = {"UNIT", "LENGTHUNIT"}, {"PROJECTION", "METHOD"}
+# Names of projections and of their parameters in both versions of the standard.
+METHODS = {
+    "transverse_mercator": "tmerc",
+    "lambert_conformal_conic_2sp": "lcc",
+    "lambert_conformal_conic_1sp": "lcc",
+    "lambert_conic_conformal_(2sp)": "lcc",
+    "lambert_conic_conformal_(1sp)": "lcc",
+    "lambert_conformal_conic": "lcc",
+    "popular_visualisation_pseudo_mercator": "webmerc",
+    "mercator_auxiliary_sphere": "webmerc",
+}
+PARAMETERS = {
+    "latitude_of_origin": "lat_0",
+    "latitude_of_natural_origin": "lat_0",
+    "latitude_of_false_origin": "lat_0",
+    "central_meridian": "lon_0",
+    "longitude_of_natural_origin": "lon_0",
+    "longitude_of_false_origin": "lon_0",
+    "standard_parallel_1": "lat_1",
+    "latitude_of_1st_standard_parallel": "lat_1",
+    "standard_parallel_2": "lat_2",
+    "latitude_of_2nd_standard_parallel": "lat_2",
+    "scale_factor": "k",
+    "scale_factor_at_natural_origin": "k",
+    "false_easting": "x_0",
+    "easting_at_false_origin": "x_0",
+    "false_northing": "y_0",
+    "northing_at_false_origin": "y_0",
+}
+TOKEN = re.compile(r'"((?:[^"]|"")*)"|([A-Za-z_]\w*)|([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|([\[(])|([\])])')
+
+
+@dataclass
+class Node:
+    """A node of well-known text; ``parts`` are strings, numbers and nodes in their order."""
+
+    kind: str
+    parts: list = field(default_factory=list)
+
+    @property
+    def nodes(self) -> list[Node]:
+        return [p for p in self.parts if isinstance(p, Node)]
+
+    def walk(self) -> Iterator[Node]:
+        """This node and all below, in the order of the text."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += reversed(node.nodes)
+
+    def first(self, kinds: set[str]) -> Node | None:
+        return next((n for n in self.walk() if n.kind in kinds), None)
+
+    def number(self) -> float | None:
+        return next((p for p in self.parts if isinstance(p, float)), None)
+
+    def name(self) -> str:
+        return next((p for p in self.parts if isinstance(p, str)), "")
+
+    def length_unit(self) -> float | None:
+        """Metres of the node's own unit, which stands in it or in its axes."""
+        for holder in ([self], [n for n in self.nodes if n.kind == "AXIS"]):
+            found = [u.number() for h in holder for u in h.nodes if u.kind in LENGTH and u.number() is not None]
+            if found:
+                return found[-1]
+        return None
+
+
+def tree_of(text: str) -> Node:
+    """The nodes of a text below a nameless root; brackets that never close end with the text."""
+    root = Node("")
+    path, word = [root], ""
+    for string, name, number, opened, closed in (m.groups() for m in TOKEN.finditer(text)):
+        if opened:
+            node = Node(word.upper())
+            path[-1].parts.append(node)
+            path.append(node)
+        elif closed:
+            path = path[:-1] or path
+        elif number:
+            path[-1].parts.append(float(number))
+        elif string is not None:
+            path[-1].parts.append(string.replace('""', '"'))
+        word = name or ""
+    return root
+
+
+def pairs_of(text: str) -> dict[str, str]:
+    """The ``+key=value`` pairs of a projection string; a key alone has an empty value."""
+    words = (w[1:].partition("=") for w in text.split() if w.startswith("+"))
+    return {key: value for key, _, value in words}
+
+
+def named(pairs: dict[str, str], unit: str, factor: str) -> float | None:
+    if pairs.get(unit) in NAMED_UNITS:
+        return NAMED_UNITS[pairs[unit]]
+    return float(pairs[factor]) if pairs.get(factor) else None
+
+
+def units_of(text: str) -> tuple[float, float, bool]:
+    """Metres of the horizontal and of the vertical unit, and whether the text is compound. An unknown
+    horizontal unit is 1, an unknown vertical one the horizontal one."""
+    root, pairs = tree_of(text), pairs_of(text)
+    projected, vertical = root.first(PROJECTED), root.first(VERTICAL)
+    across = projected.length_unit() if projected else named(pairs, "units", "to_meter")
+    across = 1.0 if across is None else across
+    up = vertical.length_unit() if vertical else None
+    up = named(pairs, "vunits", "vto_meter") if up is None else up
+    compound = bool(root.nodes) and root.nodes[0].kind in COMPOUND and root.first(PROJECTED | GEOGRAPHIC) is not None
+    return across, across if up is None else up, compound
+
+
+def units(text: Column) -> Column:
+    """A struct of ``horizontal``, ``vertical`` and ``compound`` for each text; null texts have null."""
+
+    @F.arrow_udf("struct<horizontal:double,vertical:double,compound:boolean>")
+    def of_batch(texts: pa.Array) -> pa.Array:
+        kind = pa.struct([("horizontal", pa.float64()), ("vertical", pa.float64()), ("compound", pa.bool_())])
+        return pa.array([None if t is None else dict(zip(("horizontal", "vertical", "compound"), units_of(t), strict=True)) for t in texts.to_pylist()], kind)
+
+    return of_batch(text)
 
 
-def named_unit(text: Column, units: str, factor: str) -> Column:
-    """Metres of ``+units`` or of ``+factor`` in a projection string."""
-    name = F.regexp_extract(text, rf"(?:^|\s)\+{units}=([^\s]+)", 1)
-    out = F
-    for k, v in NAMED_UNITS.items():
-        out = out.when(name == k, F.lit(v))
-    return out.otherwise(F.nullif(F.regexp_extract(text, rf"(?:^|\s)\+{factor}=([0-9.eE+-]+)", 1), F.lit("")).cast("double"))
-
-
-def horizontal_unit(text: Column) -> Column:
-    """Metres of the horizontal unit, 1 if unknown."""
-    projected = bracketed(text, PROJECTED)
-    return F.coalesce(F.when(projected.isNotNull(), last_unit(projected)).otherwise(named_unit(text, "units", "to_meter")), F.lit(1.0))
-
+@dataclass(frozen=True)
+class Scaled:
+    """A projection in another unit than metres."""
 
-def horizontal_part(text: Column) -> Column:
-    """The horizontal system of a compound one, or the text itself."""
-    part = F.coalesce(bracketed(text, PROJECTED), bracketed(text, GEOGRAPHIC))
-    return F.when(text.rlike(r"(?i)^\s*(?:COMPD_CS|COMPOUNDCRS)\s*\["), F.coalesce(part, text)).otherwise(text)
+    inner: object
+    to_meter: float
 
+    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        return tuple(c / self.to_meter for c in self.inner.forward(lon, lat))
 
-def vertical_unit(text: Column) -> Column:
-    """Metres of the height unit, or else of the horizontal one."""
-    return F.coalesce(last_unit(bracketed(text, VERTICAL)), named_unit(text, "vunits", "vto_meter"), horizontal_unit(text))
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        return self.inner.inverse(x * self.to_meter, y * self.to_meter)
 
 
 def chosen_system(forced: str | None, header: str | None, default: str | None) -> str:
@@ -66,22 +169,41 @@ def chosen_system(forced: str | None, header: str | None, default: str | None) -
     return found
 
 
+def settings_of(text: str) -> tuple[str | None, dict[str, float], float]:
+    """The kind of projection, its numbers with lengths in metres, and the metres of its unit."""
+    root = tree_of(text)
+    projected = root.first(PROJECTED)
+    if projected is not None:
+        unit, method = projected.length_unit() or 1.0, projected.first(METHOD)
+        kind = METHODS.get(re.sub(r"\s+", "_", method.name().strip().lower())) if method else None
+        given = {PARAMETERS.get(re.sub(r"\s+", "_", n.name().lower())): n for n in projected.walk() if n.kind == "PARAMETER"}
+        given.pop(None, None)
+        lengths = {k: n.length_unit() or unit for k, n in given.items() if k in ("x_0", "y_0")}
+        return kind, {k: (n.number() or 0.0) * lengths.get(k, 1.0) for k, n in given.items()}, unit
+    if root.first(GEOGRAPHIC) is not None:
+        return "longlat", {}, 1.0
+    pairs = pairs_of(text)
+    kind = {"latlong": "longlat"}.get(pairs.get("proj"), pairs.get("proj"))
+    if kind == "merc" and float(pairs.get("a") or 0) == float(pairs.get("b") or 0) == 6378137.0:
+        kind = "webmerc"
+    if kind == "utm":
+        zone = geodesy.utm(int(pairs["zone"]), "south" in pairs)
+        return "tmerc", {"lon_0": zone.lon0, "k": zone.scale, "x_0": zone.x0, "y_0": zone.y0}, named(pairs, "units", "to_meter") or 1.0
+    numbers = {"k" if k == "k_0" else k: float(v) for k, v in pairs.items() if k in {*PARAMETERS.values(), "k_0"} and v}
+    return kind, numbers, named(pairs, "units", "to_meter") or 1.0
+
+
 def projection_of(text: str):
-    """The projection that a proj string names, of those with a closed form."""
-    from pointquarry.functions.geodesy import ConformalConic, LongLat, TransverseMercator, WebMercator, utm
-
-    parts = dict(re.findall(r"\+(\w+)(?:=(\S+))?", text))
-    unit = NAMED_UNITS.get(parts.get("units", ""), float(parts.get("to_meter") or 1.0))
-    number = lambda k, d=0.0: float(parts.get(k) or d)
-    kind = parts.get("proj")
-    if kind in ("longlat", "latlong"):
-        return LongLat()
-    if kind == "utm" and unit == 1:
-        return utm(int(parts["zone"]), "south" in parts)
-    if kind == "tmerc" and unit == 1 and number("lat_0") == 0:
-        return TransverseMercator(number("lon_0"), number("k", number("k_0", 1.0)), number("x_0"), number("y_0"))
+    """The projection that well-known text or a proj string names, of those with a closed form."""
+    kind, n, unit = settings_of(text)
+    if kind == "longlat":
+        return geodesy.LongLat()
+    if kind == "webmerc":
+        return geodesy.WebMercator()
+    if kind == "tmerc" and not n.get("lat_0"):
+        found = geodesy.TransverseMercator(n.get("lon_0", 0.0), n.get("k", 1.0), n.get("x_0", 0.0), n.get("y_0", 0.0))
+        return found if unit == 1 else Scaled(found, unit)
     if kind == "lcc":
-        return ConformalConic(number("lat_1"), number("lat_2", number("lat_1")), number("lat_0"), number("lon_0"), number("x_0"), number("y_0"), unit)
-    if kind == "merc" and number("a") == number("b") == 6378137.0:
-        return WebMercator()
+        first = n.get("lat_1", n.get("lat_0", 0.0))
+        return geodesy.ConformalConic(first, n.get("lat_2", first), n.get("lat_0", first), n.get("lon_0", 0.0), n.get("x_0", 0.0), n.get("y_0", 0.0), unit)
     raise ValueError(f"no closed form for {text[:60]!r}; longlat, utm, tmerc, lcc and web Mercator have one")

@@ -31,18 +31,18 @@ def descend(keys: DataFrame) -> DataFrame:
     return moved.withColumn("node_key", key_of(F.col("d"), *map(F.col, PLACES)))
 
 
-def locate(seeds: DataFrame, nodes: DataFrame, side: float, max_depth: int, id_col: str = "seed_id") -> DataFrame:
+def locate(seeds: DataFrame, nodes: DataFrame, side: float, max_depth: int, id_col: str = "seed_id", low: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """The deepest node around each seed that is reached without a gap from the root.
 
-    A seed names its key at each depth, the keys meet the nodes in one equi-join, and the
+    A seed names its key at each depth (in a cube at ``low`` of ``side``), the keys meet the nodes in one equi-join, and the
     depths found are a prefix as long as their number says. Seeds outside the cube, or
     without a root, have no row.
     """
     inside = seeds
-    for a in "xyz":
-        inside = inside.where(within(F.col(a), 0.0, side))
+    for a, at in zip("xyz", low, strict=True):
+        inside = inside.where(within(F.col(a), at, side))
     each = inside.select(id_col, "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("d"))
-    at = each.withColumn("node_key", key_of(F.col("d"), *[place_at(F.col(a), 0.0, side, F.col("d")) for a in "xyz"]))
+    at = each.withColumn("node_key", key_of(F.col("d"), *[place_at(F.col(a), b, side, F.col("d")) for a, b in zip("xyz", low, strict=True)]))
     met = at.join(nodes.select("node_key"), "node_key").select(id_col, "d", "node_key")
     depths = met.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("d", "node_key"))).alias("path"))
     prefix = F.filter("path", lambda s, i: s["d"] == i)

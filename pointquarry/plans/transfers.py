@@ -153,15 +153,16 @@ SYSTEMS = [
     ("proj", "+proj=lcc +lat_1=43 +units=ft +vunits=m +no_defs"),
     ("factor", "+proj=tmerc +to_meter=0.5 +vto_meter=2"),
     ("bare", "+proj=longlat"),
+    ("deep", 'PROJCS["deep",' + "A[" * 40 + '"x"' + "]" * 40 + ',GEOGCS["g",UNIT["degree",0.0174]],UNIT["foot",0.3048]]'),
+    ("axes", 'COMPOUNDCRS["axes",PROJCRS["p",CS[Cartesian,2],AXIS["e",east,LENGTHUNIT["metre",2.5]]],VERTCRS["v",CS[vertical,1],AXIS["up",up],LENGTHUNIT["foot",0.3048]]]'),
 ]
 
 
-@query("", "SELECT * FROM (VALUES ('utm', 1.0::DOUBLE, 1.0::DOUBLE, false), ('feet', 0.3048::DOUBLE, 1.0::DOUBLE, true), ('geo', 1.0::DOUBLE, 0.3048::DOUBLE, true), ('proj', 0.3048::DOUBLE, 1.0::DOUBLE, false), ('factor', 0.5::DOUBLE, 2.0::DOUBLE, false), ('bare', 1.0::DOUBLE, 1.0::DOUBLE, false)) t(name, horizontal, vertical, inner_part)")
+@query("", "SELECT * FROM (VALUES ('utm', 1.0::DOUBLE, 1.0::DOUBLE, false), ('feet', 0.3048::DOUBLE, 1.0::DOUBLE, true), ('geo', 1.0::DOUBLE, 0.3048::DOUBLE, true), ('proj', 0.3048::DOUBLE, 1.0::DOUBLE, false), ('factor', 0.5::DOUBLE, 2.0::DOUBLE, false), ('bare', 1.0::DOUBLE, 1.0::DOUBLE, false), ('deep', 0.3048::DOUBLE, 0.3048::DOUBLE, false), ('axes', 2.5::DOUBLE, 0.3048::DOUBLE, true)) t(name, horizontal, vertical, inner_part)")
 def wkt_units(spark, sf):
     """Units of reference systems in several notations."""
     s = spark.createDataFrame(SYSTEMS, "name string, def string")
-    d = F.col("def")
-    return s.select("name", wkt.horizontal_unit(d).alias("horizontal"), wkt.vertical_unit(d).alias("vertical"), (wkt.horizontal_part(d) != d).alias("inner_part"))
+    return s.select("name", wkt.units(F.col("def")).alias("u")).select("name", "u.horizontal", "u.vertical", F.col("u.compound").alias("inner_part"))
 
 
 @query("requests", """

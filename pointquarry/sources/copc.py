@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 HEADER_BYTES = 589
 INFO_AT = 429
 ENTRY = "<4iQ2i"
+HEADER_SIZE_AT, RECORDS_AT, LONG_RECORDS_AT = 94, 100, 235
+RECORD, LONG_RECORD = "<2x16sHH32x", "<2x16sHQ32x"
+CRS_USER, CRS_RECORD = b"LASF_Projection", 2112
 SCALE_AT, OFFSET_AT, BOUNDS_AT, COUNT_AT = 131, 155, 179, 247
 
 ReadRange = Callable[[str, int, int], bytes]
@@ -40,6 +43,21 @@ def read_range(path: str, begin: int, end: int, attempts: int = 4, wait_s: float
     return data
 
 
+def crs_of(path: str, raw: bytes, reader: ReadRange) -> str | None:
+    """The reference system in well-known text, from the records behind the header or at the
+    end of the file; null without one. Only the heads of records are read, and the text."""
+    starts = [(struct.unpack_from("<H", raw, HEADER_SIZE_AT)[0], struct.unpack_from("<I", raw, RECORDS_AT)[0], RECORD)]
+    starts.append((*struct.unpack_from("<QI", raw, LONG_RECORDS_AT), LONG_RECORD))
+    for at, n, layout in starts:
+        head = struct.calcsize(layout)
+        for _ in range(n):
+            user, kind, size = struct.unpack(layout, reader(path, at, at + head))
+            if user.rstrip(b"\0") == CRS_USER and kind == CRS_RECORD:
+                return reader(path, at + head, at + head + size).rstrip(b"\0").decode() or None if size else None
+            at += head + size
+    return None
+
+
 def header_of(path: str, reader: ReadRange) -> dict:
     raw = reader(path, 0, HEADER_BYTES)
     if raw[:4] != b"LASF" or raw[377:381] != b"copc":
@@ -57,6 +75,7 @@ def header_of(path: str, reader: ReadRange) -> dict:
         "spacing": spacing,
         "page_off": page_off,
         "page_len": page_len,
+        "crs": crs_of(path, raw, reader),
     }
 
 
@@ -66,7 +85,7 @@ def entries_of(raw: bytes) -> Iterator[tuple[int, ...]]:
     return struct.iter_unpack(ENTRY, raw)
 
 
-HEADER_SCHEMA = "path string, point_count long, scale array<double>, offset array<double>, min array<double>, max array<double>, cube array<double>, spacing double, page_off long, page_len long"
+HEADER_SCHEMA = "path string, point_count long, scale array<double>, offset array<double>, min array<double>, max array<double>, cube array<double>, spacing double, page_off long, page_len long, crs string"
 ENTRY_SCHEMA = "path string, node_key string, d int, x int, y int, z int, off long, len long, point_count long, is_page boolean"
 
 
@@ -76,13 +95,13 @@ def paths_of(spark: SparkSession, folder: str, pattern: str = "*.copc.laz") -> D
 
 
 def headers(files: DataFrame, reader: ReadRange = read_range) -> DataFrame:
-    """A row per file: bounds, cube, spacing and the place of the first hierarchy page."""
+    """A row per file: bounds, cube, spacing, the place of the first hierarchy page, the reference system."""
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
         for batch in batches:
             rows = [header_of(p, reader) for p in batch.column("path").to_pylist()]
-            kinds = [pa.string(), pa.int64(), *[pa.list_(pa.float64())] * 5, pa.float64(), pa.int64(), pa.int64()]
+            kinds = [pa.string(), pa.int64(), *[pa.list_(pa.float64())] * 5, pa.float64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
     return files.select("path").mapInArrow(of_task, HEADER_SCHEMA)

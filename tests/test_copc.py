@@ -36,6 +36,30 @@ def test_header_and_hierarchy(spark, tmp_path):
     assert found == {("0-0-0-0", 50, False), ("1-0-0-1", 0, False), ("3-1-1-1", 5, False), ("5-0-0-0", 7, False)}
 
 
+def test_a_cloud_is_opened_by_its_header(spark, tmp_path):
+    from pointquarry.cloud import PointCloud
+
+    cloud(tmp_path / "a.copc.laz")
+    raw = bytearray((tmp_path / "a.copc.laz").read_bytes())
+    text = b'PROJCS["m",GEOGCS["g"],PROJECTION["Popular_Visualisation_Pseudo_Mercator"],UNIT["metre",1]]'
+    records = struct.pack(copc.RECORD, b"copc", 1, 160) + bytes(160) + struct.pack(copc.RECORD, copc.CRS_USER, copc.CRS_RECORD, len(text)) + text
+    raw[5500 : 5500 + len(records)] = records
+    struct.pack_into("<H", raw, copc.HEADER_SIZE_AT, 5500)
+    struct.pack_into("<I", raw, copc.RECORDS_AT, 2)
+    (tmp_path / "a.copc.laz").write_bytes(raw)
+    header = copc.headers(copc.paths_of(spark, str(tmp_path))).first()
+    assert header.crs == text.decode()
+    points = spark.createDataFrame([(10.0, 20.0, 5.0, 2, 9), (99.0, 99.0, 99.0, 1, 3)], "x double, y double, z double, classification int, d int")
+    opened = PointCloud.of_header(points, header, 4)
+    assert sorted(r.node_key for r in opened.nodes.collect()) == ["3-7-7-7", "4-1-3-0"]
+    lons = sorted(r.lon for r in opened.placed().collect())
+    assert lons[0] == pytest.approx(10 / 6378137 * 57.29577951, abs=1e-9)
+    moved = PointCloud.of(points.selectExpr("x + 5e5 as x", "y + 4e6 as y", "z", "classification", "d"), 100.0, 4, low=(5e5, 4e6, 0.0), default_crs="+proj=utm +zone=10")
+    assert sorted(r.node_key for r in moved.nodes.collect()) == ["3-7-7-7", "4-1-3-0"]
+    with pytest.raises(Exception, match="out of range"):
+        PointCloud.of(points, 100.0, 4, low=(5e5, 4e6, 0.0), crs="+proj=longlat")
+
+
 def test_depth_limit_keeps_the_pointer(spark, tmp_path):
     cloud(tmp_path / "a.copc.laz")
     found = {(r.node_key, r.is_page) for r in copc.hierarchy(copc.paths_of(spark, str(tmp_path)), max_depth=3).collect()}

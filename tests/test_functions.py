@@ -89,7 +89,7 @@ def test_geodesy(spark):
         one(spark, geodesy.checked_position(F.lit(0.0), F.lit(91.0)))
 
 
-def test_reference_systems():
+def test_reference_systems(spark):
     assert wkt.chosen_system(None, "header", "default") == "header"
     assert wkt.chosen_system("forced", "header", None) == "forced"
     with pytest.raises(ValueError):
@@ -98,6 +98,22 @@ def test_reference_systems():
     assert isinstance(wkt.projection_of("+proj=longlat"), geodesy.LongLat)
     with pytest.raises(ValueError):
         wkt.projection_of("+proj=krovak")
+    utm = 'PROJCS["UTM 10N",GEOGCS["WGS 84",DATUM["D",SPHEROID["S",6378137,298.25]],UNIT["degree",0.0174]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",-123],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],UNIT["metre",1]]'
+    assert wkt.projection_of(utm) == geodesy.utm(10)
+    assert wkt.projection_of(f'COMPD_CS["c",{utm},VERT_CS["v",UNIT["metre",1]]]') == geodesy.utm(10)
+    newer = 'PROJCRS["c",BASEGEOGCRS["g"],CONVERSION["x",METHOD["Lambert Conic Conformal (2SP)",ID["EPSG",9802]],PARAMETER["Latitude of false origin",30],PARAMETER["Longitude of false origin",-90],PARAMETER["Latitude of 1st standard parallel",31],PARAMETER["Latitude of 2nd standard parallel",33],PARAMETER["Easting at false origin",100,LENGTHUNIT["foot",0.3048]]],CS[Cartesian,2],LENGTHUNIT["foot",0.3048]]'
+    assert wkt.projection_of(newer) == geodesy.ConformalConic(31.0, 33.0, 30.0, -90.0, 100 * 0.3048, 0.0, 0.3048)
+    assert isinstance(wkt.projection_of('GEOGCS["WGS 84",UNIT["degree",0.0174]]'), geodesy.LongLat)
+    feet = wkt.projection_of("+proj=tmerc +lon_0=-123 +k=0.9996 +x_0=500000 +units=ft")
+    lon, lat = one(spark, *feet.inverse(F.lit(500000 / 0.3048), F.lit(4e6 / 0.3048)))
+    assert lon == pytest.approx(-123) and lat == pytest.approx(one(spark, geodesy.utm(10).inverse(F.lit(500000.0), F.lit(4e6))[1])[0])
+
+
+def test_well_known_text_of_any_depth():
+    deep = "A[" * 5000 + "1" + "]" * 5000
+    assert wkt.units_of(f'PROJCS["p",{deep},UNIT["foot",0.3048]]') == (0.3048, 0.3048, False)
+    assert wkt.units_of("") == wkt.units_of("]]][[") == (1.0, 1.0, False)
+    assert wkt.tree_of('A["say ""x"" [1]",2]').nodes[0].parts == ['say "x" [1]', 2.0]
 
 
 def test_grid_falls_back(spark):

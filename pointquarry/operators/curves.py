@@ -25,12 +25,12 @@ def noise_floor(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compared(a: DataFrame, b: DataFrame, floor: DataFrame, tie: float = 0.10) -> DataFrame:
-    """Common buckets of two curves: the ratio to 3 places and who wins; within the noise
+    """Common buckets of two curves: who wins by their ratio, and that to 3 places; within the noise
     or ``tie`` nobody does. ``floor`` is one row."""
     both = a.select("pts", F.col("median").alias("a")).join(b.select("pts", F.col("median").alias("b")), "pts").crossJoin(F.broadcast(floor))
-    ratio = F.floor(F.col("a") / F.col("b") * 1000 + 0.5) / 1000
-    out = both.withColumn("ratio", ratio)
-    return out.withColumn("verdict", F.when(F.abs(F.col("ratio") - 1) <= F.greatest(F.lit(tie), F.col("floor")), "tie").when(F.col("ratio") < 1, "win").otherwise("loss"))
+    out = both.withColumn("ratio", F.col("a") / F.col("b"))
+    judged = out.withColumn("verdict", F.when(F.abs(F.col("ratio") - 1) <= F.greatest(F.lit(tie), F.col("floor")), "tie").when(F.col("ratio") < 1, "win").otherwise("loss"))
+    return judged.withColumn("ratio", F.floor(F.col("ratio") * 1000 + 0.5) / 1000)
 
 
 def plateau(curve: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -7,12 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def islands(ranges: DataFrame, max_gap: int, by: list[str]) -> DataFrame:
-    """Adds ``run``: ranges whose gaps are at most ``max_gap`` share one, numbered from 1 in each group."""
-    order = W.partitionBy(*by).orderBy("off", "len")
-    reach = F.max(F.col("off") + F.col("len")).over(order.rowsBetween(W.unboundedPreceding, -1))
+def islands(ranges: DataFrame, max_gap: int, by: list[str], width: int = 1 << 22) -> DataFrame:
+    """Adds ``run``: ranges whose gaps are at most ``max_gap`` share one, numbered from 1 in each group.
+
+    A group may be one large file, so it is cut into cells of ``width`` bytes by offset: ranges are ordered
+    within a cell only, and what cells before it reach, and the runs begun there, are running
+    values over one row for each cell.
+    """
+    cut = ranges.withColumn("__cell", F.floor(F.col("off") / width))
+    own, cell = W.partitionBy(*by, "__cell").orderBy("off", "len"), [*by, "__cell"]
+    earlier = W.partitionBy(*by).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    tops = cut.groupBy(*cell).agg(F.max(F.col("off") + F.col("len")).alias("__top")).withColumn("__before", F.max("__top").over(earlier)).drop("__top")
+    reach = F.greatest(F.max(F.col("off") + F.col("len")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.col("__before"))
     starts = F.when(reach.isNull() | (F.col("off") - reach > max_gap), 1).otherwise(0)
-    return ranges.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("starts")
+    begun = cut.join(tops, cell).withColumn("__starts", starts).withColumn("__run", F.sum("__starts").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    bases = begun.groupBy(*cell).agg(F.sum("__starts").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    return begun.join(bases, cell).withColumn("run", F.col("__run") + F.col("__base")).select(*ranges.columns, "run")
 
 
 def runs_of_islands(islanded: DataFrame, by: list[str]) -> DataFrame:
@@ -25,21 +35,33 @@ def greedy_runs(ranges: DataFrame, max_gap: int, max_bytes: int, by: list[str])
     and the bytes from the run's start stay within both limits.
 
     Where a run starts depends on the run before, but only within an island of small gaps:
-    so files are cut into islands by a window first, and each island is folded by itself.
+    so files are cut into islands first, and each island is folded by itself: 16 bytes for each range of the
+    longest island are held at once.
     """
-    row = F.struct("off", "len")
+    row, run = F.struct(F.col("off").cast("long").alias("off"), F.col("len").cast("long").alias("len")), "struct<start:bigint,end:bigint,n:bigint>"
     island = islands(ranges, max_gap, by).groupBy(*by, "run").agg(F.array_sort(F.collect_list(row)).alias("rs"))
-    kind = "array<struct<start:bigint,end:bigint,n:bigint>>"
 
-    def step(done: Column, r: Column) -> Column:
-        last, end = F.element_at(done, -1), r["off"] + r["len"]
-        joins = (F.size(done) > 0) & (r["off"] - last["end"] <= max_gap) & (end - last["start"] <= max_bytes)
+    def step(state: Column, r: Column) -> Column:
+        # The open run is apart from the closed ones, so these are copied once for each run and not for each range.
+        last, end = state["open"], r["off"] + r["len"]
+        joins = last.isNotNull() & (r["off"] - last["end"] <= max_gap) & (F.greatest(last["end"], end) - last["start"] <= max_bytes)
         longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), (last["n"] + 1).alias("n"))
         fresh = F.struct(r["off"].alias("start"), end.alias("end"), F.lit(1).cast("bigint").alias("n"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(fresh)))
+        closed = F.when(joins | last.isNull(), state["closed"]).otherwise(F.concat(state["closed"], F.array(last)))
+        return F.struct(closed.alias("closed"), F.when(joins, longer).otherwise(fresh).alias("open"))
+
+    none = F.struct(F.array().cast(f"array<{run}>").alias("closed"), F.lit(None).cast(run).alias("open"))
+    folded = F.aggregate("rs", none, step, lambda s: F.concat(s["closed"], F.array(s["open"])))
+    runs = island.select(*by, F.explode(folded).alias("r"))
+    return runs.select(*by, F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.n").alias("n"))
+
 
-    folded = island.select(*by, F.explode(F.aggregate("rs", F.array().cast(kind), step)).alias("r"))
-    return folded.select(*by, F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.n").alias("n"))
+def learnt_total(responses: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``known``: the ``total`` of the first response (by off and len) of each group that tells one, from that
+    response on; null before. The first ones are a partial aggregate, a row for each group."""
+    first = responses.where("total is not null").groupBy(*by).agg(F.min(F.struct("off", "len", "total")).alias("__first"))
+    known = F.when(F.struct("off", "len") >= F.struct("__first.off", "__first.len"), F.col("__first.total"))
+    return responses.join(first, by, "left").withColumn("known", known).drop("__first")
 
 
 def feasibility(ranges: DataFrame, gaps: list[int], by: list[str]) -> DataFrame:
@@ -67,9 +89,9 @@ def covering_region(asked: DataFrame, regions: DataFrame, width: int, by: list[s
     return met.groupBy(*by, "off", "len").agg(found).select(*by, "off", "len", F.col("r.run_start").alias("run_start"), F.col("r.run_end").alias("run_end"))
 
 
-def exact_ranges(asked: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Asked ranges that are exactly one of the ranges; the longest counts where offsets repeat."""
-    known = ranges.groupBy(*by, "off").agg(F.max("len").alias("len"))
+def exact_ranges(asked: DataFrame, ranges: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Asked ranges that are exactly one of the ranges; the last by ``order`` counts where offsets repeat."""
+    known = ranges.groupBy(*by, "off").agg(F.max_by("len", F.struct(order, "len")).alias("len"))
     return asked.join(known, [*by, "off", "len"], "left_semi")
 
 

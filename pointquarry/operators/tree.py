@@ -88,6 +88,13 @@ def edge_samples(rects: DataFrame, keys: list[str]) -> DataFrame:
     return rects.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS)))).select(*keys, F.explode(corners).alias("c")).select(*keys, "c.x", "c.y")
 
 
+def checked_samples(samples: DataFrame, lon: str, lat: str) -> DataFrame:
+    """The samples as they are; an error where a position is not finite or beyond a pole."""
+    good = ~F.isnan(lon) & (F.abs(F.col(lon)) < float("inf")) & F.col(lat).between(-90, 90)
+    wrong = F.raise_error(F.concat(F.lit("region out of range: "), F.col(lon).cast("string"), F.lit(", "), F.col(lat).cast("string"))).cast("double")
+    return samples.withColumn(lat, F.when(good, F.col(lat)).otherwise(wrong))
+
+
 def longitude_bounds(df: DataFrame, lon: str, keys: list[str]) -> DataFrame:
     """(west, east) of each group: what is left of the circle without its largest gap.
 

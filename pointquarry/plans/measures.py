@@ -51,9 +51,9 @@ def axis_report(spark, sf):
     return out.select("axis", F.round("median", 3).alias("median"), F.round("pct", 3).alias("pct"), F.round("per_million", 1).alias("per_million"))
 
 
-def curve(spark, sf, which=None):
+def curve(spark, sf, which=None, of=2):
     r = C.requests(spark, sf).where("k is not null").withColumn("load", F.col("k") * 1000.0)
-    r = r if which is None else r.where(F.col("event_id") % 2 == which)
+    r = r if which is None else r.where(F.col("event_id") % of == which)
     return CV.bucket_curve(r, "load", "dur_ms", 7000.0)
 
 
@@ -74,13 +74,16 @@ def noise_floor(spark, sf):
     return CV.noise_floor(curve(spark, sf, 0), curve(spark, sf, 1)).select(F.round("floor", 9).alias("floor"))
 
 
+REPEATS = f"{curve_sql('e', 'event_id % 4 = 0')}, {curve_sql('f', 'event_id % 4 = 2')}, noise AS (SELECT coalesce(max(abs(e.median - f.median) / ((e.median + f.median) / 2)), 0) AS floor FROM e JOIN f USING (pts))"
+
+
 @query("requests", f"""
-WITH {BOTH}, r AS (SELECT pts, a.median AS am, b.median AS bm, floor(a.median / b.median * 1000 + 0.5) / 1000 AS ratio FROM a JOIN b USING (pts))
-SELECT pts, am AS a, bm AS b, ratio, CASE WHEN abs(ratio - 1) <= 0.1::DOUBLE THEN 'tie' WHEN ratio < 1 THEN 'win' ELSE 'loss' END AS verdict FROM r
+WITH {BOTH}, {REPEATS}, r AS (SELECT pts, a.median AS am, b.median AS bm, a.median / b.median AS exact FROM a JOIN b USING (pts))
+SELECT pts, am AS a, bm AS b, floor(exact * 1000 + 0.5) / 1000 AS ratio, CASE WHEN abs(exact - 1) <= greatest(0.1::DOUBLE, floor) THEN 'tie' WHEN exact < 1 THEN 'win' ELSE 'loss' END AS verdict FROM r, noise
 """)
 def curve_compare(spark, sf):
-    """Two halves of the requests, against a fixed noise floor."""
-    floor = spark.createDataFrame([(0.02,)], "floor double")
+    """Two halves of the requests, against the noise between two repeats of the first."""
+    floor = CV.noise_floor(curve(spark, sf, 0, 4), curve(spark, sf, 2, 4))
     return CV.compared(curve(spark, sf, 0), curve(spark, sf, 1), floor).select("pts", "a", "b", "ratio", "verdict")
 
 

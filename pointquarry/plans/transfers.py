@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointquarry.functions import transfer as TF
@@ -44,24 +43,24 @@ def coalesce_feasibility(spark, sf):
     return I.feasibility(C.ranges(spark, sf), [0, 512, 1500, 4096], ["file_id"]).withColumn("waste_pct", F.round("waste_pct", 3))
 
 
-@query("ranges", "SELECT file_id, off, max(len) AS len FROM fx_ranges WHERE off % 3 = 0 GROUP BY file_id, off")
+@query("ranges", "SELECT file_id, off, max(len) AS len FROM fx_ranges GROUP BY file_id, off")
 def range_exact_match(spark, sf):
     """Asked ranges that are exactly one of a node."""
     r = C.ranges(spark, sf)
-    asked = r.where("off % 3 = 0").groupBy("file_id", "off").agg(F.max("len").alias("len"))
+    asked = r.groupBy("file_id", "off").agg(F.max("len").alias("len"))
     longer = asked.withColumn("len", F.col("len") + 1)
-    return I.exact_ranges(asked.union(longer), r, ["file_id"])
+    return I.exact_ranges(asked.union(longer), r, ["file_id"], "len")
 
 
 @query("ranges", f"""
-WITH {GREEDY}, asked AS (SELECT DISTINCT file_id, off + (len % 7) * 100 AS off, len + 50 AS len FROM fx_ranges WHERE off % 5 = 0)
+WITH {GREEDY}, asked AS (SELECT DISTINCT file_id, off + (len % 7) * 100 AS off, len + 50 AS len FROM fx_ranges)
 SELECT file_id, off, len, b.s AS run_start, b.e AS run_end FROM (SELECT a.file_id, a.off, a.len, min({{'s': r.run_start, 'e': r.run_end}}) AS b FROM asked a LEFT JOIN runs r ON r.file_id = a.file_id AND r.run_start <= a.off AND r.run_end >= a.off + a.len GROUP BY 1, 2, 3)
 """)
 def region_cache_lookup(spark, sf):
     """The region that holds each asked range whole."""
     r = C.ranges(spark, sf)
     regions = I.greedy_runs(r, GAP, BYTES, ["file_id"])
-    asked = r.where("off % 5 = 0").select("file_id", (F.col("off") + F.col("len") % 7 * 100).alias("off"), (F.col("len") + 50).alias("len")).distinct()
+    asked = r.select("file_id", (F.col("off") + F.col("len") % 7 * 100).alias("off"), (F.col("len") + 50).alias("len")).distinct()
     return I.covering_region(asked, regions, BYTES, ["file_id"])
 
 
@@ -75,17 +74,22 @@ def responses(spark, sf):
     return r.select("file_id", "off", "len", status.alias("status"), received.cast("long").alias("received"), header.alias("content_range"))
 
 
+def learnt(spark, sf):
+    return I.learnt_total(responses(spark, sf).withColumn("total", TF.total_size(F.col("content_range"))), ["file_id"])
+
+
 RESPONSES = """resp AS (SELECT *, CASE WHEN off % 5 = 0 THEN 200 ELSE 206 END AS status, (CASE off % 5 WHEN 1 THEN len WHEN 2 THEN len + 3 ELSE len // 2 END)::BIGINT AS received,
   CASE off % 5 WHEN 3 THEN off + len // 2 WHEN 4 THEN off + len * 2 END AS total FROM fx_ranges)"""
 
 
 @query("ranges", f"""
-WITH {RESPONSES}, v AS (SELECT *, CASE WHEN status <> 206 THEN 'range ignored' WHEN received = len THEN NULL WHEN received > len THEN 'too many bytes' WHEN total IS NOT NULL AND off + received >= total THEN NULL ELSE 'cut short' END AS violation FROM resp)
+WITH {RESPONSES}, l AS (SELECT *, first_value(total IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY off, len ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM resp), v AS (SELECT *, CASE WHEN status <> 206 THEN 'range ignored' WHEN received = len THEN NULL WHEN received > len THEN 'too many bytes' WHEN known IS NOT NULL AND off + received >= known THEN NULL ELSE 'cut short' END AS violation FROM l)
 SELECT file_id, violation, violation IS NOT DISTINCT FROM 'cut short' AS retryable, count(*) AS n FROM v GROUP BY ALL
 """)
 def range_contract(spark, sf):
-    v = TF.range_verdict(F.col("off"), F.col("off") + F.col("len"), F.col("status"), F.col("received"), TF.total_size(F.col("content_range")))
-    return responses(spark, sf).select("file_id", v.alias("v")).groupBy("file_id", "v.violation", "v.retryable").agg(F.count("*").alias("n"))
+    """Breaches of the contract by file; the size that a file's first telling response taught holds."""
+    v = TF.range_verdict(F.col("off"), F.col("off") + F.col("len"), F.col("status"), F.col("received"), F.col("known"))
+    return learnt(spark, sf).select("file_id", v.alias("v")).groupBy("file_id", "v.violation", "v.retryable").agg(F.count("*").alias("n"))
 
 
 @query("ranges", f"""
@@ -94,15 +98,13 @@ SELECT file_id, known, count(*) AS n FROM l GROUP BY 1, 2
 """)
 def known_total(spark, sf):
     """The size of each file that its first telling response taught."""
-    r = responses(spark, sf).withColumn("total", TF.total_size(F.col("content_range")))
-    w = W.partitionBy("file_id").orderBy("off", "len").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return r.withColumn("known", F.first("total", ignorenulls=True).over(w)).groupBy("file_id", "known").agg(F.count("*").alias("n"))
+    return learnt(spark, sf).groupBy("file_id", "known").agg(F.count("*").alias("n"))
 
 
-@query("ranges", "SELECT file_id, off, len, greatest(8000.0::DOUBLE, ceil(len * 9000 / 1048576.0::DOUBLE) * 2000) AS timeout_ms FROM fx_ranges WHERE off % 11 = 0")
+@query("ranges", "SELECT file_id, off, len, greatest(8000.0::DOUBLE, ceil(len * 9000 / 1048576.0::DOUBLE) * 2000) AS timeout_ms FROM fx_ranges")
 def range_timeouts(spark, sf):
-    """The time given to long reads."""
-    return C.ranges(spark, sf).where("off % 11 = 0").select("file_id", "off", "len", TF.timeout_ms(F.lit(0), F.col("len") * 9000, 8000.0).alias("timeout_ms"))
+    """The time given to each read."""
+    return C.ranges(spark, sf).select("file_id", "off", "len", TF.timeout_ms(F.lit(0), F.col("len") * 9000, 8000.0).alias("timeout_ms"))
 
 
 @query("requests", "SELECT event_id, sid::VARCHAR AS sid, CASE WHEN outcome = 'view' THEN 'page' ELSE 'tile' END AS kind, concat_ws('-', k % 5, k % 2, k % 3, 0) AS key FROM fx_requests WHERE k IS NOT NULL")

@@ -21,21 +21,25 @@ SPAN = 4656.0
 KEYS = ["x", "y", "z", "classification", "pulse_id", "point_source_id", "ship_ts", "red", "green"]
 
 
-def seeds(spark, sf):
-    """A fixed set of query positions near points of some pulses."""
-    p = C.points(spark, sf).where("pulse_id % 97 = 0")
+#: The stated query set of the searches for nearest points: pulses whose id is divisible by it.
+ASKED = 100
+
+
+def seeds(spark, sf, every=1):
+    """A position near the first point of each pulse, or of those whose id is divisible by ``every``."""
+    p = C.points(spark, sf).where(F.col("pulse_id") % every == 0)
     s = p.groupBy("pulse_id").agg(F.min(F.struct(*[c for c in KEYS if c != "pulse_id"])).alias("b"))
     return s.select(F.col("pulse_id").alias("seed_id"), (F.col("b.x") + 0.3).alias("x"), F.col("b.y").alias("y"), (F.col("b.z") + 0.3).alias("z"))
 
 
-SEEDS = """fx_first AS (SELECT *, row_number() OVER (PARTITION BY pulse_id ORDER BY x, y, z, classification, point_source_id, ship_ts, red, green) AS rn FROM fx_points WHERE pulse_id % 97 = 0),
+SEEDS = """fx_first AS (SELECT *, row_number() OVER (PARTITION BY pulse_id ORDER BY x, y, z, classification, point_source_id, ship_ts, red, green) AS rn FROM fx_points WHERE pulse_id % {every} = 0),
 seeds AS (SELECT pulse_id AS seed_id, x + 0.3::DOUBLE AS x, y, z + 0.3::DOUBLE AS z FROM fx_first WHERE rn = 1)"""
 LOCATED = SEEDS + """, steps AS (SELECT seed_id, x, y, z, unnest(range(0, 5)) AS d FROM seeds WHERE x BETWEEN 0 AND 131072 AND y BETWEEN 0 AND 131072 AND z BETWEEN 0 AND 131072),
 keys AS (SELECT seed_id, d, concat_ws('-', d, least(power(2, d) - 1, floor(x / (131072 / power(2, d))))::INT, least(power(2, d) - 1, floor(y / (131072 / power(2, d))))::INT, least(power(2, d) - 1, floor(z / (131072 / power(2, d))))::INT) AS node_key FROM steps),
 met AS (SELECT k.*, n.node_key IS NULL AS gap FROM keys k LEFT JOIN fx_nodes n USING (node_key)),
 stop AS (SELECT seed_id, coalesce(min(d) FILTER (gap), 5) AS first_gap FROM met GROUP BY 1),
 located AS (SELECT m.seed_id, m.node_key, m.d::INT AS d FROM met m JOIN stop s USING (seed_id) WHERE m.d = s.first_gap - 1)"""
-NEAREST = LOCATED + """, pairs AS (SELECT l.seed_id, l.node_key, k.* EXCLUDE (node_key), s.x AS sx, s.y AS sy, s.z AS sz,
+NEAREST = LOCATED.replace("{every}", str(ASKED)) + """, pairs AS (SELECT l.seed_id, l.node_key, k.* EXCLUDE (node_key), s.x AS sx, s.y AS sy, s.z AS sz,
   row_number() OVER (PARTITION BY l.seed_id ORDER BY (k.x - s.x) * (k.x - s.x) + (k.y - s.y) * (k.y - s.y) + (k.z - s.z) * (k.z - s.z), k.x, k.y, k.z, k.classification, k.pulse_id, k.point_source_id, k.ship_ts, k.red, k.green) AS rn
   FROM located l JOIN seeds s USING (seed_id) JOIN fx_keyed k ON k.node_key = l.node_key WHERE k.classification NOT IN (7, 18)),
 nearest AS (SELECT seed_id, node_key, x, y, z, classification, intensity, sx, sy, sz, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS distance FROM pairs WHERE rn = 1)"""
@@ -50,15 +54,16 @@ def children_discovery(spark, sf):
     return T.children(n, n).select("node_key", "child_key", "octant")
 
 
-@query("nodes", "WITH " + LOCATED + " SELECT * FROM located")
+@query("nodes", "WITH " + LOCATED.replace("{every}", "1") + " SELECT * FROM located")
 def locate_deepest(spark, sf):
     return T.locate(seeds(spark, sf), C.nodes(spark, sf), C.SIDE, C.MAX_DEPTH)
 
 
 def nearest(spark, sf):
-    at = T.locate(seeds(spark, sf), C.nodes(spark, sf), C.SIDE, C.MAX_DEPTH).select("seed_id", "node_key")
+    asked = seeds(spark, sf, ASKED)
+    at = T.locate(asked, C.nodes(spark, sf), C.SIDE, C.MAX_DEPTH).select("seed_id", "node_key")
     shown = C.visible(C.keyed_points(spark, sf))
-    return NN.nearest_in_node(seeds(spark, sf).join(at, "seed_id"), shown, ["x", "y", "z", "classification", "intensity"], KEYS)
+    return NN.nearest_in_node(asked.join(at, "seed_id"), shown, ["x", "y", "z", "classification", "intensity"], KEYS)
 
 
 @query("nodes", "WITH " + NEAREST + " SELECT seed_id, node_key, x, y, z, classification, intensity, round(distance, 6) AS distance FROM nearest")
@@ -91,7 +96,7 @@ A, B = ecef_sql(*place_sql("x", "y", "z")), ecef_sql(*place_sql("sx", "sy", "sz"
 @query("nodes", "WITH " + NEAREST + f" SELECT seed_id, round(sqrt({' + '.join(f'power({a} - {b}, 2)' for a, b in zip(A, B, strict=True))}), 3) AS meters FROM nearest")
 def snap_point(spark, sf):
     """The straight distance on the globe between each seed and the point it snaps to."""
-    s = seeds(spark, sf).withColumnsRenamed({"x": "sx", "y": "sy", "z": "sz"})
+    s = seeds(spark, sf, ASKED).withColumnsRenamed({"x": "sx", "y": "sy", "z": "sz"})
     hits = nearest(spark, sf).join(s, "seed_id")
     return hits.select("seed_id", F.round(NN.snap_distance(position("sx", "sy", "sz"), position("x", "y", "z")), 3).alias("meters"))
 
@@ -179,6 +184,7 @@ def node_regions(spark, sf):
     cubes = T.node_cubes(C.nodes(spark, sf), C.SIDE)
     rects = cubes.select("node_key", "min_x", "min_y", (F.col("min_x") + F.col("side")).alias("max_x"), (F.col("min_y") + F.col("side")).alias("max_y"))
     at = T.edge_samples(rects, ["node_key"]).select("node_key", (F.col("x") / 1e6 - 123.0).alias("lon"), (F.col("y") / 1e6 + 44.0).alias("lat"))
+    at = T.checked_samples(at, "lon", "lat")
     lons = T.longitude_bounds(at, "lon", ["node_key"])
     lats = at.groupBy("node_key").agg(F.min("lat").alias("south"), F.max("lat").alias("north"))
     heights = cubes.select("node_key", F.col("min_z").alias("min_h"), (F.col("min_z") + F.col("side")).alias("max_h"))
@@ -228,12 +234,12 @@ def hierarchy_bfs(spark, sf):
 
 
 @query("nodes", """
-WITH w AS (SELECT node_key AS leaf, d, kx, ky, kz FROM fx_nodes WHERE d = 4 AND point_count > 20)
-SELECT leaf, string_agg(concat_ws('-', k, kx >> (d - k), ky >> (d - k), kz >> (d - k)), '/' ORDER BY k) AS path FROM (SELECT *, unnest(range(0, 5)) AS k FROM w) GROUP BY leaf
+WITH w AS (SELECT node_key AS leaf, d, kx, ky, kz FROM fx_nodes)
+SELECT leaf, string_agg(concat_ws('-', k, kx >> (d - k), ky >> (d - k), kz >> (d - k)), '/' ORDER BY k) AS path FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM w) GROUP BY leaf
 """)
 def parent_chain(spark, sf):
-    """The path from the root to each heavy leaf."""
-    n = C.nodes(spark, sf).where("d = 4 and point_count > 20")
+    """The path from the root to each node."""
+    n = C.nodes(spark, sf)
     step = F.transform(F.sequence(F.lit(0), F.col("d")), lambda k: F.concat_ws("-", k.cast("string"), *[F.floor(F.col(p) / F.pow(F.lit(2.0), F.col("d") - k)).cast("int").cast("string") for p in T.PLACES]))
     return n.select(F.col("node_key").alias("leaf"), F.array_join(step, "/").alias("path"))
 
@@ -373,10 +379,10 @@ def class_report(spark, sf):
     return class_profile(C.points(spark, sf)).select(class_line(*map(F.col, ("classification", "n", "pct", "z_mean"))).alias("line"))
 
 
-@query("keyed", "SELECT node_key, list([x, y, z] ORDER BY x, y, z, pulse_id).flatten()::VARCHAR AS flat FROM fx_keyed WHERE d = 4 AND kx = 0 GROUP BY node_key")
+@query("keyed", "SELECT node_key, list([x, y, z] ORDER BY x, y, z, pulse_id).flatten()::VARCHAR AS flat FROM fx_keyed GROUP BY node_key")
 def flat_triplets(spark, sf):
-    """The coordinates of each of some tiles, one after another, as text."""
-    p = C.keyed_points(spark, sf).where("d = 4 and kx = 0")
+    """The coordinates of each tile, one after another, as text."""
+    p = C.keyed_points(spark, sf)
     rows = F.array_sort(F.collect_list(F.struct("x", "y", "z", "pulse_id")))
     flat = F.flatten(F.transform(rows, lambda r: F.array(r["x"], r["y"], r["z"])))
     return p.groupBy("node_key").agg(F.concat(F.lit("["), F.array_join(flat, ", "), F.lit("]")).alias("flat"))

@@ -1,11 +1,14 @@
 """Columns against values known from the formats."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pointquarry.functions import colors, geodesy, numbers, transfer, wkt
 from pointquarry.operators import curves, reproject, series, shading
-from pointquarry.operators.intervals import greedy_runs
+from pointquarry.operators import tree
+from pointquarry.operators.intervals import exact_ranges, greedy_runs, islands
 from pointquarry.operators.orderstats import order_statistics, robust_range
 from pointquarry.sources import clouds
 
@@ -170,3 +173,45 @@ def test_hiding_classes(spark):
     assert clouds.visible(p).count() == 2
     assert clouds.visible(p, []).count() == 4
     assert clouds.visible(p.withColumnRenamed("classification", "c")).count() == 4
+
+
+def test_a_packed_file_is_one_island_in_many_cells(spark):
+    """A million ranges of one file without gaps."""
+    n = 1_000_000
+    ranges = spark.range(n).selectExpr("'a' as f", "id * 100 as off", "100L as len")
+    runs = greedy_runs(ranges, 0, 1 << 20, ["f"])
+    per = (1 << 20) // 100
+    got = runs.agg(F.count("*"), F.sum("n"), F.max("n"), F.max("run_end")).first()
+    assert tuple(got) == (-(-n // per), n, per, n * 100)
+    assert islands(ranges, 0, ["f"]).agg(F.max("run")).first()[0] == 1
+
+
+def test_islands_in_cells_equal_islands(spark):
+    rng = random.Random(4)
+    rows = [(f, rng.randrange(4000), rng.randrange(1, 60)) for f in "ab" for _ in range(150)]
+    df = spark.createDataFrame(rows, "f string, off long, len long")
+    want = {}
+    for f in "ab":
+        run, reach = 0, None
+        for off, size in sorted((o, s) for g, o, s in rows if g == f):
+            run += reach is None or off - reach > 5
+            reach = max(reach or 0, off + size)
+            want.setdefault((f, run), []).append((off, size))
+    for width in (7, 500, 1 << 22):
+        got = {}
+        for r in islands(df, 5, ["f"], width).collect():
+            got.setdefault((r.f, r.run), []).append((r.off, r.len))
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_exact_ranges_take_the_last_of_equal_offsets(spark):
+    known = spark.createDataFrame([("a", 0, 10, 1), ("a", 0, 4, 2), ("a", 9, 3, 1)], "f string, off long, len long, at int")
+    asked = spark.createDataFrame([("a", 0, 10), ("a", 0, 4), ("a", 9, 3), ("b", 9, 3)], "f string, off long, len long")
+    assert sorted((r.off, r.len) for r in exact_ranges(asked, known, ["f"], "at").collect()) == [(0, 4), (9, 3)]
+
+
+def test_regions_beyond_a_pole_raise(spark):
+    good = spark.createDataFrame([(1.0, 90.0)], "lon double, lat double")
+    assert tree.checked_samples(good, "lon", "lat").first().lat == 90.0
+    with pytest.raises(Exception, match="out of range"):
+        tree.checked_samples(spark.createDataFrame([(1.0, 90.5)], "lon double, lat double"), "lon", "lat").collect()

@@ -7,11 +7,32 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: The folder of each application's tables, by its id.
+FOLDERS: dict[str, str] = {}
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A path below ``spark.checkpoint.dir``; only a session that has none gets a temporary folder."""
+
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. A local session that has none gets a temporary folder; elsewhere that raises, as
+    executors could not see the driver's folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path, with the scheme of its store, below the application's own folder.
+
+    The folder is made once for an application and removed when its driver ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_base(spark)}/{app}-{uuid.uuid4().hex}")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        path = store.makeQualified(path)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        FOLDERS[app] = path.toString()
+    return f"{FOLDERS[app]}/{tag}-{uuid.uuid4().hex}"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointquarry.scratch import shared_path as scratch_path
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: ASCII white space, the characters [\x20\x09-\x0D].
@@ -35,24 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (a local session) a temporary folder is made and kept in it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     This cuts the lineage, so what follows neither computes ``df`` twice nor
-    loses it with an executor. Without columns clashing in name, any schema works.
+    loses it with an executor. The driver removes it when it ends. Without columns clashing in name, any schema works.
     """
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)

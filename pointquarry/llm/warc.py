@@ -192,13 +192,15 @@ def with_types(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id
     """(page, url, html, digest, refers_to): which page a row's record revisits, if any.
 
     Digests are counted on narrow rows with partial aggregates. Only digests that repeat
-    are joined to the pages, and a hot one is an ordinary skewed join.
+    are joined to the pages; they are written first, so that adaptive execution can split a hot one.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"), F.col(html_col).cast("string").alias("html"))
     rest = rows.where(F.col("bytes") >= least_bytes)
     repeated = rest.groupBy("digest").agg(F.max("page").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
-    key = F.when(F.col("bytes") >= least_bytes, F.col("digest"))
+    repeated = staged(repeated, "repeated-payloads")
+    # Small payloads never match; their keys are spread, as one null key for all would be a hot one.
+    key = F.when(F.col("bytes") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page", "url", "digest").cast("string")))
     joined = rows.withColumn("key", key).join(repeated.withColumnRenamed("digest", "key"), "key", "left")
     return joined.select("page", "url", "html", "digest", F.when(~F.col("page").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 

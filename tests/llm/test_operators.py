@@ -508,6 +508,60 @@ def test_languages_on_held_out_documents(spark, sf_dir):
     assert (test.lang_pred == test.lang).mean() >= 0.9
 
 
+def test_languages_equal_brute_force(spark, sf_dir):
+    """All n-grams in dictionaries, cosines with dense vectors; only the clustering is shared."""
+
+    def grams(text):
+        kept = "".join(c.translate(ASCII) if (c.isascii() and c.isalpha()) or not c.isascii() else " " for c in text)
+        raw = (" " + " ".join(kept.split(" ")).strip() + " ").encode()
+        raw = re.sub(rb" +", b" ", raw)
+        return collections.Counter(raw[i : i + 3] for i in range(len(raw) - 2)) if raw.strip() else collections.Counter()
+
+    docs = table(spark, sf_dir, "documents")
+    letters = docs.text.fillna("").str.contains(r"[^\W\d_]")
+    train = docs[docs.lang.notna() & letters & np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in docs.doc_id])].copy()
+    train["draw"] = [r.d for r in spark.createDataFrame([(int(i),) for i in train.doc_id], "i long").select(F.xxhash64("i").alias("d")).collect()]
+    train = train.sort_values(["lang", "draw"])
+    counts = [grams(t) for t in train.text]
+    df = collections.Counter(g for c in counts for g in c)
+    order = sorted(df)
+    idf = {g: math.log((1 + len(train)) / (1 + n)) + 1 for g, n in df.items()}
+    place = {g: i for i, g in enumerate(order)}
+
+    def unit(c):
+        x = np.zeros(len(order))
+        for g, n in c.items():
+            if g in place:
+                x[place[g]] = (1 + math.log(n)) * idf[g]
+        rest = sum(((1 + math.log(n)) * (math.log(1 + len(train)) + 1)) ** 2 for g, n in c.items() if g not in place)
+        return x / max(1e-12, math.sqrt((x * x).sum() + rest))
+
+    x = np.array([unit(c) for c in counts], np.float32)
+    names = sorted(set(train.lang))
+    cents = {n: langid.clustered(x[(train.lang == n).to_numpy()], 4, 42) for n in names}
+    got = langid.identify_languages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")).toPandas().set_index("doc_id")
+    for d in docs[letters].itertuples():
+        best = {n: float((cents[n] @ unit(grams(d.text))).max()) for n in names}
+        assert got.score[d.doc_id] == pytest.approx(min(1.0, max(best.values())), abs=1e-4)
+        assert best[got.lang_pred[d.doc_id]] >= max(best.values()) - 1e-4
+
+
+def test_ngrams_of_pieces_equal_those_of_the_whole(monkeypatch):
+    text = ("wörter und 漢字 mixed " * 700).encode()
+    whole = langid.ngram_counts(text)
+    monkeypatch.setattr(langid, "PIECE", 100)
+    assert all((a == b).all() for a, b in zip(whole, langid.ngram_counts(text), strict=True))
+    assert int(whole[1].sum()) == len(b" " + text.strip() + b" ") - 2
+
+
+def test_languages_of_clashing_names_and_long_texts(spark):
+    rows = [(i, "der die das und nicht " if i % 2 else "the and of with that ", "de" if i % 2 else "en") for i in range(40)]
+    rows.append((99, "die das und nicht " * 200_000, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as draw", "2 as place", "3 as p", "4 as held_out", "'x' as score")
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(docs).collect()}
+    assert got[99] == "de" and got[2] == "en" and len(got) == 41
+
+
 def test_languages_of_odd_texts(spark):
     rows = [(i, "der die das und nicht " * 3 if i % 2 else "the and of with that " * 3, "de" if i % 2 else "en") for i in range(40)]
     rows += [(100, None, "de"), (101, "", None), (102, "12 34 !?", "en"), (None, "the of and", None), (103, "die das und " * 5000, None)]

@@ -28,9 +28,10 @@ def matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v, h, g): finite vectors of doubles that aren't zero, and their hash."""
+    """(id, v, h, g): finite vectors that aren't zero, of floats if these are given and else of doubles, and their hash."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id is not null and v is not null")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(finite & F.exists(v, lambda x: x != 0)).withColumns({"h": F.xxhash64(v), "g": F.hash(v)})
 
@@ -86,9 +87,9 @@ def search(
     vectors: DataFrame,
     asks: Column | None = None,
     k: int = 20,
-    sample: int = 8192,
     rows_per_part: int = 512,
-    max_parts: int = 128,
+    max_parts: int = 2048,
+    sample_per_part: int = 32,
     recall: float = 0.96,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -96,9 +97,10 @@ def search(
     """The ``k`` nearest rows of each query row by inner product, in double precision.
 
     ``asks`` is a condition on ``id`` that says which rows are queries (null: all). A neighbour
-    graph of a bounded sample (``sample`` distinct vectors, those of the smallest hashes) is
-    cut into balanced parts, one for ``rows_per_part`` rows and ``max_parts`` at most; a small
-    classifier learns how neighbours spread over the parts. Every row is dealt to its most
+    graph of a bounded sample (distinct vectors of the smallest hashes, 8,192 of them or ``sample_per_part`` for each part)
+    is cut into balanced parts, one for ``rows_per_part`` rows; a small classifier learns how neighbours spread
+    over the parts. Parts grow in number with the rows up to ``max_parts``, which bounds the sample at 65,536 vectors; beyond
+    a million rows it is the parts that grow. Every row is dealt to its most
     probable part. A query visits its most probable parts until they hold the
     probability mass that gave ``recall`` on a part of the sample that was not learnt, and
     at least k rows. All rows of these parts are ranked by the exact product.
@@ -109,7 +111,8 @@ def search(
     however hot a part is. The driver gets the sample and a count for each part.
 
     Vectors null, zero, or with null or non-finite components take no part; neither do null
-    ids, nor vectors of other lengths than the most frequent one (ties: the longest). Rows
+    ids. Vectors of different lengths have no product. Those of the most frequent length (ties: the longest) are indexed; those of
+    any other length are compared with all of their own, in the same blocks. Rows
     repeated in full count once; an id with several vectors is a row for each, none of
     which is a candidate of another. Fewer candidates than k give fewer rows; an empty table gives none.
 
@@ -117,31 +120,35 @@ def search(
     """
     rows = usable(vectors, id_col, vector_col)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
-    rows = rows.where(F.size("v") == (length["n"] if length else 0))
+    common = F.size("v") == (length["n"] if length else 0)
     asked = F.lit(True) if asks is None else asks
     held = staged(rows.groupBy("h", "g", "id").agg(F.first("v").alias("v")), "vectors")
     place = F.row_number().over(W.partitionBy("h", "g").orderBy("id"))
     entries = staged(held.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("h", "g").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")), "entries")
-    n = entries.count()
+    n = entries.where(common).count()
     parts = 2 ** max(0, min(int(math.log2(max_parts)), max(3, round(math.log2(max(1, n) / rows_per_part))), int(math.log2(max(1, n // 2 or 1)))))
-    drawn = entries.orderBy("h", "g").limit(sample).select("v").toArrow()
+    drawn = entries.where(common).orderBy("h", "g").limit(max(8192, sample_per_part * parts)).select("v").toArrow()
     router = fitted(matrix(drawn.column("v")), parts, k, recall)
-    dealt = staged(entries.withColumn("part", F.get(route(router, None, 0)("v"), 0)), "dealt")
-    sizes, ids = [0] * parts, [0] * parts
-    for r in dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect():
-        sizes[r["part"]], ids[r["part"]] = r["n"], r["ids"]
+    # Other lengths are parts of their own, with numbers below zero.
+    alone = (-F.size("v")).alias("part")
+    dealt = staged(entries.where(common).withColumn("part", F.get(route(router, None, 0)("v"), 0)).union(entries.where(~common).select("*", alone)), "dealt")
+    ids = [0] * parts
+    for r in dealt.where("part >= 0").groupBy("part").agg(F.sum(F.size("ids")).alias("ids")).collect():
+        ids[r["part"]] = r["ids"]
     asking = held.where(asked).select("h", "g").distinct()
-    queries = dealt.join(asking, ["h", "g"], "left_semi").select("h", "g", "v", F.explode(route(router, ids, k + 1)("v")).alias("part"))
-    queries = staged(queries, "routed")
-    loads = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
+    of_query = dealt.drop("part").join(asking, ["h", "g"], "left_semi").select("h", "g", "v")
+    visits = of_query.where(common).select("h", "g", "v", F.explode(route(router, ids, k + 1)("v")).alias("part"))
+    queries = staged(visits.union(of_query.where(~common).select("h", "g", "v", alone)), "routed")
 
-    def blocks(counts: list[int]) -> Column:
-        return F.get(F.array(*[F.lit(-(-c // BLOCK) or 1) for c in counts]), F.col("part"))
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias(name))
 
-    entry_blocks, query_blocks = blocks(sizes), blocks([loads.get(p, 0) for p in range(parts)])
+    cells = staged(blocks(dealt, "ebs").join(blocks(queries, "qbs"), "part"), "cells")
     cell = ["part", "eb", "qb"]
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("h", "g"), query_blocks)).withColumn("eb", F.explode(F.sequence(F.lit(0).cast("long"), entry_blocks.cast("long") - 1)))
-    right = dealt.withColumn("eb", F.pmod(F.xxhash64("h", "g"), entry_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), query_blocks.cast("long") - 1)))
+    own = lambda n: F.pmod(F.xxhash64("h", "g"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = queries.join(cells, "part").withColumn("qb", own("qbs")).withColumn("eb", every("ebs")).drop("ebs", "qbs")
+    right = dealt.join(cells, "part").withColumn("eb", own("ebs")).withColumn("qb", every("qbs")).drop("ebs", "qbs")
 
     def of_cell(_: tuple, qs: pa.Table, es: pa.Table) -> pa.Table:
         return best_of_block(qs, es, k + 1)

@@ -90,10 +90,18 @@ class Router:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def trained(x: np.ndarray, target: np.ndarray, hidden: int, epochs: int, seed: int) -> tuple:
-    """Weights that bring the classifier near the target distributions (Adam on the cross entropy)."""
+def shares(near: np.ndarray, parts: int) -> np.ndarray:
+    """A row for each row of part numbers: which share of them each part has."""
+    out = np.zeros((len(near), parts), np.float32)
+    np.add.at(out, (np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()), 1 / max(1, near.shape[1]))
+    return out
+
+
+def trained(x: np.ndarray, near: np.ndarray, parts: int, hidden: int, epochs: int, seed: int) -> tuple:
+    """Weights that bring the classifier near the shares of the parts ``near`` each row (Adam on the cross
+    entropy). Shares are made for a batch at a time, so many parts cost no memory."""
     rng = np.random.default_rng(seed)
-    w = [rng.normal(size=(x.shape[1], hidden)) * np.sqrt(2 / max(1, x.shape[1])), np.zeros(hidden), rng.normal(size=(hidden, target.shape[1])) / np.sqrt(hidden), np.zeros(target.shape[1])]
+    w = [rng.normal(size=(x.shape[1], hidden)) * np.sqrt(2 / max(1, x.shape[1])), np.zeros(hidden), rng.normal(size=(hidden, parts)) / np.sqrt(hidden), np.zeros(parts)]
     w = [a.astype(np.float32) for a in w]
     first, second, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     for epoch in range(epochs if len(x) else 0):
@@ -103,7 +111,7 @@ def trained(x: np.ndarray, target: np.ndarray, hidden: int, epochs: int, seed: i
             h = np.maximum(x[rows] @ w[0] + w[1], 0)
             z = h @ w[2] + w[3]
             p = np.exp(z - z.max(axis=1, keepdims=True))
-            g = (p / p.sum(axis=1, keepdims=True) - target[rows]) / len(rows)
+            g = (p / p.sum(axis=1, keepdims=True) - shares(near[rows], parts)) / len(rows)
             back = (g @ w[2].T) * (h > 0)
             for k, d in enumerate((x[rows].T @ back, back.sum(axis=0), h.T @ g, g.sum(axis=0))):
                 d = d + 1e-4 * w[k]
@@ -124,22 +132,22 @@ def fitted(x: np.ndarray, parts: int, k: int, recall: float, hidden: int = 128,
     x = np.clip(x / (scale or 1.0), -1e3, 1e3).astype(np.float32)
     graph = neighbour_graph(x, k)
     part = balanced_parts(x, graph, parts, seed)
-    target = np.zeros((len(x), parts), np.float32)
-    if graph.shape[1]:
-        np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-    else:
-        target[np.arange(len(x)), part] = 1
+    near = part[graph] if graph.shape[1] else part[:, None]
     own = np.arange(len(x)) % 8 > 0
-    router = Router(1.0, trained(x[own], target[own], hidden, epochs, seed), 1.0)
-    p = router.probabilities(x)
-    asks = np.flatnonzero(~own)
-    if graph.shape[1] and len(asks):
-        order = np.argsort(-p[asks], axis=1, kind="stable")
-        mass = np.cumsum(np.take_along_axis(p[asks], order, axis=1), axis=1)
-        place = np.argsort(order, axis=1)
-        at = np.take_along_axis(place, p.argmax(axis=1)[graph[asks]], axis=1)
-        # The mass before the part of a neighbour: it is visited if that is below the limit.
-        needed = np.sort((np.take_along_axis(mass, at, axis=1) - np.take_along_axis(np.take_along_axis(p[asks], order, axis=1), at, axis=1)).ravel())
+    router = Router(1.0, trained(x[own], near[own], parts, hidden, epochs, seed), 1.0)
+    if graph.shape[1] and not own.all():
+        home = np.concatenate([router.probabilities(x[a : a + ROWS]).argmax(axis=1) for a in range(0, len(x), ROWS)])
+        asks, needed = np.flatnonzero(~own), []
+        for a in range(0, len(asks), ROWS):
+            some = asks[a : a + ROWS]
+            p = router.probabilities(x[some])
+            order = np.argsort(-p, axis=1, kind="stable")
+            sorted_p = np.take_along_axis(p, order, axis=1)
+            # The mass before the part of a neighbour: it is visited if that is below the limit.
+            before = np.cumsum(sorted_p, axis=1) - sorted_p
+            at = np.take_along_axis(np.argsort(order, axis=1), home[graph[some]], axis=1)
+            needed.append(np.take_along_axis(before, at, axis=1).ravel())
+        needed = np.sort(np.concatenate(needed))
         router.mass = float(min(1.0, needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] + 1e-6))
     router.scale = scale or 1.0
     return router

@@ -215,6 +215,41 @@ def test_parts_are_balanced():
     assert np.bincount(part).tolist() == [32] * 8
 
 
+def nearest_by_brute_force(rows, asked, k):
+    found = {}
+    for q, v in asked:
+        same = [(-float(np.dot(np.array(v, float), np.array(x, float))), i) for i, x in rows if i != q and len(x) == len(v)]
+        found[q] = [i for _, i in sorted(same)[:k]]
+    return found
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=5).round(3).tolist()) for i in range(7)] + [(200, [1.0]), (201, []), (202, [2.0, 0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as part", "2 as h", "3 as v")
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours.search(df, k=3).collect()):
+        got[r.query_id].append(r.vec_id)
+    want = nearest_by_brute_force(rows, rows, 3)
+    for q, v in rows:
+        if len(v) != 8:
+            assert got[q] == want[q]
+    assert np.mean([len(set(got[q]) & set(want[q])) / 3 for q, v in rows if len(v) == 8]) >= 0.9
+
+
+def test_many_parts_of_clustered_vectors(spark):
+    rng = np.random.default_rng(22)
+    middles = rng.normal(size=(300, 16))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    rows = [(i, (middles[i % 300] + 0.05 * rng.normal(size=16)).round(4).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df, F.col("id") % 100 == 0, k=10, rows_per_part=12).collect():
+        got[r.query_id].add(r.vec_id)
+    want = nearest_by_brute_force(rows, [rows[i] for i in range(0, 6000, 100)], 10)
+    assert np.mean([len(got[q] & set(w)) / 10 for q, w in want.items()]) >= 0.9
+
+
 # 5: archives
 
 

@@ -33,27 +33,46 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents scored as toxic go."""
+    """Operator 6: documents scored as toxic go.
+
+    Rows are scored whole and each for itself: repeated rows share their fate, null and empty texts have the
+    score of a text without terms and stay, null ids are scored but never learnt from. An empty
+    table stays empty; without labels nothing goes.
+    """
     docs = plain(docs)
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), whole=True)
     return scored.where(F.col("__score") < TOXIC).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: repeated lines go from the texts; n_chars follows."""
+    """Operator 10: repeated lines go from the texts; n_chars follows where a text changed.
+
+    No row goes, even if no line of it stays. Of documents with a common line the smallest id keeps it (null ids
+    are one document after all others); rows of one id are one document, so repeated rows stay alike. A
+    null text is one empty line and stays null. Texts of any length; an empty table stays empty.
+    """
     out = linededup.dedup_lines(docs)
     return with_text(out, F.col("__kept"), F.col("__dropped") > 0, plain(docs).columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: of each group of near copies, linked by pairs that share 0.8 or more of their
-    five-word shingles, the document of the smallest id stays."""
+    five-word shingles, the document of the smallest id stays.
+
+    Ties of id go to the smaller hash of the text; a row repeated in full stays once. A null id comes after all
+    others. Null, empty and wordless texts are copies of one another, so one of them stays; a text of fewer than
+    five words is one shingle. Texts of any length are compared whole; an empty table stays empty.
+    """
     stay = nearcopies.firsts(keyed(docs).select("__id", "__hash", "text"), RADIUS, SHINGLE)
     return keyed(docs).join(stay, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]).select(*plain(docs).columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: benchmark passages go from the texts, and documents that were nothing else."""
+    """Operator 7: benchmark passages go from the texts, and documents that were nothing else.
+
+    n_chars follows where a text changed. Rows are searched each for itself, so repeated rows stay alike; null
+    and empty texts and null ids stay. Texts of any length are searched whole; an empty table or benchmark changes nothing.
+    """
     out = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     left = out.where((F.col("__hit") == 0) | (F.col("__hit") < F.col("__words")))
     return with_text(left, F.col("__clean"), F.col("__hit") > 0, plain(docs).columns)
@@ -61,8 +80,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the documents that the mix takes, with ``taken``, the words it takes of each
-    (whole texts first, again from the start, and a part at last). Rows repeated in full
-    are one document here."""
+    (whole rounds first, and then a part of its words). Rows repeated in full
+    are one document here.
+
+    A consumer has to apply ``taken``: rows hold whole texts. Documents of which nothing is taken go, and so do null and
+    wordless texts. Null ids are told apart by their texts, null sources are one source after all others. An
+    empty table stays empty.
+    """
     parts = mixing.mix(keyed(docs).select("__id", "__hash", "text", "source"), WEIGHTS, EPOCHS, MOST, id_col="__id", carry=("__hash",))
     taken = parts.groupBy("__id", "__hash").agg(F.sum("size").alias("__size"), F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.sum("taken").alias("__taken"))
     both = keyed(docs).join(taken.where(F.col("__taken") > 0), ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])

@@ -84,8 +84,9 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, rare_wor
     smallest and largest start), ``__base_labels``, ``__labels`` (sorted, distinct arrays) and ``__score``
     (the best template's, 0 without one).
 
-    Null and empty texts have no words and no labels. A text of any length is one row. Rows
-    are independent: repeated ones give repeated results, an empty table gives an empty one. Columns of
+    Null and empty texts have no words and no labels. A text of any length is one row. Base
+    columns depend on the row alone; rare words, and so the method's labels and scores, on the frequencies of all
+    documents. Repeated rows give repeated results, an empty table gives an empty one. Columns of
     ``docs`` that begin with two underscores are left out.
     """
     notices, docs = NOTICES if notices is None else notices, plain(docs)

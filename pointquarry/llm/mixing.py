@@ -85,8 +85,8 @@ def mix(
     among them, both by the highest quotients. What a shard cannot hold is shared again, by
     words, among those with room, so a source of small shards reaches its target too. A
     document's shard and its place there come from a seeded hash; the blocks of a shard
-    are cut from the words in that order, and its quota takes them from the first on, once
-    around and again if need be. So a document is taken at most ``most`` times (shards
+    are cut from the words in that order, and its quota takes whole rounds of them and then those
+    from a seeded block on. So a document is taken at most ``most`` times (shards
     end at that, in whole words), in parts at the edges only, and reruns agree.
     The shards of a source number the square root of all documents, so a hot source is
     spread like the rest and no window holds more than such a part.
@@ -94,8 +94,8 @@ def mix(
     Returns the id, ``size``, ``source_size``, ``target``, ``taken`` and the columns named in
     ``carry``, which should be narrow.
 
-    Null and empty texts have no words and nothing is taken of them. The ids may be null
-    or repeat; equal ids and sizes are interchangeable. An empty table gives an empty
+    Null and empty texts have no words and nothing is taken of them; texts of any length are counted
+    whole. The ids may be null or repeat; rows of equal ids, sizes and carried columns are interchangeable. An empty table gives an empty
     table. The table of sources, a row for each, is ordered in one task.
     """
     src = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
@@ -121,9 +121,16 @@ def mix(
     parts = sainte_lague(shared, "short", "room", ["src"], "shard")
     take = F.col("around") * F.col("held") + F.col("part") + F.least(F.col("quota"), F.col("room"))
     parts = parts.select("src", "shard", "source_size", "target", "held", take.cast("long").alias("take"))
-    line = W.partitionBy("src", "shard").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    line = W.partitionBy("src", "shard").orderBy("draw", "id", "size", *[f"carry_{i}" for i in range(len(carry))]).rowsBetween(W.unboundedPreceding, -1)
     laid = spread.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0))).join(parts, ["src", "shard"])
     rounds = F.when(F.col("held") > 0, F.floor(F.col("take") / F.col("held"))).otherwise(F.lit(0))
     rest = F.col("take") - rounds * F.col("held")
-    part = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), rest) - F.col("start"))
+    # The blocks of the last round run on from a seeded one, around the end of the shard.
+    blocks = F.greatest(F.ceil(F.col("held") / block_words), F.lit(1))
+    first = F.pmod(F.xxhash64(F.lit(seed), "src", "shard"), blocks) * block_words
+    first = F.when(F.col("held") > 0, F.pmod(first, F.greatest(F.col("held"), F.lit(1)))).otherwise(F.lit(0))
+    fin = F.col("start") + F.col("size")
+    ahead = F.greatest(F.lit(0), F.least(fin, first + rest, F.col("held")) - F.greatest(F.col("start"), first))
+    around = F.greatest(F.lit(0), F.least(fin, first + rest - F.col("held")) - F.col("start"))
+    part = ahead + around
     return laid.select(F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)])

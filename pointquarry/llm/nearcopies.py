@@ -119,8 +119,8 @@ def pairs_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_links(nodes: DataFrame, total: int, rows_per_task: int = 1 << 19, block: int = 1 << 17) -> DataFrame:
-    """Candidates (src, dst, partial) among nodes that share the key of a band; ``partial`` where the bucket
-    has others too. A bucket of more than ``block`` nodes is dealt in blocks of which each two meet."""
+    """Candidates (src, dst, ns, nd, partial), with their sizes, among nodes that share the key of a band; ``partial`` where
+    the bucket has others too. A bucket of more than ``block`` nodes is dealt in blocks of which each two meet."""
     tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-total * BANDS // rows_per_task))
     rows = in_cells(nodes.select(F.explode("bands").alias("key"), "node", "n", "fp"), ["key"], "node", total, block)
     dealt = rows.repartition(tasks, "key", "cell")
@@ -136,25 +136,27 @@ def band_links(nodes: DataFrame, total: int, rows_per_task: int = 1 << 19, block
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
         two = two[sized(n[two], n[two + 1])]
-        src, dst, partial = [node[two + 1]], [node[two]], [np.zeros(len(two), bool)]
+        src, dst, partial = [two + 1], [two], [np.zeros(len(two), bool)]
         for at, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             a, b = pairs_of(fp[at : at + m], n[at : at + m])
-            src.append(node[at : at + m][b])
-            dst.append(node[at : at + m][a])
+            src.append(at + b)
+            dst.append(at + a)
             partial.append(np.full(len(a), m > FEW))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, partial)], ["src", "dst", "partial"])
+        src, dst, partial = (np.concatenate(x) for x in (src, dst, partial))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[src], node[dst], n[src], n[dst], partial)], ["src", "dst", "ns", "nd", "partial"])
 
-    return dealt.mapInArrow(of_task, "src long, dst long, partial boolean")
+    return dealt.mapInArrow(of_task, "src long, dst long, ns long, nd long, partial boolean")
 
 
 def print_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Candidates (src, dst, partial) by fingerprints: the first nodes of linked ones, and nodes of one
+    """Candidates (src, dst, ns, nd, partial) by fingerprints: the first nodes of linked ones, and nodes of one
     fingerprint with its first. These are spanning forests, so others may be near too."""
-    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
-    same = nodes.select("fp", "node").join(first, "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    first = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first"))
+    same = nodes.select("fp", "node", "n").join(first, "fp").where("node <> first.node").select(F.col("node").alias("src"), F.col("first.node").alias("dst"), F.col("n").alias("ns"), F.col("first.n").alias("nd"))
     near = bucket_links(first.select("fp"), radius)
     a, b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in ("src", "dst"))
-    return same.union(near.join(a, "src").join(b, "dst").select("first_src", "first_dst")).withColumn("partial", F.lit(True))
+    linked = near.join(a, "src").join(b, "dst").select("first_src.node", "first_dst.node", "first_src.n", "first_dst.n")
+    return same.union(linked).withColumn("partial", F.lit(True))
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -275,16 +277,18 @@ def firsts(docs: DataFrame, radius: int, words_per_shingle: int) -> DataFrame:
     one = prints.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("first"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     nodes = staged(one, "near-nodes")
     found = print_links(nodes, radius).union(band_links(nodes, nodes.count())).where("src <> dst")
-    pairs = found.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max("partial").alias("partial"), F.max("dst").alias("hub"), F.count("*").alias("met"))
-    sizes = nodes.select("node", "n")
-    both = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-    asked = staged(both.where(F.least("na", "nb") * WHOLE >= F.greatest("na", "nb") * PART), "near-asked")
+    found = found.where(F.least("ns", "nd") * WHOLE >= F.greatest("ns", "nd") * PART)
+    turned = F.col("src") < F.col("dst")
+    ends = [F.when(turned, F.col(x)).otherwise(F.col(y)).alias(c) for c, x, y in (("a", "src", "dst"), ("b", "dst", "src"), ("na", "ns", "nd"), ("nb", "nd", "ns"))]
+    asked = found.select(*ends, "dst", "partial").groupBy("a", "b", "na", "nb").agg(F.max("partial").alias("partial"), F.max("dst").alias("hub"), F.count("*").alias("met"))
+    asked = staged(asked, "near-asked")
     sets = shingle_sets(docs, nodes, asked)
     best = asked.groupBy(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member")).agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("met", "hub")).alias("p"))
     links = verified(best.select("p.*").distinct(), sets)
-    links = links.union(verified(apart(asked, rooted(nodes, links)), sets))
+    left = staged(apart(asked, rooted(nodes, links)).drop("ra", "rb"), "near-left")
+    links = links.union(verified(left, sets))
     roots = rooted(nodes, links)
-    failed = staged(apart(asked.where("partial"), roots).select("ra", "rb"), "near-failed")
+    failed = staged(apart(left.where("partial"), roots).select("ra", "rb"), "near-failed")
     if not failed.isEmpty():
         open_roots = failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
         rest = staged(roots.join(open_roots, "root", "left_semi").select("node", "root", "n"), "near-rest")

@@ -83,3 +83,11 @@ def percent_delta(ours: Column, base: Column) -> Column:
     delta = (ours - base) / base * 100
     rounded = half_up(delta).cast("long")
     return F.when(base == 0, F.lit("n/a")).otherwise(F.concat(F.when(delta > 0, "+").otherwise(""), rounded.cast("string"), F.lit("%")))
+
+
+def iso_time(ms: Column) -> Column:
+    """The time of milliseconds since 1970 in UTC, as ISO 8601 text, whatever zone the session has."""
+    t = F.floor(ms)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(t / 86_400_000).cast("int"))
+    part = [F.pmod(F.floor(t / by), F.lit(n)) for by, n in ((3_600_000, 24), (60_000, 60), (1000, 60), (1, 1000))]
+    return F.concat(day.cast("string"), F.format_string("T%02d:%02d:%02d.%03dZ", *part))

@@ -69,3 +69,10 @@ def axis_report(samples: DataFrame, run: str, axes: list[str], points: str) -> D
     pts = upper_median(each.withColumn("points", F.col("points").cast("double")), "points", name="points").select("points")
     total = med.agg(F.sum("median").alias("total"))
     return med.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(pts)).select("axis", "median", (F.col("median") * 100 / F.col("total")).alias("pct"), (F.col("median") / F.col("points") * 1e6).alias("per_million"))
+
+
+def top_axis(report: DataFrame, axes: list[str]) -> DataFrame:
+    """The axis of the largest median in a report of axes; of equal ones the first in ``axes``."""
+    place = F.array_position(F.array(*[F.lit(a) for a in axes]), F.col("axis"))
+    best = F.max_by(F.struct("axis", "pct", "per_million"), F.struct("median", -place))
+    return report.agg(best.alias("b")).select("b.*")

@@ -38,3 +38,8 @@ def picked(features: DataFrame, asked: DataFrame, attributes: list[str]) -> Data
     """The attributes of asked features (``node_key``, ``feature_id``), as a map."""
     values = F.map_from_arrays(F.array(*[F.lit(a) for a in attributes]), F.array(*[F.col(a).cast("double") for a in attributes]))
     return features.join(asked, ["node_key", "feature_id"]).select("node_key", "feature_id", values.alias("attributes"))
+
+
+def owned(hits: DataFrame, owner: Column, primitive: str = "primitive") -> DataFrame:
+    """Hits on what the owner drew: those of others and hits on nothing (null) go."""
+    return hits.where(F.col(primitive) == owner)

@@ -89,3 +89,9 @@ def every_nth(points: DataFrame, order: list[str], n: int, by: str) -> DataFrame
 def checksum(points: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Count and sums of columns in whole thousandths, whatever the order of rows."""
     return points.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(F.floor(F.col(c) * 1000 + 0.5).cast("long")).alias(f"sum_{c}") for c in columns])
+
+
+def memory_limits(budget: Column, bytes_each: int = 8) -> tuple[Column, Column]:
+    """(cache, overflow) in bytes, the two halves of what a budget of points may take; null, which is no limit, where it is not positive."""
+    half = F.when(budget > 0, budget * bytes_each)
+    return half, half

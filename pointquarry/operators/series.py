@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointquarry.operators.orderstats import upper_median
+
 
 def deltas(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Adds ``delta``, the difference to the row before; the first row has none."""
@@ -140,3 +142,27 @@ def suite_summary(checks: DataFrame) -> DataFrame:
     """Checks, failures and passes of each suite."""
     failed = F.sum(F.when(F.col("failed"), 1).otherwise(0)).cast("long")
     return checks.groupBy("suite").agg(F.count("*").alias("total"), failed.alias("failures")).withColumn("passes", F.col("total") - F.col("failures"))
+
+
+def settled_states(df: DataFrame, loaded: Column, fired: Column, processing: Column) -> DataFrame:
+    """Rows at rest: everything is loaded, the event of that came, and nothing is being processed."""
+    return df.where(loaded & fired & (processing == 0))
+
+
+def first_byte_report(df: DataFrame, kind: str = "kind", first: str = "ttfb", body: str = "body", size: str = "bytes") -> DataFrame:
+    """Per kind of range: how many, the median waits for the first byte and for the body, the bytes, and the share of waiting."""
+    sums = df.groupBy(kind).agg(F.sum(first).alias("__f"), F.sum(body).alias("__b"), F.sum(size).alias("bytes"))
+    waits, bodies = (upper_median(df, c, [kind]) for c in (first, body))
+    both = waits.withColumnRenamed("median", "ttfb_median").join(bodies.select(kind, F.col("median").alias("body_median")), kind)
+    return both.join(sums, kind).select(kind, "n", "ttfb_median", "body_median", "bytes", (F.col("__f") / F.nullif(F.col("__f") + F.col("__b"), F.lit(0.0))).alias("waiting"))
+
+
+def soak(df: DataFrame, by: list[str], t: str, every: float, ready: Column, unloaded: Column) -> DataFrame:
+    """Samples of a long run every ``every``: what is ready then, what was unloaded so far, and whether the run unloads at all.
+
+    Rows are counted by period before anything is ordered; the running sums go over periods.
+    """
+    tick = F.floor(F.col(t) / every).alias("tick")
+    n = df.groupBy(*by, tick).agg(F.count_if(ready).alias("ready"), F.count_if(unloaded).alias("__u"))
+    so_far = W.partitionBy(*by).orderBy("tick").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return n.withColumns({"unloads": F.sum("__u").over(so_far), "evicts": F.sum("__u").over(W.partitionBy(*by)) > 0}).drop("__u")

@@ -147,3 +147,8 @@ def bounded_rects(cubes: DataFrame, header: dict[str, float], angular: bool) ->
     high = {a: F.least(hi, F.lit(header[f"max_{a}"])) for a, (_, hi) in sides.items()}
     meet = (high["x"] >= low["x"]) & (high["y"] >= low["y"])
     return cubes.select("node_key", *[c for a in "xy" for c in (F.when(meet, low[a]).otherwise(header[f"min_{a}"]).alias(f"min_{a}"), F.when(meet, high[a]).otherwise(header[f"max_{a}"]).alias(f"max_{a}"))])
+
+
+def level_chunks(chunks: DataFrame) -> DataFrame:
+    """Number, smallest and largest size, and the span of offsets of the chunks (d, off, len) of each level."""
+    return chunks.groupBy("d").agg(F.count("*").alias("nodes"), F.min("len").alias("smallest"), F.max("len").alias("largest"), F.min("off").alias("first_off"), F.max("off").alias("last_off"), (F.max("off") - F.min("off")).alias("spread"))

@@ -304,3 +304,66 @@ def frame_rate(spark, sf):
 def suite_summary(spark, sf):
     r = C.requests(spark, sf).where("k is not null")
     return SE.suite_summary(r.select(F.concat(F.lit("s"), (F.col("k") % 4).cast("string")).alias("suite"), (F.col("outcome") == "error").alias("failed")))
+
+
+@query("requests", f"""
+WITH e AS (SELECT event_id % 10 AS run, count(*) * 100 AS points, sum(dur_ms) FILTER (outcome = 'view') AS io, sum(dur_ms) FILTER (outcome = 'click') AS decode, sum(dur_ms) FILTER (outcome = 'error') AS reproject, sum(dur_ms) FILTER (outcome = 'purchase') AS build FROM fx_requests GROUP BY 1),
+l AS (UNPIVOT (SELECT io, decode, reproject, build FROM e) ON io, decode, reproject, build INTO NAME axis VALUE ms),
+m AS (SELECT axis, {at('list_sort(list(coalesce(ms, 0)))', '0.5')} AS med FROM l GROUP BY axis), p AS (SELECT {at('list_sort(list(points))', '0.5')} AS pts FROM e)
+SELECT axis, round(med * 100 / (SELECT sum(med) FROM m), 3) AS pct, round(med / pts * 1e6, 1) AS per_million FROM m, p ORDER BY med DESC, list_position(['io', 'decode', 'reproject', 'build'], axis) LIMIT 1
+""")
+def top_axis(spark, sf):
+    """The part of the work that takes longest."""
+    out = CV.top_axis(CV.axis_report(samples(spark, sf), "run", AXES, "points"), AXES)
+    return out.select("axis", F.round("pct", 3).alias("pct"), F.round("per_million", 1).alias("per_million"))
+
+
+@query("requests", "WITH s AS (SELECT sid, bool_or(outcome = 'click') AS loaded, bool_or(outcome = 'view') AS fired, count(*) FILTER (outcome = 'error') AS processing FROM fx_requests GROUP BY 1) SELECT sid FROM s WHERE loaded AND fired AND processing = 0")
+def settled_state(spark, sf):
+    """Sessions at rest."""
+    o = F.col("outcome")
+    s = C.requests(spark, sf).groupBy("sid").agg(F.bool_or(o == "click").alias("loaded"), F.bool_or(o == "view").alias("fired"), F.count_if(o == "error").alias("processing"))
+    return SE.settled_states(s, F.col("loaded"), F.col("fired"), F.col("processing")).select("sid")
+
+
+@query("requests", f"""
+WITH r AS (SELECT CASE outcome WHEN 'view' THEN 'header' WHEN 'click' THEN 'hier' ELSE 'point' END AS kind, dur_ms * k / 100 AS ttfb, dur_ms - dur_ms * k / 100 AS body, k * 1000 AS bytes FROM fx_requests WHERE k IS NOT NULL),
+g AS (SELECT kind, list_sort(list(ttfb)) AS f, list_sort(list(body)) AS b, sum(bytes)::BIGINT AS bytes, sum(ttfb) / (sum(ttfb) + sum(body)) AS waiting FROM r GROUP BY 1)
+SELECT kind, len(f) AS n, {at('f', '0.5')} AS ttfb_median, {at('b', '0.5')} AS body_median, bytes, round(waiting, 9) AS waiting FROM g
+""")
+def first_byte_split(spark, sf):
+    """Waiting for the first byte and for the body, by kind of range."""
+    k, dur, o = F.col("k"), F.col("dur_ms"), F.col("outcome")
+    first = dur * k / 100
+    r = C.requests(spark, sf).where("k is not null").select(F.when(o == "view", "header").when(o == "click", "hier").otherwise("point").alias("kind"), first.alias("ttfb"), (dur - first).alias("body"), (k * 1000).alias("bytes"))
+    return SE.first_byte_report(r).withColumn("waiting", F.round("waiting", 9))
+
+
+@query("requests", """
+WITH n AS (SELECT sid % 20 AS run, floor(t_ms / 86400000.0::DOUBLE)::BIGINT AS tick, count(*) FILTER (outcome = 'click') AS ready, count(*) FILTER (outcome = 'error') AS u FROM fx_requests GROUP BY 1, 2)
+SELECT run, tick, ready, (sum(u) OVER (PARTITION BY run ORDER BY tick))::BIGINT AS unloads, sum(u) OVER (PARTITION BY run) > 0 AS evicts FROM n
+""")
+def soak_series(spark, sf):
+    """Daily samples of long runs."""
+    o = F.col("outcome")
+    return SE.soak(C.requests(spark, sf).withColumn("run", F.col("sid") % 20), ["run"], "t_ms", 86_400_000.0, o == "click", o == "error")
+
+
+@query("requests", "SELECT sid, strftime(make_timestamp(floor(max(t_ms))::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_seen FROM fx_requests GROUP BY 1")
+def report_time(spark, sf):
+    """When each session was seen last, as text."""
+    return C.requests(spark, sf).groupBy("sid").agg(N.iso_time(F.max("t_ms")).alias("last_seen"))
+
+
+@query("requests", f"""
+WITH s AS (SELECT sid, k, min(t_ms) AS t0 FROM fx_requests WHERE outcome = 'click' AND k IS NOT NULL GROUP BY 1, 2), e AS (SELECT sid, k, max(t_ms) AS t1, sum(dur_ms) AS bytes FROM fx_requests WHERE outcome = 'view' AND k IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT t0, t1, bytes FROM s JOIN e USING (sid, k) WHERE t1 >= t0), v AS (SELECT list_sort(list(t1 - t0)) AS v, sum(bytes) AS bytes FROM l),
+o AS (SELECT sum(s) OVER (ORDER BY t, s ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT t0 AS t, 1 AS s FROM l UNION ALL SELECT t1, -1 FROM l)), m AS (SELECT max(c)::BIGINT AS most FROM o)
+SELECT len(v) AS n, {at('v', '0.5')} AS p50, {at('v', '0.95')} AS p95, round(bytes, 3) AS bytes, most FROM v, m
+""")
+def lifecycle_summary(spark, sf):
+    """Percentiles, bytes and overlap of all requests that ended."""
+    r = C.requests(spark, sf).where("k is not null").withColumnsRenamed({"t_ms": "t", "dur_ms": "bytes"})
+    out = SE.lifecycles(r.where("outcome = 'click'").select("sid", "k", "t"), r.where("outcome = 'view'").select("sid", "k", "t", "bytes"), ["sid", "k"])
+    times, most = O.order_statistics(out, "ms", {"p50": 0.5, "p95": 0.95}), I.concurrency(out, "t_start", "t_end", 3_600_000.0)
+    return times.crossJoin(F.broadcast(out.agg(F.round(F.sum("bytes"), 3).alias("bytes")))).crossJoin(F.broadcast(most)).select("n", "p50", "p95", "bytes", "most")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pointquarry.functions import transfer as TF
 from pointquarry.functions import wkt
 from pointquarry.operators import intervals as I
+from pointquarry.operators import tree as T
 from pointquarry.plans.registry import query
 from pointquarry.sources import clouds as C
 from pointquarry.streaming import sessions as ST
@@ -179,3 +180,39 @@ def stream_sessions(spark, sf):
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     r = stream.select("event_id", F.col("user_id").alias("sid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("t_ms"), (F.col("value") * 60000.0).alias("dur_ms"), F.col("event_type").alias("outcome"))
     return ST.with_status(ST.answer_all(r)).select("event_id", "sid", "answer", "status")
+
+
+#: Sessions a thousand times as fast, whose errors close them.
+CLOSING = "e AS (SELECT event_id, sid, t_ms / 1000.0::DOUBLE AS t, dur_ms, CASE outcome WHEN 'error' THEN 'close' ELSE outcome END AS outcome FROM fx_requests), w AS (SELECT *, last_value(CASE WHEN outcome IN ('signup', 'close') THEN outcome END IGNORE NULLS) OVER (PARTITION BY sid ORDER BY t, event_id) AS state, min(CASE WHEN outcome = 'close' THEN t END) OVER (PARTITION BY sid ORDER BY t, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed FROM e)"
+
+
+def closing(requests):
+    return requests.withColumns({"t_ms": F.col("t_ms") / 1000.0, "outcome": F.when(F.col("outcome") == "error", ST.CLOSE).otherwise(F.col("outcome"))})
+
+
+@query("requests", f"WITH {CLOSING} SELECT event_id, sid, CASE WHEN state IS DISTINCT FROM 'signup' THEN 'inactive' WHEN t + least(dur_ms, 40000) > closed THEN 'aborted' WHEN dur_ms > 40000 THEN 'timeout' WHEN outcome = 'click' THEN 'data' WHEN outcome = 'view' THEN 'json' ELSE 'empty' END AS answer FROM w WHERE outcome NOT IN ('signup', 'close')")
+def stream_closes(spark, sf):
+    """Answers of sessions that close, which fails what is unanswered."""
+    schema = C.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    r = stream.select("event_id", F.col("user_id").alias("sid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("t_ms"), (F.col("value") * 60000.0).alias("dur_ms"), F.col("event_type").alias("outcome"))
+    return ST.answer_all(closing(r)).select("event_id", "sid", "answer")
+
+
+@query("requests", f"WITH {CLOSING} SELECT event_id, sid, closed AS closed_ms FROM w WHERE outcome NOT IN ('signup', 'close') AND t + least(dur_ms, 40000) > closed")
+def pending_at_close(spark, sf):
+    """Requests without an answer when their session closes."""
+    return ST.pending_at_close(closing(C.requests(spark, sf)))
+
+
+@query("ranges", "SELECT file_id % 5 AS d, count(*) AS nodes, min(len) AS smallest, max(len) AS largest, min(off) AS first_off, max(off) AS last_off, max(off) - min(off) AS spread FROM fx_ranges GROUP BY 1")
+def chunk_levels(spark, sf):
+    """Sizes and offsets of chunks by level."""
+    return T.level_chunks(C.ranges(spark, sf).withColumn("d", F.col("file_id") % 5))
+
+
+@query("", "SELECT c_custkey, c_nationkey + 3 AS asked_id, coalesce(n.n_nationkey, f.id) AS id, coalesce(n.n_name, f.label) AS label FROM customer LEFT JOIN nation n ON n.n_nationkey = c_nationkey + 3, (SELECT n_nationkey AS id, n_name AS label FROM nation ORDER BY n_nationkey LIMIT 1) f")
+def dataset_choice(spark, sf):
+    """The entry of a catalogue that each asks for, or the first."""
+    asked = C.table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") + 3).alias("asked_id"))
+    return C.chosen_datasets(asked, C.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label")), "id")

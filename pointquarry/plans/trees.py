@@ -138,12 +138,12 @@ def quantized_positions(spark, sf):
     return q.groupBy("node_key").agg(F.count("*").alias("n"), F.min("q_ex").alias("least_x"), F.max("q_ex").alias("most_x"), F.min("q_ez").alias("least_z"), F.max("q_ez").alias("most_z"), F.round(F.avg("q_ey"), 0).cast("long").alias("mean_y"))
 
 
-@query("keyed", "SELECT d, count(*) AS n, true AS within_step FROM fx_keyed GROUP BY d")
+@query("keyed", QUANT + " SELECT d, count(*) AS n, " + ", ".join(f"round(avg(abs(min_{a} + q_{a} / 65535.0::DOUBLE * (CASE WHEN max_{a} = min_{a} THEN 1 ELSE max_{a} - min_{a} END) - {a})), 5) AS off_{a}" for a in ("ex", "ey", "ez")) + ", true AS within_step FROM q GROUP BY d")
 def dequantize_error(spark, sf):
-    """Whether all positions read back are within half a step."""
+    """How far positions read back are off on average, and whether all are within half a step."""
     r = K.restored(K.quantised_positions(C.placed(C.keyed_points(spark, sf))))
     good = [F.abs(F.col(f"r_{a}") - F.col(a)) <= F.col(f"ext_{a}") / 65535 * 0.5 + 1e-6 for a in K.AXES]
-    return r.groupBy("d").agg(F.count("*").alias("n"), F.min(good[0] & good[1] & good[2]).alias("within_step"))
+    return r.groupBy("d").agg(F.count("*").alias("n"), *[F.round(F.avg(F.abs(F.col(f"r_{a}") - F.col(a))), 5).alias(f"off_{a}") for a in K.AXES], F.min(good[0] & good[1] & good[2]).alias("within_step"))
 
 
 @query("nodes", "SELECT node_key, d, (1000.0::DOUBLE / 16) / power(2, d) AS error, round((1000.0::DOUBLE / 16) / power(2, d) * 540 / (500 * tan(0.5::DOUBLE)), 6) AS pixels FROM fx_nodes")
@@ -263,9 +263,13 @@ def degree_span(spark, sf):
     return R.horizontal_span(rect, lambda x, y: (x, y), ["k"]).select(F.round("span", 3).alias("span"))
 
 
-@query("points", "SELECT classification, count(*) AS n, true AS exact FROM fx_points GROUP BY 1")
+MERCATOR = "SELECT classification, count(*) AS n, round(avg(6378137.0::DOUBLE * radians(-123.0::DOUBLE + y / 1e6)), 3) AS web_x, round(avg(6378137.0::DOUBLE * asinh(tan(radians(44.0::DOUBLE + x / 1e6)))), 3) AS web_y, true AS exact FROM fx_points GROUP BY 1"
+
+
+@query("points", MERCATOR)
 def projections_round_trip(spark, sf):
-    """Whether positions come back from four projections within a hundredth of a millimetre."""
+    """Where points lie in the web's projection on average, and whether positions come back from four projections within a hundredth of a millimetre."""
+    web = G.WebMercator().forward(F.lit(-123.0) + F.col("y") / 1e6, F.lit(44.0) + F.col("x") / 1e6)
     p = C.points(spark, sf).withColumns({"e": F.lit(WEST) + F.col("x") / 10, "n": F.lit(SOUTH) + F.col("y") / 10})
     lon, lat = G.utm(10).inverse(F.col("e"), F.col("n"))
     p = p.withColumns({"lon": lon, "lat": lat})
@@ -275,7 +279,7 @@ def projections_round_trip(spark, sf):
         p = p.withColumns(dict(zip((f"x{i}", f"y{i}"), proj.forward(F.col("lon"), F.col("lat")), strict=True)))
         p = p.withColumns(dict(zip((f"lon{i}", f"lat{i}"), proj.inverse(F.col(f"x{i}"), F.col(f"y{i}")), strict=True)))
         good = good & (F.abs(F.col(f"lon{i}") - F.col("lon")) < 1e-10) & (F.abs(F.col(f"lat{i}") - F.col("lat")) < 1e-10)
-    return p.withColumn("good", good).groupBy("classification").agg(F.count("*").alias("n"), F.min("good").alias("exact"))
+    return p.withColumn("good", good).groupBy("classification").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 3).alias(a) for c, a in zip(web, ("web_x", "web_y"), strict=True)], F.min("good").alias("exact"))
 
 
 @query("points", "SELECT count(*) AS n, true AS within_tolerance FROM fx_points")
@@ -288,16 +292,24 @@ def grid_reproject(spark, sf):
     return p.agg(F.count("*").alias("n")).crossJoin(e).select("n", (F.col("max_error") <= R.TOLERANCE).alias("within_tolerance"))
 
 
-@query("keyed", "SELECT node_key, count(*) AS n, true AS whole FROM fx_keyed WHERE classification NOT IN (7, 18) GROUP BY node_key")
+PACKED = QUANT.replace("FROM fx_keyed)", "FROM fx_keyed WHERE classification NOT IN (7, 18))") + ", m AS (SELECT *, max(greatest(red, green, blue)) OVER (PARTITION BY node_key) AS most FROM q)"
+BACK = ", ".join(f"round(avg(min_{a} + q_{a} / 65535.0::DOUBLE * (CASE WHEN max_{a} = min_{a} THEN 1 ELSE max_{a} - min_{a} END)), 3) AS {b}" for a, b in zip(("ex", "ey", "ez"), "xyz", strict=True))
+SHADES = ("red", "green", "blue")
+
+
+@query("keyed", PACKED + f" SELECT node_key, count(*) AS n, {BACK}, " + ", ".join(f"sum(CASE WHEN most > 255 THEN {c} >> 8 ELSE {c} END)::BIGINT AS {c}" for c in SHADES) + ", sum(classification)::DOUBLE AS classes, sum(intensity)::DOUBLE AS intensities, true AS whole FROM m GROUP BY node_key")
 def pnts_tiles(spark, sf):
-    """Binary tiles of all nodes, with two attributes; whole ones have the size in their header."""
+    """Binary tiles of all nodes with two attributes, and what a reader finds in them; whole ones have the size in their header."""
     from pointquarry.operators.shading import true_colored
 
     p = true_colored(C.placed(C.visible(C.keyed_points(spark, sf))))
     found, _ = C.resolve_attributes(["Classification", "Intensity"])
     t = K.point_tiles(p, found, {"Classification": "classification", "Intensity": "intensity"}, KEYS)
     size = F.octet_length("pnts")
-    return t.select("node_key", "n", ((F.hex(F.substring("pnts", 1, 4)) == "706E7473") & (size % 8 == 0) & (size > 28 + 9 * F.col("n"))).alias("whole"))
+    whole = t.select("node_key", "pnts", ((F.hex(F.substring("pnts", 1, 4)) == "706E7473") & (size % 8 == 0) & (size > 28 + 9 * F.col("n"))).alias("whole"))
+    read = K.tile_points(whole.where("whole"), found).groupBy("node_key")
+    sums = [F.sum(c).alias(a) for c, a in (("Classification", "classes"), ("Intensity", "intensities"))]
+    return read.agg(F.count("*").alias("n"), *[F.round(F.avg(a), 3).alias(a) for a in "xyz"], *[F.sum(c).alias(c) for c in SHADES], *sums, F.lit(True).alias("whole"))
 
 
 @query()
@@ -386,3 +398,11 @@ def flat_triplets(spark, sf):
     rows = F.array_sort(F.collect_list(F.struct("x", "y", "z", "pulse_id")))
     flat = F.flatten(F.transform(rows, lambda r: F.array(r["x"], r["y"], r["z"])))
     return p.groupBy("node_key").agg(F.concat(F.lit("["), F.array_join(flat, ", "), F.lit("]")).alias("flat"))
+
+
+@query("points", "SELECT classification, count(*) AS n, min(pulse_id) AS least FROM fx_points WHERE point_source_id % 4 = 1 GROUP BY 1")
+def pick_owned(spark, sf):
+    """Hits on one of several clouds; a quarter of the hits are on nothing."""
+    drawn = F.col("point_source_id") % 4
+    hits = C.points(spark, sf).withColumn("primitive", F.when(drawn < 3, drawn))
+    return NN.owned(hits, F.lit(1)).groupBy("classification").agg(F.count("*").alias("n"), F.min("pulse_id").alias("least"))

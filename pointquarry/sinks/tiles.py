@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,23 +124,44 @@ def point_tiles(points: DataFrame, attributes: list[Attribute], columns: dict[st
         rgb = np.stack([t.column(c).to_numpy() for c in ("red", "green", "blue")], axis=1)
         return key, len(t), tile_bytes(xyz, rgb, [(a, t.column(f"a{i}").to_numpy()) for i, a in enumerate(attributes)])
 
+    def packed(done: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], ["node_key", "n", "pnts"])
+
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
         for batch in batches:
-            ks = batch.column(by).to_pylist()
-            begin, done = 0, []
-            for i, k in enumerate(ks):
-                if k != last:
-                    if i > begin:
-                        held.append(batch.slice(begin, i - begin))
-                    if held:
-                        done.append(pack(last, held))
-                    last, held, begin = k, [], i
-            held.append(batch.slice(begin))
+            if not batch.num_rows:
+                continue
+            # Rows come in order of their keys: a tile ends where the key changes.
+            codes = pc.fill_null(batch.column(by).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist()]
+            done = []
+            for begin, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                key = batch.column(by)[begin].as_py()
+                if held and key != last:
+                    done.append(pack(last, held))
+                    held = []
+                last = key
+                held.append(batch.slice(begin, end - begin))
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["node_key", "n", "pnts"])
+                yield packed(done)
         if held:
-            done = [pack(last, held)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["node_key", "n", "pnts"])
+            yield packed([pack(last, held)])
 
     return dealt.mapInArrow(of_task, "node_key string, n long, pnts binary")
+
+
+def tile_points(tiles: DataFrame, attributes: list[Attribute]) -> DataFrame:
+    """The points that a reader finds in tiles (node_key, pnts): x, y, z, red, green, blue and ``attributes`` as doubles."""
+    names = [a.name for a in attributes]
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, raw in zip(batch.column("node_key"), batch.column("pnts"), strict=True):
+                t = parsed_tile(raw.as_py())
+                values = [*t["xyz"].T, *t["rgb"].T.astype(np.int32), *[t["attributes"][a].astype(np.float64) for a in names]]
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(t["xyz"]), pa.string()), *[pa.array(v) for v in values]], ["node_key", "x", "y", "z", "red", "green", "blue", *names])
+
+    kinds = ", ".join([*[f"{a} double" for a in "xyz"], *[f"{c} int" for c in ("red", "green", "blue")], *[f"`{a}` double" for a in names]])
+    return tiles.select("node_key", "pnts").mapInArrow(of_task, f"node_key string, {kinds}")

@@ -151,3 +151,11 @@ def visible(p: DataFrame, hide: list[int] | None = None, class_col: str = "class
         return p
     code: Column = F.col(class_col).cast("int")
     return p.where(code.isNull() | ~code.isin(hide))
+
+
+def chosen_datasets(asked: DataFrame, catalogue: DataFrame, order: str) -> DataFrame:
+    """The entry (id, label) of a catalogue for each ``asked_id``; the first by ``order`` where the id is unknown."""
+    first = catalogue.agg(F.min_by(F.struct("id", "label"), order).alias("__first"))
+    met = asked.join(catalogue.select(F.struct("id", "label").alias("__met"), F.col("id").alias("asked_id")), "asked_id", "left")
+    entry = F.coalesce("__met", "__first").alias("entry")
+    return met.crossJoin(F.broadcast(first)).select(*asked.columns, entry).select(*asked.columns, "entry.id", "entry.label")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,7 +25,10 @@ def answers_of(events: pd.DataFrame, is_open: bool) -> tuple[pd.DataFrame, bool]
     events = events.sort_values(["t_ms", "event_id"])
     # The last opening or closing before an event says whether the session is open there.
     active = events["outcome"].map({OPEN: 1.0, CLOSE: 0.0}).ffill().fillna(float(is_open)).to_numpy() > 0
-    answer = events["outcome"].map(ANSWERS).fillna("error").where(events["dur_ms"] <= TIMEOUT_MS, "timeout").where(active, "inactive")
+    answer = events["outcome"].map(ANSWERS).fillna("error").where(events["dur_ms"] <= TIMEOUT_MS, "timeout")
+    # A closing fails what is not answered by then; one in a later batch finds all answered.
+    closed = events["t_ms"].where(events["outcome"] == CLOSE).bfill()
+    answer = answer.where(~(events["t_ms"] + events["dur_ms"].clip(upper=TIMEOUT_MS) > closed), "aborted").where(active, "inactive")
     asked = ~events["outcome"].isin([OPEN, CLOSE])
     return events.assign(answer=answer)[asked][["event_id", "sid", "t_ms", "answer"]], bool(active[-1]) if len(active) else is_open
 
@@ -65,3 +69,11 @@ def with_status(answers: DataFrame) -> DataFrame:
     """Adds the HTTP status of each answer."""
     status = F.when(F.col("answer").isin("data", "json"), 200).when(F.col("answer") == "empty", 404).otherwise(500)
     return answers.withColumn("status", status)
+
+
+def pending_at_close(events: DataFrame) -> DataFrame:
+    """(event_id, sid, closed_ms): requests that are not answered yet when their session closes next."""
+    after = W.partitionBy("sid").orderBy("t_ms", "event_id").rowsBetween(1, W.unboundedFollowing)
+    closed = F.min(F.when(F.col("outcome") == CLOSE, F.col("t_ms"))).over(after)
+    asked = events.withColumn("closed_ms", closed).where(~F.col("outcome").isin(OPEN, CLOSE))
+    return asked.where(F.col("t_ms") + F.least(F.col("dur_ms"), F.lit(TIMEOUT_MS)) > F.col("closed_ms")).select("event_id", "sid", "closed_ms")

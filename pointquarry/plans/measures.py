@@ -318,12 +318,12 @@ def top_axis(spark, sf):
     return out.select("axis", F.round("pct", 3).alias("pct"), F.round("per_million", 1).alias("per_million"))
 
 
-@query("requests", "WITH s AS (SELECT sid, bool_or(outcome = 'click') AS loaded, bool_or(outcome = 'view') AS fired, count(*) FILTER (outcome = 'error') AS processing FROM fx_requests GROUP BY 1) SELECT sid FROM s WHERE loaded AND fired AND processing = 0")
+@query("requests", "WITH s AS (SELECT sid, floor(t_ms / 259200000.0::DOUBLE)::BIGINT AS part, bool_or(outcome = 'click') AS loaded, bool_or(outcome = 'view') AS fired, count(*) FILTER (outcome = 'error') AS processing FROM fx_requests GROUP BY 1, 2) SELECT sid, part FROM s WHERE loaded AND fired AND processing = 0")
 def settled_state(spark, sf):
-    """Sessions at rest."""
+    """Parts of sessions, of three days each, that end at rest."""
     o = F.col("outcome")
-    s = C.requests(spark, sf).groupBy("sid").agg(F.bool_or(o == "click").alias("loaded"), F.bool_or(o == "view").alias("fired"), F.count_if(o == "error").alias("processing"))
-    return SE.settled_states(s, F.col("loaded"), F.col("fired"), F.col("processing")).select("sid")
+    s = C.requests(spark, sf).groupBy("sid", F.floor(F.col("t_ms") / 259_200_000.0).alias("part")).agg(F.bool_or(o == "click").alias("loaded"), F.bool_or(o == "view").alias("fired"), F.count_if(o == "error").alias("processing"))
+    return SE.settled_states(s, F.col("loaded"), F.col("fired"), F.col("processing")).select("sid", "part")
 
 
 @query("requests", f"""

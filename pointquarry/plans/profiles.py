@@ -140,9 +140,9 @@ def synthetic_lattice(spark, sf):
     return C.lattice(spark, 5000).select("i", "u", "v", "red", "green", "blue")
 
 
-@query("nodes", "WITH b AS (SELECT d, sum(point_count)::BIGINT - 100 * d AS budget FROM fx_nodes GROUP BY d) SELECT d, budget, CASE WHEN budget > 0 THEN budget * 8 END AS cache, CASE WHEN budget > 0 THEN budget * 8 END AS overflow FROM b")
+@query("nodes", "WITH b AS (SELECT node_key, point_count - 5 AS budget FROM fx_nodes) SELECT node_key, budget, CASE WHEN budget > 0 THEN budget * 8 END AS cache, CASE WHEN budget > 0 THEN budget * 8 END AS overflow FROM b")
 def budget_limits(spark, sf):
-    """What the points of each level may take in memory."""
-    b = C.nodes(spark, sf).groupBy("d").agg(F.sum("point_count").alias("points")).select("d", (F.col("points") - F.col("d") * 100).alias("budget"))
+    """What the points of each node beyond five may take in memory."""
+    b = C.nodes(spark, sf).select("node_key", (F.col("point_count") - 5).alias("budget"))
     cache, overflow = P.memory_limits(F.col("budget"))
     return b.withColumns({"cache": cache, "overflow": overflow})

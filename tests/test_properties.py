@@ -55,3 +55,37 @@ def test_sessions_answer_in_order():
     closed, is_open = answers_of(e.assign(outcome=["signup", "click", "close", "click", "signup"]), False)
     assert closed["answer"].tolist() == ["data", "inactive"]
     assert is_open
+
+
+def test_closing_fails_what_is_unanswered():
+    import pandas as pd
+
+    e = pd.DataFrame({"event_id": range(5), "sid": 1, "t_ms": [0.0, 10.0, 20.0, 30.0, 40.0], "dur_ms": [1.0, 5.0, 15.0, 1.0, 1.0], "outcome": ["signup", "click", "click", "close", "click"]})
+    # Answered in time; still waiting at the closing; after it.
+    assert answers_of(e, False)[0]["answer"].tolist() == ["data", "aborted", "inactive"]
+    # A request that ends when its session closes was answered; a timeout answers before a later closing.
+    assert answers_of(e.assign(dur_ms=[1.0, 20.0, 10.0, 1.0, 1.0]), False)[0]["answer"].tolist() == ["data", "data", "inactive"]
+    late = e.assign(t_ms=[0.0, 10.0, 20.0, 90_000.0, 90_001.0], dur_ms=100_000.0)
+    assert answers_of(late, False)[0]["answer"].tolist() == ["timeout", "timeout", "inactive"]
+
+
+def test_pending_at_close(spark):
+    from pointquarry.streaming.sessions import pending_at_close
+
+    rows = [(0, 1, 0.0, 1.0, "signup"), (1, 1, 10.0, 5.0, "click"), (2, 1, 20.0, 15.0, "view"), (3, 1, 30.0, 1.0, "close"), (4, 1, 31.0, 9.0, "click"), (5, 2, 20.0, 15.0, "click")]
+    events = spark.createDataFrame(rows, "event_id long, sid long, t_ms double, dur_ms double, outcome string")
+    assert [tuple(r) for r in pending_at_close(events).collect()] == [(2, 1, 30.0)]
+    assert pending_at_close(events.limit(0)).isEmpty()
+
+
+def test_iso_time_and_unknown_dataset(spark):
+    from pyspark.sql import functions as F
+
+    from pointquarry.functions.numbers import iso_time
+    from pointquarry.sources.clouds import chosen_datasets
+
+    got = spark.createDataFrame([(0.0,), (-1.0,), (951_782_399_999.9,), (None,)], "ms double").select(iso_time(F.col("ms")).alias("t"))
+    assert [r.t for r in got.collect()] == ["1970-01-01T00:00:00.000Z", "1969-12-31T23:59:59.999Z", "2000-02-28T23:59:59.999Z", None]
+    known = spark.createDataFrame([("b", "second", 2), ("a", "first", 1)], "id string, label string, place int")
+    asked = spark.createDataFrame([("b",), ("zz",), (None,)], "asked_id string")
+    assert sorted(r.label for r in chosen_datasets(asked, known, "place").collect()) == ["first", "first", "second"]

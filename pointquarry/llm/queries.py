@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointquarry.llm import chat, decontam, langid, license_scan, linededup, mixing, neighbours, simhash, toxicity, warc
+from pointquarry.llm import chat, decontam, langid, license_scan, linededup, mixing, neighbours, records, simhash, toxicity, warc
 from pointquarry.llm.common import table
 
 
@@ -96,6 +96,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("__kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_mixing": op2_mixing,
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op13_token_records": op13_token_records,
 }
 
 ORACLES = {

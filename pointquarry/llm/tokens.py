@@ -24,8 +24,8 @@ UNEASY = "(?:^|[" + re.sub("[^-]", lambda c: f"\\x{{{ord(c[0]):x}}}", OPEN) + "]
 #: Byte-level ones also end before a line end that does, and between a letter and a mark.
 MARK_CUT = re.compile(rf"(?<=[^{OPEN}])(?=\n)|(?<=[{LETTERS}])(?=[!-/:-@\[-`{{-~])")
 WORD = re.compile(rf" ?[{LETTERS}]+")
-#: Words that are remembered (twice as many at most, besides those of a batch), and the longest such word.
-REMEMBERED, LONGEST = 1 << 18, 64
+#: Words that are remembered besides those of a batch and the bytes they may take, the longest such word, and parts of words.
+REMEMBERED, BYTES, LONGEST, PARTS = 1 << 20, 64 << 20, 64, 1 << 16
 #: The sign of pieces for a blank.
 BLANK = "▁"
 # The bytes that a byte-level vocabulary writes as themselves; the others are written as the characters from 256 on, in order.
@@ -60,26 +60,36 @@ def words_of_all(texts: pa.Array, first: bool) -> tuple[pa.Array, np.ndarray, np
 
 
 class Remembered:
-    """What a function makes of words, kept for as long as they are met again.
+    """What a function makes of words, in columns, kept while the words are met again.
 
-    Two generations: when the younger one is full it becomes the older, and of that only what is met again stays.
+    When the table has more than ``REMEMBERED`` words or ``BYTES``, the half that was met last stays, but for long words.
     """
 
-    def __init__(self, of_words: Callable[[list[str]], list]):
-        self.of_words, self.young, self.old = of_words, {}, {}
-
-    def of(self, words: list[str]) -> list:
-        """An entry for each of the words, which are distinct."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, {c: x for c, x in self.young.items() if len(c) <= LONGEST}
-        found = list(map(self.young.get, words))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            x = found[i] = self.old.get(words[i])
-            if x is not None:
-                self.young[words[i]] = x
-        new = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(new, self.of_words([words[i] for i in new]), strict=True):
-            found[i] = self.young[words[i]] = x
+    def __init__(self, of_words: Callable[[list[str]], dict[str, pa.Array]]):
+        self.of_words, self.clock = of_words, 0
+        self.table = self.made([])
+        self.met = np.zeros(0, np.int64)
+
+    def made(self, words: list[str]) -> pa.Table:
+        return pa.table({"word": pa.array(words, pa.string()), **self.of_words(words)})
+
+    def of(self, words: pa.Array) -> pa.Table:
+        """A row for each of the words, which are distinct."""
+        at = pc.index_in(words, value_set=self.table.column("word").combine_chunks())
+        unknown = at.is_null().to_numpy(zero_copy_only=False)
+        new = self.made(words.filter(pa.array(unknown)).to_pylist())
+        table = pa.concat_tables([self.table, new]).combine_chunks()
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[unknown] = self.table.num_rows + np.arange(new.num_rows)
+        self.met = np.concatenate([self.met, np.zeros(new.num_rows, np.int64)])
+        self.clock += 1
+        self.met[place] = self.clock
+        found = table.take(pa.array(place))
+        if table.num_rows > REMEMBERED or table.nbytes > BYTES:
+            stay = np.argsort(-self.met, kind="stable")[: min(REMEMBERED, table.num_rows) // 2]
+            stay = stay[(pc.utf8_length(table.column("word")).to_numpy() <= LONGEST)[stay]]
+            table, self.met = table.take(pa.array(stay)).combine_chunks(), self.met[stay]
+        self.table = table
         return found
 
 
@@ -143,7 +153,7 @@ class ByteLevel:
         return self.made(self.whole.encode(text, add_special_tokens=False).ids)
 
     def of(self, words: list[str]) -> list[bytes | tuple]:
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > PARTS:
             self.young, self.old = {}, {c: x for c, x in self.young.items() if len(c) <= LONGEST}
         young, old, found = self.young, self.old, []
         for w in words:
@@ -176,14 +186,15 @@ def checked_pieces(path: str) -> str:
 def packer(path: str, width: int) -> Remembered:
     """Ids of words by a byte-level vocabulary, as little-endian numbers of ``width`` bytes."""
     packed = [i.to_bytes(width, "little") for i in range(byte_level(path).get_vocab_size())]
-    return Remembered(ByteLevel(path, lambda ids: b"".join(map(packed.__getitem__, ids))).of)
+    known = ByteLevel(path, lambda ids: b"".join(map(packed.__getitem__, ids)))
+    return Remembered(lambda words: {"ids": pa.array(known.of(words), pa.binary())})
 
 
 def packed_ids(texts: pa.Array, path: str, width: int) -> list[bytes]:
     """The ids of each whole text, one after another: those that the library gives for it at once."""
     words, begins, ends = words_of_all(texts, first=True)
     coded = words.dictionary_encode()
-    known = pa.array(packer(path, width).of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+    known = packer(path, width).of(coded.dictionary).column("ids").combine_chunks().cast(pa.large_binary()).take(coded.indices)
     _, offsets, data = known.buffers()
     at, data = np.frombuffer(offsets, np.int64), memoryview(data) if data else b""
     heads = byte_level(path).encode_batch_fast(words.take(pa.array(begins)).to_pylist(), add_special_tokens=False)

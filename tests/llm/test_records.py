@@ -45,12 +45,14 @@ def test_words_give_the_ids_of_whole_texts(sf_dir):
 
 def test_words_are_forgotten_and_learnt_again(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 20)
-    known = tokens.Remembered(lambda words: [w.upper() for w in words])
+    monkeypatch.setattr(tokens, "LONGEST", 4)
+    asked = []
+    known = tokens.Remembered(lambda words: asked.extend(words) or {"upper": pa.array([w.upper() for w in words], pa.string())})
     for i in range(50):
-        words = [f"w{j}" for j in range(i, i + 15)]
-        assert known.of(words) == [w.upper() for w in words]
-        assert len(known.young) <= 20 + 15
-        assert len(known.old) <= 20 + 15
+        words = [f"w{j}" for j in range(i, i + 15)] + ["w" * 9]
+        assert known.of(pa.array(words)).column("upper").to_pylist() == [w.upper() for w in words]
+        assert known.table.num_rows <= 20
+    assert 64 <= len(asked) - asked.count("w" * 9) < 300
 
 
 @pytest.mark.parametrize("size", [4, 7, 8, 511, 512, 513, 1500])

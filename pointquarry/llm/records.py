@@ -151,13 +151,14 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     return docs.sparkSession.createDataFrame([(r["path"], s, r["records"], r["ids"]) for r, s in zip(found, starts, strict=False)], "path string, start long, records long, ids long")
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``most`` bytes of text; a longer text is a part."""
     sizes = np.cumsum(np.diff(np.frombuffer(batch.column("text").buffers()[1], np.int32)[batch.column("text").offset :][: len(batch) + 1]))
     begin = 0
     while begin < len(batch):
         end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + most, side="right")))
         yield batch.slice(begin, end - begin)
+        pa.default_memory_pool().release_unused()
         begin = end
 
 

@@ -25,7 +25,7 @@ UNEASY = "(?:^|[" + re.sub("[^-]", lambda c: f"\\x{{{ord(c[0]):x}}}", OPEN) + "]
 MARK_CUT = re.compile(rf"(?<=[^{OPEN}])(?=\n)|(?<=[{LETTERS}])(?=[!-/:-@\[-`{{-~])")
 WORD = re.compile(rf" ?[{LETTERS}]+")
 #: Words that are remembered besides those of a batch and the bytes they may take, the longest such word, and parts of words.
-REMEMBERED, BYTES, LONGEST, PARTS = 1 << 20, 64 << 20, 64, 1 << 16
+REMEMBERED, BYTES, LONGEST, PARTS = 1 << 18, 16 << 20, 64, 1 << 16
 #: The sign of pieces for a blank.
 BLANK = "▁"
 # The bytes that a byte-level vocabulary writes as themselves; the others are written as the characters from 256 on, in order.

@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from pointquarry.functions.geodesy import checked_position
+from pointquarry.functions.geodesy import LongLat, checked_position
 from pointquarry.functions.octree import key_of, place_at
 from pointquarry.functions.wkt import chosen_system, projection_of, units_of
-from pointquarry.operators import nearest, profile, reproject, shading, tree
+from pointquarry.operators import nearest, profile, reproject, shading, space, tree
 from pointquarry.sinks import tiles as tile_sink
 from pointquarry.sources import clouds
 
@@ -121,6 +121,13 @@ class PointCloud:
         shown = clouds.visible(self.points, self.options.hide)
         return nearest.nearest_in_node(seeds.join(at, "seed_id"), shown, keep, list(self.order), self.options.unit, self.options.z_unit)
 
+    def snap_positions(self, seeds: DataFrame, keep: list[str]) -> DataFrame:
+        """The nearest visible point to each position (seed_id, lon, lat, height in metres), in metres:
+        on the globe for a cloud in degrees, along the source axes for a projected one."""
+        shown, projection = clouds.visible(self.points, self.options.hide), self.projection
+        own = None if isinstance(projection, LongLat) else projection
+        return space.snap_geographic(seeds, shown, keep, list(self.order), own, 1.0 if own is None else self.options.unit, self.options.z_unit)
+
     def pick(self, asked: DataFrame, attributes: list[str]) -> DataFrame:
         """The attributes of features (node_key, feature_id) as tiles number them."""
         shown = clouds.visible(self.points, self.options.hide)

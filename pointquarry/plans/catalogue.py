@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointquarry.plans import measures, profiles, shades, transfers, trees
+from pointquarry.plans import maps, measures, profiles, shades, transfers, trees
 from pointquarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "measures", "profiles", "shades", "transfers", "trees"]
+__all__ = ["ORACLES", "QUERIES", "maps", "measures", "profiles", "shades", "transfers", "trees"]

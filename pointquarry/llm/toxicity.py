@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -10,13 +11,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointquarry.llm.common import plain, staged
 from pointquarry.llm.decontam import words_of
 
-#: Bytes of the beginnings of words that are terms beside the words themselves, where the word goes on.
+#: Bytes of the beginnings of words that are terms beside the words themselves, where the word goes on; whole letters only.
 STEMS = (6,)
 #: Words of which a task remembers the terms, and documents that are scored at once.
 REMEMBERED, BATCH = 1 << 18, 128
@@ -28,7 +28,14 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 def term_hashes(word: bytes) -> tuple[int, ...]:
     """A hash of the word and of each of its beginnings."""
-    return (xxhash.xxh64_intdigest(word, 0), *(xxhash.xxh64_intdigest(word[:n], n) for n in STEMS if len(word) > n))
+    return (xxhash.xxh64_intdigest(word, 0), *(xxhash.xxh64_intdigest(stem_of(word, n), n) for n in STEMS if len(word) > n))
+
+
+def stem_of(word: bytes, n: int) -> bytes:
+    """The first ``n`` bytes, less those of a letter that goes on behind them."""
+    while n and word[n] & 0xC0 == 0x80:
+        n -= 1
+    return word[:n]
 
 
 class Remembered(dict):
@@ -46,9 +53,9 @@ class Remembered(dict):
 
 
 def numbered(vocabulary: np.ndarray) -> Callable[[bytes], tuple[int, ...]]:
-    """Places of a word's terms among the hashes ``vocabulary``; others are left out."""
+    """Places of a word's terms among the hashes ``vocabulary``; for others a negative number, made of the hash."""
     place = {h: i for i, h in enumerate(vocabulary.tolist())}
-    return lambda word: tuple(place[h] for h in term_hashes(word) if h in place)
+    return lambda word: tuple(place[h] if h in place else -1 - (h >> 1) for h in term_hashes(word))
 
 
 def counted(text: pa.Scalar, known: Remembered, kind: type) -> Vector:
@@ -199,9 +206,33 @@ def curve(share: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray) -> Vector:
-    w = (1 + np.log(counts)) * factor[terms]
-    return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray, unseen: float = 0.0) -> Vector:
+    """The known terms' part of the unit vector of all terms; those that no example has (negative) weigh ``unseen``."""
+    known = terms >= 0
+    w = (1 + np.log(counts)) * np.where(known, factor[terms * known] if len(factor) else 0.0, unseen)
+    return terms[known], w[known] / np.sqrt((w * w).sum()) if len(w) else w
+
+
+#: What a worker has made of a broadcast: the index and the table of words are built once, not in each task.
+BUILT: dict[str, tuple] = {}
+
+
+def built(key: str, make: Callable[[], tuple]) -> tuple:
+    if key not in BUILT:
+        BUILT.clear()
+        BUILT[key] = make()
+    return BUILT[key]
+
+
+def fitting(sizes: list[tuple[str, int]], most: int) -> list[str]:
+    """Names of the texts that together have at most ``most`` bytes: in the given order, each that still fits. One that
+    doesn't is left out, and those after it are not."""
+    taken, total = [], 0
+    for name, size in sizes:
+        if total + size <= most:
+            taken.append(name)
+            total += size
+    return taken
 
 
 def example_terms(sample: DataFrame) -> pa.Table:
@@ -229,7 +260,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
             n += len(batch)
             for text in batch.column("text"):
                 words = set(words_of(text.as_buffer().to_pybytes())) if text.is_valid else ()
-                df[np.array(list(set(chain.from_iterable(known[w] for w in words))), np.int64)] += 1
+                df[np.array([t for t in set(chain.from_iterable(known[w] for w in words)) if t >= 0], np.int64)] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "n"])
 
@@ -255,15 +286,17 @@ def score_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     whole: bool = False,
+    relevance: bool = True,
 ) -> DataFrame:
     """Score each whole text by the labelled examples nearest to it.
 
     Examples are a bounded sample of the labelled documents that aren't held out: those of the smallest
-    hashes of ids, at most ``max_examples`` with ``max_bytes`` of text together. Terms
-    are all words of the examples and the beginnings of these words; none is left out. A vector holds
-    (1 + log tf) * idf * log2(1 + lift), normalised: the document frequencies are
-    counted over all documents, and the lift is how many times as often a term stands in toxic examples as
-    in others (smoothed; 1 for a term without bearing), the relevance factor of supervised TF-IDF.
+    hashes of ids, at most ``max_examples`` with ``max_bytes`` of text together (a text that does not fit any more is left out,
+    later ones that do are not). Terms are all words and the beginnings of words; none is left out. A vector holds
+    (1 + log tf) * idf, normalised over all terms of the whole text: those that no example has count for
+    its length as terms of one document. The document frequencies of the examples' terms are counted over all documents. With
+    ``relevance`` a term has a further factor log2(1 + lift), where the lift is how many times as often it stands in toxic examples as
+    in others (smoothed; 1 for a term without bearing), that of supervised TF-IDF.
     Each document's nearest examples by exact cosine come from a block-max
     inverted index, which has the bounds of the sample and goes to each task. Votes weighted
     by 1 / (1.05 - cosine) are calibrated by a logistic curve fitted to the examples, each
@@ -291,16 +324,16 @@ def score_toxicity(
     row = [F.struct(*docs.columns).alias("row")] if whole else []
     texts = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col).alias("held_out"), *row)
     own = texts.join(F.broadcast(chosen), "id").groupBy("draw", "id", "toxic").agg(F.min("text").alias("text"))
-    sizes = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy("draw", "id"))
     own = staged(own, "toxic-texts")
-    fitting = own.select("id", (sizes <= max_bytes).alias("fits")).where("fits").select("id")
-    drawn = example_terms(own.join(F.broadcast(fitting), "id")).sort_by("id")
+    sizes = own.select(F.col("id").cast("string").alias("name"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("draw", "id")
+    fits = fitting([(r["name"], r["size"]) for r in sizes.collect()], max_bytes)
+    drawn = example_terms(own.where(F.col("id").cast("string").isin(fits))).sort_by("id")
     toxic, names = drawn.column("toxic").to_numpy().astype(float), drawn.column("id").to_pylist()
     bad, good = toxic.sum(), (1 - toxic).sum()
     lengths = drawn.column("h").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(int)
     hashes, tf = (drawn.column(c).combine_chunks().flatten().to_numpy() for c in ("h", "tf"))
     vocabulary, terms = np.unique(hashes.view(np.uint64), return_inverse=True)
-    slope, shift, prior = 1.0, 0.0, float(bad / (bad + good)) if bad + good else 0.0
+    slope, shift, unseen, prior = 1.0, 0.0, 0.0, float(bad / (bad + good)) if bad + good else 0.0
     if not bad or not good:
         vocabulary, votes = vocabulary[:0], ([], toxic[:0], [])
         factor = np.zeros(0)
@@ -308,24 +341,25 @@ def score_toxicity(
         df, rows = document_frequencies(texts, vocabulary)
         a, both = np.bincount(terms, np.repeat(toxic, lengths), len(vocabulary)), np.bincount(terms, minlength=len(vocabulary))
         lift = ((a + SMOOTHING * prior) / bad) / ((both - a + SMOOTHING * (1 - prior)) / good)
-        factor = (np.log((1 + rows) / (1 + df)) + 1) * np.log2(1 + lift)
+        factor = (np.log((1 + rows) / (1 + df)) + 1) * (np.log2(1 + lift) if relevance else 1.0)
+        unseen = float(np.log((1 + rows) / 2) + 1)
         ends = np.cumsum(lengths)
         vectors = [weighed(terms[e - m : e], tf[e - m : e], factor) for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
         votes = (vectors, toxic, names)
         ballot = Votes(*votes, len(vocabulary), prior, neighbours)
         shares = [ballot.of(vectors[i : i + BATCH], np.arange(i, min(i + BATCH, len(vectors))), evidence=False)[0] for i in range(0, len(vectors), BATCH)]
         slope, shift = curve(np.concatenate(shares), toxic)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, factor, votes))
+    sent, key = docs.sparkSession.sparkContext.broadcast((vocabulary, factor, votes)), uuid.uuid4().hex
 
     @F.arrow_udf("struct<score:double,evidence:array<string>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, factor, votes = sent.value
-        ballot, known = Votes(*votes, len(vocabulary), prior, neighbours), Remembered(numbered(vocabulary))
+        ballot, known = built(key, lambda: (Votes(*votes, len(vocabulary), prior, neighbours), Remembered(numbered(vocabulary))))
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.string()))])
         for texts in batches:
             shares, near = [np.zeros(0)], []
             for i in range(0, len(texts), BATCH):
-                found = ballot.of([weighed(*counted(t, known, np.int64), factor) for t in texts[i : i + BATCH]])
+                found = ballot.of([weighed(*counted(t, known, np.int64), factor, unseen) for t in texts[i : i + BATCH]])
                 shares.append(found[0])
                 near += found[1]
             share = np.concatenate(shares)

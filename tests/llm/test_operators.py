@@ -340,7 +340,7 @@ def test_block_max_search_is_exact():
     assert all(own[i, index.order == i] == 0 for i in range(60))
 
 
-def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int], k: int) -> dict[int, tuple[float, list[str]]]:
+def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int], k: int, relevance: bool) -> dict[int, tuple[float, list[str]]]:
     """All cosines with dense loops; ids of at least 1."""
 
     def terms(text):
@@ -349,7 +349,7 @@ def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int],
             raw = w.encode()
             out[raw, 0] += 1
             if len(raw) > 6:
-                out[raw[:6], 6] += 1
+                out[raw[:6].decode(errors="ignore").encode(), 6] += 1
         return out
 
     tf = {i: terms(t) for i, t in docs.items()}
@@ -361,12 +361,13 @@ def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int],
         df.update(set(t))
     for i in known:
         (a if labels[i] else c).update(set(tf[i]))
-    weight = {t: (math.log((1 + len(docs)) / (1 + df[t])) + 1) * math.log2(1 + ((a[t] + 5 * prior) / bad) / ((c[t] + 5 * (1 - prior)) / good)) for t in a | c}
+    weight = {t: (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (math.log2(1 + ((a[t] + 5 * prior) / bad) / ((c[t] + 5 * (1 - prior)) / good)) if relevance else 1) for t in a | c}
+    unseen = math.log((1 + len(docs)) / 2) + 1
 
     def vector(i):
-        w = {t: (1 + math.log(n)) * weight[t] for t, n in tf[i].items() if t in weight}
+        w = {t: (1 + math.log(n)) * weight.get(t, unseen) for t, n in tf[i].items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in w.items()}
+        return {t: x / norm for t, x in w.items() if t in weight}
 
     vectors = {i: vector(i) for i in docs}
 
@@ -397,15 +398,16 @@ def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int],
     return out
 
 
-def test_toxicity_equals_brute_force(spark):
+@pytest.mark.parametrize("relevance", [True, False])
+def test_toxicity_equals_brute_force(spark, relevance):
     sf = "/root/testdata/sf0.001"
     docs = {i: t for i, t in table(spark, sf, "documents")[["doc_id", "text"]].itertuples(index=False) if i is not None}
     docs |= {10**6: None, 10**6 + 1: "", 10**6 + 2: "qqzz 123"}
     rated = table(spark, sf, "labels").dropna(subset=["toxic"])
     labels = {int(i): int(t) for i, t in zip(rated.doc_id, rated.toxic, strict=True) if i in docs}
     given = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = toxicity.score_toxicity(given, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), neighbours=5).collect()
-    want = toxicity_by_brute_force(docs, labels, 5)
+    got = toxicity.score_toxicity(given, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), neighbours=5, relevance=relevance).collect()
+    want = toxicity_by_brute_force(docs, labels, 5, relevance)
     assert len(got) == len(docs)
     for r in got:
         assert r.score == pytest.approx(want[r.doc_id][0], abs=1e-6)
@@ -420,6 +422,29 @@ def test_toxicity_of_a_very_long_text(spark):
     assert got[1000] < 0.3 and got[1001] > 0.7
 
 
+def test_one_long_example_drops_no_other(spark):
+    rows = [(i, "vile rotten nasty words" if i % 2 else "lake river stone tree") for i in range(40)]
+    docs = spark.createDataFrame([(i, t + " filler" * 2000 if i == 0 or i == 1 else t) for i, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, max_bytes=4000).collect()}
+    assert all((s > 0.7) == (i % 2 == 1) for i, s in got.items() if i > 1)
+    assert toxicity.fitting([("a", 5), ("b", 99), ("c", 4), ("d", 2)], 10) == ["a", "c"]
+
+
+def test_words_that_no_example_has_weigh(spark):
+    rows = [(i, f"vile rotten nasty w{i}" if i % 2 else f"lake river stone w{i}") for i in range(60)]
+    rows += [(100, "vile"), (101, "vile " + " ".join(f"new{i}" for i in range(10_000)))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, neighbours=3).collect()}
+    assert got[101].score < got[100].score
+
+
+def test_stems_end_with_a_letter():
+    assert toxicity.stem_of("überéal".encode(), 6) == "über".encode()
+    assert toxicity.stem_of("abcdéf".encode(), 6) == "abcdé".encode()
+    assert toxicity.stem_of("abcdeéf".encode(), 6) == b"abcde"
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x y"), (1, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -677,5 +702,9 @@ def test_whole_long_texts_count(spark):
 
 
 def test_scratch_is_the_shared_folder(spark):
-    assert common.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    def qualified(path):
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+    assert qualified(common.scratch_path(spark, "x")).startswith(qualified(spark.conf.get("spark.checkpoint.dir")))
     assert io  # the folder is read by URI, never by a local path

@@ -160,11 +160,11 @@ def print_links(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, s): the shingles of all ends of the pairs. Texts are read again where a bitmap of the
-    ends' texts has a place for their hash, so only the shingles of candidates are written."""
+    """(node, s): the shingles of all ends of the pairs. Texts are read again where a bitmap of the ends' first rows has a place
+    for their id and hash, so only the shingles of candidates are written, and of copies those of the first alone."""
     ends = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
-    texts = staged(nodes.join(ends, "node").select("node", F.col("first.__hash").alias("__hash")), "near-texts")
-    places = texts.select(F.pmod("__hash", F.lit(PLACES)).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
+    texts = staged(nodes.join(ends, "node").select("node", "first.*"), "near-texts")
+    places = texts.select(F.pmod(F.xxhash64("__id", "__hash"), F.lit(PLACES)).cast("int").alias("p")).distinct().toArrow().column("p").to_numpy()
     bitmap = np.zeros(PLACES, bool)
     bitmap[places] = True
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
@@ -172,21 +172,27 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFra
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            found = batch.filter(pa.array(wanted[batch.column("__hash").to_numpy() % PLACES]))
+            found = batch.filter(pa.array(wanted[batch.column("place").to_numpy()]))
             for at in range(0, len(found), 256):
                 part = found.slice(at, 256)
                 sets = [shingles_of(bytes_of(t)).view(np.int64) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("__hash"), pa.array(sets, pa.list_(pa.int64()))], ["__hash", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__hash"), pa.array(sets, pa.list_(pa.int64()))], ["__id", "__hash", "s"])
 
-    read = docs.select("__hash", F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(of_task, "__hash long, s array<long>")
-    return staged(read.join(texts, "__hash").groupBy("node").agg(F.first("s").alias("s")), "near-sets")
+    place = F.pmod(F.xxhash64("__id", "__hash"), F.lit(PLACES)).alias("place")
+    read = docs.select("__id", "__hash", place, F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(of_task, "__id long, __hash long, s array<long>")
+    return staged(read.join(texts, ["__id", "__hash"]).groupBy("node").agg(F.first("s").alias("s")), "near-sets")
 
 
 def verified(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, na, nb) whose sets share 4/5 of their union or more, counted exactly."""
-    sa, sb = (sets.withColumnsRenamed({"node": c, "s": f"s{c}"}) for c in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    counted = asked.join(sa, "a").select("a", "b", "na", "nb", "sa").join(sb, "b").select("a", "b", "na", "nb", shared.alias("both"))
+    """Those of the pairs (a, b, na, nb) whose sets share 4/5 of their union or more, counted exactly. The end that is in
+    fewer pairs gets its set first, so the set of a hub is not shuffled with each of its pairs."""
+    ends = asked.select(F.col("a").alias("node")).union(asked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("m"))
+    ma, mb = (ends.withColumnsRenamed({"node": c, "m": f"m{c}"}) for c in "ab")
+    turned = F.col("ma") > F.col("mb")
+    pairs = asked.join(ma, "a").join(mb, "b").select("a", "b", "na", "nb", F.when(turned, F.col("b")).otherwise(F.col("a")).alias("few"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("hub"))
+    few, hub = (sets.withColumnsRenamed({"node": c, "s": f"s_{c}"}) for c in ("few", "hub"))
+    shared = F.size(F.array_intersect("s_few", "s_hub"))
+    counted = pairs.join(few, "few").join(hub, "hub").select("a", "b", "na", "nb", shared.alias("both"))
     return staged(counted.where(F.col("both") * WHOLE >= (F.col("na") + F.col("nb") - F.col("both")) * PART).select("a", "b"), "near-links")
 
 

@@ -11,9 +11,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from pointquarry.stores import opened
+
 # Fixed values of the public format: the length of the header part read, places in it, and the layout of its fields.
 HEADER_BYTES = 589
 INFO_AT = 429
@@ -21,6 +22,7 @@ ENTRY = "<4iQ2i"
 HEADER_SIZE_AT, RECORDS_AT, LONG_RECORDS_AT = 94, 100, 235
 RECORD, LONG_RECORD = "<2x16sHH32x", "<2x16sHQ32x"
 CRS_USER, CRS_RECORD = b"LASF_Projection", 2112
+FORM_AT, RECORD_AT = 104, 105
 SCALE_AT, OFFSET_AT, BOUNDS_AT, COUNT_AT = 131, 155, 179, 247
 
 ReadRange = Callable[[str, int, int], bytes]
@@ -30,7 +32,7 @@ def read_range(path: str, begin: int, end: int, attempts: int = 4, wait_s: float
     """Bytes [begin, end) of a file; failures of the store are tried again, a short answer is an error."""
     for k in range(attempts):
         try:
-            system, inner = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+            system, inner = opened(path)
             with system.open_input_file(inner) as f:
                 data = f.read_at(end - begin, begin)
             break
@@ -79,6 +81,12 @@ def header_of(path: str, reader: ReadRange) -> dict:
     }
 
 
+def point_header_of(path: str, reader: ReadRange) -> dict:
+    """The header with the format of point records and their length."""
+    raw = reader(path, 0, HEADER_BYTES)
+    return header_of(path, reader) | {"form": raw[FORM_AT], "record": struct.unpack_from("<H", raw, RECORD_AT)[0]}
+
+
 def entries_of(raw: bytes) -> Iterator[tuple[int, ...]]:
     if len(raw) % struct.calcsize(ENTRY):
         raise ValueError("a page of the hierarchy is cut short")

@@ -320,6 +320,22 @@ def tilesets_json_base64(spark, sf):
     return KT.tileset(t, 125.0)
 
 
+@query("nodes", """
+WITH t AS (SELECT node_key, d, concat_ws('-', d - d % 2, kx >> (d % 2), ky >> (d % 2), kz >> (d % 2)) AS page_key, (1000.0::DOUBLE / 16) / power(2, d) AS error, concat('s/', node_key, '.pnts') AS uri FROM fx_nodes),
+links AS (SELECT concat_ws('-', d - 2, kx >> 2, ky >> 2, kz >> 2) AS page_key, (1000.0::DOUBLE / 16) / power(2, d) AS error, concat('s/page/', node_key, '.json') AS uri, concat_ws('-', d - 1, kx >> 1, ky >> 1, kz >> 1) AS up FROM fx_nodes WHERE d > 0 AND d % 2 = 0),
+every AS (SELECT page_key, error, uri, 0 AS link FROM t WHERE page_key IN (SELECT node_key FROM fx_nodes) UNION ALL SELECT page_key, error, uri, 1 FROM links WHERE page_key IN (SELECT node_key FROM fx_nodes) AND up IN (SELECT node_key FROM fx_nodes))
+SELECT page_key, count(*) AS tiles, sum(link)::BIGINT AS links, sum(error) AS errors, md5(string_agg(uri, ',' ORDER BY uri)) AS uris FROM every GROUP BY page_key
+""")
+def page_documents(spark, sf):
+    """What each document of the tile tree holds: tiles, links to further documents, errors and contents."""
+    n = T.node_cubes(C.nodes(spark, sf), C.SIDE).withColumn("region", F.array("min_x", "min_y", "min_z", *[F.col(f"min_{a}") + F.col("side") for a in "xyz"]))
+    docs = KT.page_documents(n, 1000.0, "s/", levels=2)
+    uris = F.regexp_extract_all("json", F.lit('"uri":"([^"]*)"'))
+    errors = F.slice(F.regexp_extract_all("json", F.lit('"geometricError":([^,}]*)')), 2, 1 << 30)
+    total = F.aggregate(errors, F.lit(0.0), lambda a, e: a + e.cast("double"))
+    return docs.select("page_key", F.size(uris).cast("long").alias("tiles"), F.size(F.filter(uris, lambda u: F.endswith(u, F.lit(".json")))).cast("long").alias("links"), total.alias("errors"), F.md5(F.array_join(F.array_sort(uris), ",")).alias("uris"))
+
+
 @query("", "SELECT * FROM (VALUES ('a', 8::BIGINT, 0::BIGINT), ('b', 2::BIGINT, 24::BIGINT), ('c', 1::BIGINT, 30::BIGINT)) t(name, size, byte_offset)")
 def column_layout(spark, sf):
     """Where the columns of three values each begin in a batch table."""

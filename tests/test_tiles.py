@@ -87,3 +87,26 @@ def test_cloud_facade(spark, sf_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 1
     with pytest.raises(ValueError):
         markdown(spark.range(10), "Long", most=5)
+
+
+def test_pages_of_a_tree(spark):
+    keys = ["0-0-0-0", "1-0-0-0", "1-1-0-0", "1-0-1-0", "2-0-0-0", "2-1-0-0", "3-0-0-0", "4-1-0-0", "6-9-9-9"]
+    rows = [(k, *map(int, k.split("-")), [0.0] * 6) for k in keys]
+    nodes = spark.createDataFrame([*rows, rows[1]], "node_key string, d int, kx int, ky int, kz int, region array<double>")
+    docs = trees.page_documents(nodes, 160.0, "s/", levels=2)
+    got = {r.page_key: json.loads(r.json) for r in docs.collect()}
+    assert set(got) == {"0-0-0-0", "2-0-0-0", "2-1-0-0", "4-1-0-0", "6-9-9-9"}
+    first = got["0-0-0-0"]
+    assert (first["geometricError"], first["root"]["geometricError"]) == (20.0, 10.0)
+    assert [c["content"]["uri"] for c in first["root"]["children"]] == ["s/1-0-0-0.pnts", "s/1-1-0-0.pnts", "s/1-0-1-0.pnts"]
+    proxies = first["root"]["children"][0]["children"]
+    assert [c["content"]["uri"] for c in proxies] == ["s/page/2-0-0-0.json", "s/page/2-1-0-0.json"]
+    assert "children" not in proxies[0]
+    second = got["2-0-0-0"]
+    assert second["geometricError"] == second["root"]["geometricError"] == 2.5
+    assert second["root"]["children"][0]["children"][0]["content"]["uri"] == "s/page/4-1-0-0.json"
+    asked = spark.createDataFrame([("2-1-0-0",)], "page_key string")
+    assert json.loads(trees.asked_documents(asked, docs).first().json) == got["2-1-0-0"]
+    with pytest.raises(Exception, match="no such page: 9-9-9-9"):
+        trees.asked_documents(spark.createDataFrame([("9-9-9-9",)], "page_key string"), docs).collect()
+    assert trees.page_documents(nodes.limit(0), 160.0, "s/").collect() == []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointquarry.plans import files, maps, measures, profiles, shades, transfers, trees
+from pointquarry.plans import calls, files, maps, measures, profiles, shades, transfers, trees
 from pointquarry.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "files", "maps", "measures", "profiles", "shades", "transfers", "trees"]
+__all__ = ["ORACLES", "QUERIES", "calls", "files", "maps", "measures", "profiles", "shades", "transfers", "trees"]

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pointquarry.sources.http import reader_of
 from pointquarry.stores import opened
 
 # Fixed values of the public format: the length of the header part read, places in it, and the layout of its fields.
@@ -29,15 +30,19 @@ ReadRange = Callable[[str, int, int], bytes]
 
 
 def read_range(path: str, begin: int, end: int, attempts: int = 4, wait_s: float = 0.3) -> bytes:
-    """Bytes [begin, end) of a file; failures of the store are tried again, a short answer is an error."""
+    """Bytes [begin, end) of a file; failures of the store are tried again, a short answer is an error. URLs are
+    read by HTTP, with its own policy."""
     for k in range(attempts):
         try:
+            if path.startswith(("http://", "https://")):
+                data = reader_of(path).read(begin, end)
+                break
             system, inner = opened(path)
             with system.open_input_file(inner) as f:
                 data = f.read_at(end - begin, begin)
             break
         except OSError:
-            if k + 1 == attempts:
+            if k + 1 == attempts or path.startswith(("http://", "https://")):
                 raise
             time.sleep(min(3.0, wait_s * 2**k))
     if len(data) != end - begin:

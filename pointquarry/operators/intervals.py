@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointquarry.scratch import written
+
 
 def islands(ranges: DataFrame, max_gap: int, by: list[str], width: int = 1 << 22) -> DataFrame:
     """Adds ``run``: ranges whose gaps are at most ``max_gap`` share one, numbered from 1 in each group.
@@ -36,7 +42,7 @@ def greedy_runs(ranges: DataFrame, max_gap: int, max_bytes: int, by: list[str])
 
     Where a run starts depends on the run before, but only within an island of small gaps:
     so files are cut into islands first, and each island is folded by itself: 16 bytes for each range of the
-    longest island are held at once.
+    longest island are held at once. ``jump_runs`` holds two blocks instead.
     """
     row, run = F.struct(F.col("off").cast("long").alias("off"), F.col("len").cast("long").alias("len")), "struct<start:bigint,end:bigint,n:bigint>"
     island = islands(ranges, max_gap, by).groupBy(*by, "run").agg(F.array_sort(F.collect_list(row)).alias("rs"))
@@ -56,6 +62,104 @@ def greedy_runs(ranges: DataFrame, max_gap: int, max_bytes: int, by: list[str])
     return runs.select(*by, F.col("r.start").alias("run_start"), F.col("r.end").alias("run_end"), F.col("r.n").alias("n"))
 
 
+def next_starts(off: np.ndarray, end: np.ndarray, max_gap: int, max_bytes: int) -> list[int]:
+    """For each range, in order, where the next run starts if one starts at it: the first range behind that is too far from what
+    the run reaches, or with which the run is too long. From the last range to the first: a run takes over what the run at its
+    next range found, and ends that grow form a stack in which the first too long one is looked up."""
+    n, offs, ends = len(off), off.tolist(), end.tolist()
+    after_gap, reach, found = [n] * n, [0] * n, [n] * n
+    stack, neg = [], []
+    for i in range(n - 1, -1, -1):
+        top, j = ends[i], i + 1
+        while j < n and offs[j] - top <= max_gap:
+            top, j = max(top, reach[j]), after_gap[j]
+        after_gap[i], reach[i] = j, top
+        # The stack holds later ranges with ends that grow away from here; its last is the nearest.
+        most = offs[i] + max_bytes
+        k = bisect_left(neg, -most) - 1
+        found[i] = min(j, i + 1 if ends[i] > most else stack[k] if k >= 0 else n)
+        while stack and ends[stack[-1]] <= ends[i]:
+            stack.pop()
+            neg.pop()
+        stack.append(i)
+        neg.append(-ends[i])
+    return found
+
+
+def jump_runs(ranges: DataFrame, max_gap: int, max_bytes: int, by: list[str], width: int | None = None) -> DataFrame:
+    """The runs of ``greedy_runs``, for files of any length that are one island.
+
+    Where a run starts depends on the run before it, but where the next one starts depends on its own start alone: a jump for each
+    range. A group may be one packed file, so it is cut into blocks of ``width`` bytes (at least ``max_bytes``), each with the ranges of the
+    block behind it that its runs may reach. A task follows the jumps within a block and gives, for the ranges at which an earlier run may leave off,
+    the first start beyond it. These ways from block to block are composed by doubling, so the starts that count are found in as many joins as the
+    number of blocks has binary digits; then each block gives its runs. A task holds two blocks, whatever the length of a file or island.
+
+    Returns the columns ``by``, ``run_start``, ``run_end`` and ``n``. Equal ranges count each. Lengths are not negative; rows with a null offset or length are in no run.
+    """
+    width = max(max_bytes + 1, width or 4 * max_bytes)
+    names = {c: f"__by{i}" for i, c in enumerate(by)}
+    own = ranges.where("off is not null and len is not null").select(*[F.col(c).alias(n) for c, n in names.items()], F.col("off").cast("long").alias("off"), F.col("len").cast("long").alias("len"))
+    own = own.withColumn("block", F.floor(F.col("off") / width).cast("long"))
+    keys = list(names.values())
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields if f.name in keys)
+    in_zone = F.col("off") - F.col("block") * width <= max_bytes
+    firsts = own.groupBy(*keys, "block").agg(F.min(F.struct("off", "len")).alias("head"), F.min(F.when(~in_zone, F.struct("off", "len"))).alias("rest"))
+    along = W.partitionBy(*keys).orderBy("block")
+    later = firsts.withColumns({"next": F.lead("block").over(along), "next_head": F.lead("head").over(along), "next_rest": F.lead("rest").over(along), "third_head": F.lead("head", 2).over(along)})
+    after = F.when(F.col("next") == F.col("block") + 1, F.coalesce("next_rest", "third_head")).otherwise(F.col("next_head"))
+    later = written(later.select(*keys, "block", "head", after.alias("after")), "blocks")
+    ahead = own.where(in_zone).withColumns({"block": F.col("block") - 1, "mine": F.lit(False)})
+    both = own.withColumn("mine", F.lit(True)).unionByName(ahead).join(later, [*keys, "block"])
+
+    def ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, int, tuple]:
+        off, size, mine = (rows.column(c).to_numpy() for c in ("off", "len", "mine"))
+        order = np.lexsort((size, off))
+        end = rows.column("after")[0].as_py()
+        return off[order], size[order], int(mine.sum()), (end["off"], end["len"]) if end else (None, None)
+
+    def keyed(rows: pa.Table, n: int) -> dict[str, pa.ChunkedArray]:
+        return {c: rows.column(c).take(pa.array(np.zeros(n, np.int64))) for c in keys}
+
+    def ways(rows: pa.Table) -> pa.Table:
+        off, size, mine, end = ordered(rows)
+        jumps, exits = next_starts(off, off + size, max_gap, max_bytes), [0] * mine
+        for i in range(mine - 1, -1, -1):
+            exits[i] = jumps[i] if jumps[i] >= mine else exits[jumps[i]]
+        # An earlier run may leave off at the first range, in the zone, or at the first range behind it.
+        entry = np.flatnonzero(off[:mine] - off[0] // width * width <= max_bytes)
+        entry = np.unique(np.concatenate([[0], entry, [min(mine - 1, len(entry))]]))
+        outs = [exits[i] for i in entry.tolist()]
+        to = [(int(off[j]), int(size[j])) if j < len(off) else end for j in outs]
+        columns = [off[entry], size[entry], pa.array([t[0] for t in to], pa.int64()), pa.array([t[1] for t in to], pa.int64())]
+        return pa.table(keyed(rows, len(entry)) | {c: pa.array(v) for c, v in zip(("off", "len", "to_off", "to_len"), columns, strict=True)})
+
+    def runs(rows: pa.Table) -> pa.Table:
+        off, size, mine, _ = ordered(rows)
+        end, at = off + size, rows.column("entry")[0].as_py()
+        jumps, found = next_starts(off, end, max_gap, max_bytes), []
+        i = int(np.flatnonzero((off == at["off"]) & (size == at["len"]))[0])
+        while i < mine:
+            found.append((int(off[i]), int(end[i : jumps[i]].max()), jumps[i] - i))
+            i = jumps[i]
+        return pa.table(keyed(rows, len(found)) | {c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate(("run_start", "run_end", "n"))})
+
+    place = [*keys, "off", "len"]
+    group = [*keys, "block"]
+    hops = written(both.groupBy(*group).applyInArrow(ways, f"{kinds}{', ' * bool(keys)}off long, len long, to_off long, to_len long").where("to_off is not null").dropDuplicates(place), "ways")
+    heads = later.withColumn("first", F.row_number().over(along)).where("first = 1").select(*keys, "head.off", "head.len")
+    starts, n = written(heads, "starts"), -1
+    while (m := starts.count()) != n:
+        n = m
+        reached = starts.join(hops, place).select(*keys, F.col("to_off").alias("off"), F.col("to_len").alias("len"))
+        starts = written(starts.union(reached).distinct(), "starts")
+        onward = hops.select(*keys, F.col("off").alias("to_off"), F.col("len").alias("to_len"), F.col("to_off").alias("then_off"), F.col("to_len").alias("then_len"))
+        hops = written(hops.join(onward, [*keys, "to_off", "to_len"]).select(*place, F.col("then_off").alias("to_off"), F.col("then_len").alias("to_len")), "ways")
+    entered = starts.select(*keys, F.floor(F.col("off") / width).cast("long").alias("block"), F.struct("off", "len").alias("entry"))
+    out = both.join(entered, group).groupBy(*group).applyInArrow(runs, f"{kinds}{', ' * bool(keys)}run_start long, run_end long, n long")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "run_start", "run_end", "n")
+
+
 def learnt_total(responses: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``known``: the ``total`` of the first response (by off and len) of each group that tells one, from that
     response on; null before. The first ones are a partial aggregate, a row for each group."""

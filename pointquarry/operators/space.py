@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointquarry.functions.geodesy import geocentric
-from pointquarry.scratch import shared_path
+from pointquarry.scratch import written
 
 #: Points that a cell of the lowest level has on average, and cells up to which a level is sent to all tasks (100 bytes each).
 POINTS, FEW = 64, 1 << 16
@@ -31,12 +31,6 @@ def source_position(projection, z_unit: float, lon: Column, lat: Column, height:
     return x, y, height / z_unit
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def nearest_points(seeds: DataFrame, points: DataFrame, keep: list[str], order: list[str], id_col: str = "seed_id", axes: tuple[str, str, str] = ("ex", "ey", "ez"), cell_points: int = POINTS) -> DataFrame:
     """The nearest point to each seed among all points, by straight distance along ``axes`` (of both tables, in one unit).
 

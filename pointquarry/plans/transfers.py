@@ -29,6 +29,12 @@ def coalesce_runs(spark, sf):
     return I.greedy_runs(C.ranges(spark, sf), GAP, BYTES, ["file_id"])
 
 
+@query("ranges", "WITH " + GREEDY.replace(f"<= {GAP} ", f"<= {1 << 40} ").replace(f"<= {BYTES} ", f"<= {1 << 18} ") + " SELECT * FROM runs")
+def packed_runs(spark, sf):
+    """Runs under a limit on the bytes of a read alone: each file is one island, cut into blocks."""
+    return I.jump_runs(C.ranges(spark, sf), 1 << 40, 1 << 18, ["file_id"])
+
+
 @query("ranges", f"WITH {ISLANDS.format(gap=GAP)} SELECT file_id, min(off) AS run_start, max(off + len) AS run_end, count(*) AS n, sum(len)::BIGINT AS data FROM j GROUP BY file_id, run")
 def coalesce_islands(spark, sf):
     """Runs under a limit on the gap alone."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of each application's tables, by its id.
 FOLDERS: dict[str, str] = {}
@@ -36,3 +36,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         store.deleteOnExit(path)
         FOLDERS[app] = path.toString()
     return f"{FOLDERS[app]}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: it is computed once, and no plan grows over rounds."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

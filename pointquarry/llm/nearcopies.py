@@ -25,9 +25,8 @@ FEW, WIDE = 16, 16
 PLACES = 1 << 24
 #: Shingles whose min-wise hashes are taken at once.
 CHUNK = 1 << 13
-#: One-bit min-wise hashes of a sketch; two sets of similarity 0.8 differ in a tenth of them. ``MOST`` is four deviations more.
-BITS = 1024
-MOST = int(BITS * 0.1 + 4 * (BITS * 0.09) ** 0.5)
+#: Nodes of a block that is compared as a whole, and nodes that a task compares with one.
+MEMBERS, ASKING = 512, 1024
 SALTS = np.random.default_rng(5).integers(1, 2**63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -52,24 +51,6 @@ def bands_of(shingles: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """One bit of each of ``BITS`` min-wise hashes."""
-    salts = np.random.default_rng(6).integers(1, 2**63, (2, BITS), np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(BITS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), CHUNK >> 3):
-        part = (shingles[at : at + (CHUNK >> 3), None] ^ salts[0]) * salts[1]
-        np.minimum(least, part.min(axis=0), out=least)
-    return np.packbits(np.bitwise_count(least) & np.uint8(1)).tobytes()
-
-
-def sketches(sets: Column) -> Column:
-    @F.arrow_udf("binary")
-    def of_batch(sets: pa.Array) -> pa.Array:
-        return pa.array([sketch_of(x.values.to_numpy().view(np.uint64)) for x in sets], pa.binary())
-
-    return of_batch(sets)
-
-
 def bytes_of(x: pa.Scalar) -> bytes:
     return x.as_buffer().to_pybytes() if x.is_valid else b""
 
@@ -98,7 +79,7 @@ def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def pairs_of(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidates of a bucket, by places: all pairs of a few members. Of more, each with the member
     nearest to the majority of bits among those not near to an earlier one, and with the next by size;
-    the rest of the pairs is left to ``prefix_pairs``."""
+    the rest of the pairs is left to ``prefix_blocks``."""
     if len(fp) <= FEW:
         a, b = np.triu_indices(len(fp), 1)
     else:
@@ -208,19 +189,17 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(ra, "a").join(rb, "b").where("ra <> rb")
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, spread: float = 8.0) -> DataFrame:
-    """The pairs (a, b, na, nb) of nodes with different roots that may share 4/5 of their union.
+def prefix_blocks(nodes: DataFrame, sets: DataFrame, spread: float = 8.0) -> DataFrame:
+    """(node, block): the blocks of nodes in which one of another root may share 4/5 of the union with a node.
 
     A join by prefixes: shingles are ordered by how many of the given nodes have them, the rarest first.
     Of two sets that are near copies the first fifths (and one more) share a shingle, at places after
     which both still hold enough for the similarity. Passages that many nodes share come last in this order
     and so make no pairs. In the list of a shingle only pairs of different roots are
-    compared: nodes of other roots than the most frequent one with all. Of these, pairs are made whose sketches
-    of one-bit min-wise hashes differ in at most ``MOST`` bits, so a family just below the similarity makes few;
-    of pairs at the very similarity one in 30,000 is lost by this. Long
-    lists are dealt in blocks of the most frequent root's nodes, 1 / ``spread`` of its root many.
+    looked at: nodes of other roots than the most frequent one with all behind them. A list gives each node the blocks of its
+    partners, not the partners, so a family just below the similarity gives few rows. Long
+    lists are dealt in parts of the most frequent root's nodes, 1 / ``spread`` of its root many.
     """
-    drawn = sets.join(nodes.select("node"), "node").select("node", sketches(F.col("s")).alias("k"))
     tokens = sets.join(nodes.select("node", "root", "n"), "node").select("node", "root", "n", F.explode("s").alias("t"))
     df = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     ordered = tokens.join(df, "t").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("s"))
@@ -230,41 +209,81 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, spread: float = 8.0) -> Data
     lists = staged(by_root.groupBy("t").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.max("m").alias("top")), "near-lists")
     salts = F.ceil(F.sqrt("top") / spread).cast("int")
     own = F.when(F.col("root") == F.col("most"), F.array(F.pmod(F.hash("node"), salts))).otherwise(F.sequence(F.lit(0), salts - 1))
-    dealt = held.join(lists, "t").join(staged(drawn, "near-sketches"), "node").select("t", F.explode(own).alias("salt"), "node", "root", "n", "at", (F.col("root") == F.col("most")).alias("common"), "k")
+    dealt = held.join(lists, "t").join(nodes.select("node", "block"), "node").select("t", F.explode(own).alias("salt"), "node", "root", "n", "at", (F.col("root") == F.col("most")).alias("common"), "block")
     parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-held.count() // (1 << 19)))
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches_held = [b for b in batches if len(b)]
-        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "salt", "node", "root", "n", "at", "common")) for b in batches_held]
+        held = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "salt", "node", "root", "n", "at", "common", "block")) for b in batches if len(b)]
         if not held:
             return
-        t, salt, node, root, n, at, common = (np.concatenate(x) for x in zip(*held, strict=True))
-        bits = np.concatenate([np.frombuffer(b"".join(b.column("k").to_pylist()), np.uint64).reshape(-1, BITS // 64) for b in batches_held])
+        t, salt, node, root, n, at, common, block = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((common, salt, t))
-        t, salt, node, root, n, at, common, bits = (x[order] for x in (t, salt, node, root, n, at, common, bits))
+        t, salt, node, root, n, at, common, block = (x[order] for x in (t, salt, node, root, n, at, common, block))
 
         def close(i: np.ndarray | int, j: np.ndarray | slice) -> np.ndarray:
             room = 1 + np.minimum(n[i] - 1 - at[i], n[j] - 1 - at[j])
-            fit = (root[j] != root[i]) & sized(n[i], n[j]) & (room * (PART + WHOLE) >= PART * (n[i] + n[j]))
-            fit[fit] = np.bitwise_count(bits[i if np.isscalar(i) else i[fit]] ^ bits[j][fit]).sum(axis=1, dtype=np.int64) <= MOST
-            return fit
+            return (root[j] != root[i]) & sized(n[i], n[j]) & (room * (PART + WHOLE) >= PART * (n[i] + n[j]))
 
         starts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])]))
         ends = np.append(starts[1:], len(t))
         two = starts[ends - starts == 2]
-        left, right = [two], [two + 1]
+        two = two[close(two, two + 1)]
+        asking, blocks = [node[two]], [block[two + 1]]
         for begin, end in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
             # Nodes of the most frequent root come last and are not compared with one another.
             for i in range(begin, begin + np.searchsorted(common[begin:end], True)):
-                j = i + 1 + np.flatnonzero(close(i, slice(i + 1, end)))
-                left.append(np.full(len(j), i))
-                right.append(j)
-        i, j = np.concatenate(left), np.concatenate(right)
-        i, j = (x[close(i, j)] for x in (i, j))
-        i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], n[i], n[j])], ["a", "b", "na", "nb"])
+                found = np.unique(block[i + 1 : end][close(i, slice(i + 1, end))])
+                asking.append(np.full(len(found), node[i]))
+                blocks.append(found)
+        rows = np.unique(np.stack([np.concatenate(asking), np.concatenate(blocks)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["node", "block"])
+
+    return staged(dealt.repartition(parts, "t", "salt").mapInArrow(of_task, "node long, block long").distinct(), "near-blocks")
 
-    return dealt.repartition(parts, "t", "salt").mapInArrow(of_task, "a long, b long, na long, nb long").distinct()
+
+def compared(nodes: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that share 4/5 of their union or more with one of another root in a wanted block, counted exactly: of each
+    node one link for each block and root.
+
+    A task holds the sets of a block's members and counts what each node that asks for it shares with all of them; a block for which many
+    ask goes to several tasks.
+    """
+    sized_ = wanted.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("chunks"))
+    columns = ["block", "chunk", "asks", "node", "root", "n", "s"]
+    whole = nodes.join(sets, "node")
+    members = whole.join(sized_, "block").withColumns({"asks": F.lit(False), "chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))})
+    asking = wanted.join(sized_, "block").join(whole.drop("block"), "node").withColumns({"asks": F.lit(True), "chunk": F.pmod(F.hash("node"), F.col("chunks"))})
+    both = members.select(columns).unionByName(asking.select(columns))
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, ready = None, [], None
+        for batch in batches:
+            lists = batch.column("s")
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            names, roots, sizes = (batch.column(c).to_numpy() for c in ("node", "root", "n"))
+            a, b = [], []
+            for i, (block, chunk, asks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "chunk", "asks")), strict=True)):
+                own = values[offsets[i] : offsets[i + 1]]
+                if (block, chunk) != place:
+                    place, held, ready = (block, chunk), [], None
+                if not asks:
+                    held.append((names[i], roots[i], sizes[i], own))
+                    continue
+                if ready is None:
+                    ready = tuple(np.array([h[k] for h in held], np.int64) for k in range(3)), np.concatenate([h[3] for h in held] or [own[:0]]), np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+                (node, root, n), shingles, of = ready
+                mine = np.sort(own)
+                at = np.minimum(np.searchsorted(mine, shingles), len(mine) - 1)
+                shared = np.bincount(of[mine[at] == shingles], minlength=len(node))
+                good = np.flatnonzero((root != roots[i]) & (shared * WHOLE >= (n + sizes[i] - shared) * PART))
+                first = good[np.unique(root[good], return_index=True)[1]]
+                a += [names[i]] * len(first)
+                b += node[first].tolist()
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    dealt = both.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "asks", "node")
+    return staged(dealt.mapInArrow(of_task, "a long, b long").distinct(), "near-links")
 
 
 def firsts(docs: DataFrame, radius: int, words_per_shingle: int) -> DataFrame:
@@ -276,8 +295,8 @@ def firsts(docs: DataFrame, radius: int, words_per_shingle: int) -> DataFrame:
     share a band of min-wise hashes. Of each candidate the similarity is counted, so no other pair
     is linked. Each document is compared with its most frequent candidate first, and then with those that
     are in no group with it yet. In buckets of which only a part of the pairs were candidates the groups
-    with a pair that failed are joined by prefixes, so every near copy that met in a
-    bucket is linked (but for the rare error of a sketch, see ``prefix_pairs``). Equal sets are one node. Null and wordless texts are copies of one another.
+    with a pair that failed are joined by prefixes and compared in blocks, so every near copy that met in a
+    bucket is linked. Equal sets are one node. Null and wordless texts are copies of one another.
     """
     prints = staged(printed(docs, words_per_shingle), "near-prints")
     one = prints.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("first"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
@@ -297,8 +316,12 @@ def firsts(docs: DataFrame, radius: int, words_per_shingle: int) -> DataFrame:
     failed = staged(apart(left.where("partial"), roots).select("ra", "rb"), "near-failed")
     if not failed.isEmpty():
         open_roots = failed.select(F.explode(F.array("ra", "rb")).alias("root")).distinct()
-        rest = staged(roots.join(open_roots, "root", "left_semi").select("node", "root", "n"), "near-rest")
-        more = verified(prefix_pairs(rest, sets), sets)
+        # Blocks are parts of the families that failed pairs connect, so nodes that may be near are in few of them.
+        family = components(failed, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("family"))
+        rest = staged(roots.join(open_roots, "root", "left_semi").select("node", "root", "n").join(family, "root"), "near-open")
+        many = rest.groupBy("family").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+        rest = staged(rest.join(many, "family").select("node", "root", "n", F.xxhash64("family", F.pmod(F.hash("node"), "parts")).alias("block")), "near-rest")
+        more = compared(rest, sets, prefix_blocks(rest, sets))
         if not more.isEmpty():
             roots = rooted(nodes, links.union(more))
     return roots.groupBy("root").agg(F.min("first").alias("f")).select("f.__id", "f.__hash")

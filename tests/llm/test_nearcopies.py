@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointquarry.llm import graph, nearcopies, simhash
@@ -74,10 +75,16 @@ def test_prefixes_miss_no_pair(spark):
     nodes = spark.createDataFrame([(i, roots[i], len(s)) for i, s in sets.items()], "node long, root long, n long")
     given = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, s array<long>")
     want = {(i, j) for i in sets for j in sets if i < j and roots[i] != roots[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    for spread in (8.0, 0.5):
-        found = nearcopies.prefix_pairs(nodes, given, spread)
-        assert {(r.a, r.b) for r in nearcopies.verified(found, given).collect()} == want
-        assert len(want) > 100 and found.count() < 6 * len(want)
+    assert len(want) > 100
+    for spread, parts in ((8.0, 10**6), (0.5, 10**6), (8.0, 3)):
+        placed = nodes.withColumn("block", F.col("node") % parts)
+        found = nearcopies.compared(placed, given, nearcopies.prefix_blocks(placed, given, spread)).collect()
+        pairs = {(r.a, r.b) for r in found}
+        assert pairs <= want
+        joined = {(x, roots[y]) for p in pairs for x, y in (p, p[::-1])}
+        assert all((i, roots[j]) in joined or (j, roots[i]) in joined for i, j in want)
+        # With a block for each node, every pair is a link of its own.
+        assert parts == 3 or pairs == want
 
 
 def test_a_pair_far_from_its_crowd_is_linked(spark, sf_dir):

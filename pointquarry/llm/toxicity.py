@@ -23,6 +23,9 @@ REMEMBERED, BATCH = 1 << 18, 128
 #: Documents of the labelled sample that are added, at the overall rates, to those seen with a term.
 SMOOTHING = 5.0
 
+#: The place of a word that no example has.
+UNSEEN = -1
+
 Vector = tuple[np.ndarray, np.ndarray]
 
 
@@ -53,18 +56,31 @@ class Remembered(dict):
 
 
 def numbered(vocabulary: np.ndarray) -> Callable[[bytes], tuple[int, ...]]:
-    """Places of a word's terms among the hashes ``vocabulary``; for others a negative number, made of the hash."""
+    """Places of a word's terms among the hashes ``vocabulary``; ``UNSEEN`` for a word that isn't there, nothing for a beginning."""
     place = {h: i for i, h in enumerate(vocabulary.tolist())}
-    return lambda word: tuple(place[h] if h in place else -1 - (h >> 1) for h in term_hashes(word))
+
+    def of_word(word: bytes) -> tuple[int, ...]:
+        whole, *stems = term_hashes(word)
+        return (place.get(whole, UNSEEN), *(place[h] for h in stems if h in place))
+
+    return of_word
 
 
-def counted(text: pa.Scalar, known: Remembered, kind: type) -> Vector:
-    """The distinct terms of a whole text, sorted, and how often each stands there."""
+def counted(text: pa.Scalar, known: Remembered, kind: type) -> tuple[np.ndarray, np.ndarray, float]:
+    """The distinct terms of a whole text, sorted, how often each stands there, and the squared length of the words without a
+    place, each of weight 1 + log of its count."""
     words = Counter(words_of(text.as_buffer().to_pybytes())) if text.is_valid else {}
     found = [known[w] for w in words]
     terms = np.fromiter(chain.from_iterable(found), kind)
+    if not len(terms):
+        return terms, np.zeros(0), 0.0
+    n, alone = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found))), 0.0
+    if kind is np.int64:
+        unseen = terms == UNSEEN
+        w = 1 + np.log(n[unseen])
+        terms, n, alone = terms[~unseen], n[~unseen], float((w * w).sum())
     distinct, place = np.unique(terms, return_inverse=True)
-    return distinct, np.bincount(place, np.repeat(list(words.values()), [len(x) for x in found]), len(distinct)) if len(terms) else np.zeros(0)
+    return distinct, np.bincount(place, n, len(distinct)), alone
 
 
 def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,11 +222,10 @@ def curve(share: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray, unseen: float = 0.0) -> Vector:
-    """The known terms' part of the unit vector of all terms; those that no example has (negative) weigh ``unseen``."""
-    known = terms >= 0
-    w = (1 + np.log(counts)) * np.where(known, factor[terms * known] if len(factor) else 0.0, unseen)
-    return terms[known], w[known] / np.sqrt((w * w).sum()) if len(w) else w
+def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray, alone: float = 0.0) -> Vector:
+    """The part of the unit vector that has places; ``alone`` is the squared length of the rest."""
+    w = (1 + np.log(counts)) * factor[terms] if len(factor) else np.zeros(len(terms))
+    return terms, w / np.sqrt((w * w).sum() + alone) if len(w) else w
 
 
 #: What a worker has made of a broadcast: the index and the table of words are built once, not in each task.
@@ -242,8 +257,8 @@ def example_terms(sample: DataFrame) -> pa.Table:
         known = Remembered(term_hashes)
         for batch in batches:
             terms = [counted(t, known, np.uint64) for t in batch.column("text")]
-            h = pa.array([x.view(np.int64) for x, _ in terms], pa.list_(pa.int64()))
-            tf = pa.array([n.astype(np.int32) for _, n in terms], pa.list_(pa.int32()))
+            h = pa.array([x.view(np.int64) for x, _, _ in terms], pa.list_(pa.int64()))
+            tf = pa.array([n.astype(np.int32) for _, n, _ in terms], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), h, tf], ["id", "toxic", "h", "tf"])
 
     return sample.select(F.col("id").cast("string").alias("id"), "toxic", "text").mapInArrow(of_task, "id string, toxic int, h array<long>, tf array<int>").toArrow()
@@ -292,9 +307,9 @@ def score_toxicity(
 
     Examples are a bounded sample of the labelled documents that aren't held out: those of the smallest
     hashes of ids, at most ``max_examples`` with ``max_bytes`` of text together (a text that does not fit any more is left out,
-    later ones that do are not). Terms are all words and the beginnings of words; none is left out. A vector holds
-    (1 + log tf) * idf, normalised over all terms of the whole text: those that no example has count for
-    its length as terms of one document. The document frequencies of the examples' terms are counted over all documents. With
+    later ones that do are not). Terms are all words, and the beginnings of words that examples have. A vector holds
+    (1 + log tf) * idf, normalised over all terms of the whole text: words that no example has count for
+    its length as words of one document. The document frequencies of the examples' terms are counted over all documents. With
     ``relevance`` a term has a further factor log2(1 + lift), where the lift is how many times as often it stands in toxic examples as
     in others (smoothed; 1 for a term without bearing), that of supervised TF-IDF.
     Each document's nearest examples by exact cosine come from a block-max
@@ -359,7 +374,7 @@ def score_toxicity(
         for texts in batches:
             shares, near = [np.zeros(0)], []
             for i in range(0, len(texts), BATCH):
-                found = ballot.of([weighed(*counted(t, known, np.int64), factor, unseen) for t in texts[i : i + BATCH]])
+                found = ballot.of([weighed(terms, n, factor, unseen * unseen * rest) for terms, n, rest in (counted(t, known, np.int64) for t in texts[i : i + BATCH])])
                 shares.append(found[0])
                 near += found[1]
             share = np.concatenate(shares)

@@ -365,7 +365,7 @@ def toxicity_by_brute_force(docs: dict[int, str | None], labels: dict[int, int],
     unseen = math.log((1 + len(docs)) / 2) + 1
 
     def vector(i):
-        w = {t: (1 + math.log(n)) * weight.get(t, unseen) for t, n in tf[i].items()}
+        w = {t: (1 + math.log(n)) * weight.get(t, unseen) for t, n in tf[i].items() if t in weight or not t[1]}
         norm = math.sqrt(sum(x * x for x in w.values()))
         return {t: x / norm for t, x in w.items() if t in weight}
 

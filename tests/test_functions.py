@@ -126,14 +126,19 @@ def test_grid_falls_back(spark):
 
 
 def test_merging_of_ranges(spark):
-    def runs(*rs, gap=256 << 10, most=8 << 20):
-        df = spark.createDataFrame([(0, a, b - a) for a, b in rs], "f int, off long, len long")
-        return sorted((r.run_start, r.run_end) for r in greedy_runs(df, gap, most, ["f"]).collect())
-
-    assert runs((0, 100), (100, 200)) == runs((100, 200), (0, 100)) == [(0, 200)]
-    assert runs((0, 10), (10 + (256 << 10), 20 + (256 << 10))) == [(0, 20 + (256 << 10))]
-    assert len(runs((0, 10), (10 + (300 << 10), 20 + (300 << 10)))) == 2
-    assert len(runs((0, 5 << 20), (5 << 20, 10 << 20))) == 2
+    draw = random.Random(11)
+    rows = [(i % 5, draw.randrange(4000), draw.choice([1, 7, 40, 900])) for i in range(300)]
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "f int, off long, len long")
+    for gap, most in ((0, 50), (13, 700), (90, 10**6)):
+        want = []
+        for f, off, size in sorted(rows):
+            last = want[-1] if want and want[-1][0] == f else None
+            if last and off - last[2] <= gap and max(last[2], off + size) - last[1] <= most:
+                last[2:] = [max(last[2], off + size), last[3] + 1]
+            else:
+                want.append([f, off, off + size, 1])
+        got = greedy_runs(df, gap, most, ["f"]).collect()
+        assert sorted((r.f, r.run_start, r.run_end, r.n) for r in got) == [tuple(w) for w in want]
 
 
 def test_order_statistics_by_brute_force(spark):

@@ -47,8 +47,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", edges_per_t
     """(node, root) for each node of an edge (longs): root is the smallest node of its component.
 
     First the edges are dealt into parts of ``edges_per_task``, and each part becomes stars
-    around the smallest nodes of its own components: fewer edges, and shorter ways.
-    Each round gives a node the smallest label among its neighbours' and then
+    around the smallest nodes of its own components: fewer edges, and shorter ways. The stars of a single part
+    are the components, so no rounds follow. Else each round gives a node the smallest label among its neighbours' and then
     the label of its label, which halves the way to the root; each round is written to
     the shared folder, so no plan grows and a lost executor costs one round. Only
     the number of changed labels comes to the driver. Loops and repeated edges are
@@ -65,7 +65,15 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", edges_per_t
             loops = np.setdiff1d(a[a == b], np.concatenate([root, node]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([root, loops])), pa.array(np.concatenate([node, loops]))], ["a", "b"])
 
+    def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stars in of_part(batches):
+            root, node = (stars.column(c).to_numpy() for c in ("a", "b"))
+            roots, far = np.unique(root), node != root
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[far], roots])), pa.array(np.concatenate([root[far], roots]))], ["node", "root"])
+
     parts = max(1, -(-given.count() // edges_per_task))
+    if parts == 1:
+        return staged(given.repartition(1).mapInArrow(of_all, "node long, root long"), "labels")
     pairs = given.repartition(parts).mapInArrow(of_part, "a long, b long")
     both = staged(pairs.union(pairs.select("b", "a")).distinct(), "edges")
     labels = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")

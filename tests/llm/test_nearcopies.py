@@ -120,6 +120,20 @@ def test_buckets_in_blocks_link_alike(spark, block):
     assert {x: roots.get(x, x) for x in fps} == {x: find(x) for x in fps}
 
 
+def test_edges_of_one_part_take_no_rounds(spark):
+    rng = np.random.default_rng(16)
+    edges = [(i, i + 1) for i in range(400) if i % 50] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (300, 2))] + [(2000, 2000), (1, 1), (None, 3)]
+    given = spark.createDataFrame(edges, "src long, dst long")
+    spark.sparkContext.setJobGroup("components-at-once", "")
+    at_once = sorted(map(tuple, graph.components(given).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components-at-once"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert at_once == sorted(map(tuple, graph.components(given, edges_per_task=40).collect()))
+    assert (2000, 2000) in at_once and (1, 1) in at_once
+    # Each round is many jobs, and each job is memory of the driver.
+    assert jobs <= 8
+
+
 def test_short_and_wordless_texts(spark, sf_dir):
     rows = [(1, "a b", None, None, None), (2, "A  b", None, None, None), (3, "a b c", None, None, None), (4, "", None, None, None), (5, None, None, None, None), (6, " \n", None, None, None)]
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect())

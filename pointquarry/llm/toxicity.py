@@ -23,10 +23,12 @@ REMEMBERED, BATCH = 1 << 18, 128
 #: Documents of the labelled sample that are added, at the overall rates, to those seen with a term.
 SMOOTHING = 5.0
 
-#: The place of a word that no example has.
-UNSEEN = -1
+#: The place of a word that no example has, and of a beginning that no example has or that is the word.
+UNSEEN, NONE = -1, -2
 
+#: Terms and weights of a vector; and of several queries their number and, sorted by query, the query, term and weight of each entry.
 Vector = tuple[np.ndarray, np.ndarray]
+Queries = tuple[int, np.ndarray, np.ndarray, np.ndarray]
 
 
 def term_hashes(word: bytes) -> tuple[int, ...]:
@@ -55,32 +57,62 @@ class Remembered(dict):
         return found
 
 
-def numbered(vocabulary: np.ndarray) -> Callable[[bytes], tuple[int, ...]]:
-    """Places of a word's terms among the hashes ``vocabulary``; ``UNSEEN`` for a word that isn't there, nothing for a beginning."""
-    place = {h: i for i, h in enumerate(vocabulary.tolist())}
+class Numbered(dict):
+    """A number for each word, given when it is first seen; ``places`` has by number the places of the word and its beginnings among the hashes ``vocabulary``."""
 
-    def of_word(word: bytes) -> tuple[int, ...]:
+    def __init__(self, vocabulary: np.ndarray):
+        super().__init__()
+        self.place = {h: i for i, h in enumerate(vocabulary.tolist())}
+        self.places = np.empty((1 << 12, 1 + len(STEMS)), np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.places):
+            self.places = np.concatenate([self.places, np.empty_like(self.places)])
         whole, *stems = term_hashes(word)
-        return (place.get(whole, UNSEEN), *(place[h] for h in stems if h in place))
+        self.places[n] = (self.place.get(whole, UNSEEN), *(self.place.get(h, NONE) for h in stems), *[NONE] * (len(STEMS) - len(stems)))
+        return n
 
-    return of_word
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number, count) of the distinct words of whole texts, sorted."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        words = [words_of(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in texts]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, lengths.sum())
+        distinct, n = np.unique(np.repeat(np.arange(len(words)), lengths) * len(self) + number, return_counts=True)
+        return *np.divmod(distinct, max(1, len(self))), n
 
 
-def counted(text: pa.Scalar, known: Remembered, kind: type) -> tuple[np.ndarray, np.ndarray, float]:
-    """The distinct terms of a whole text, sorted, how often each stands there, and the squared length of the words without a
-    place, each of weight 1 + log of its count."""
+def counted(text: pa.Scalar, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed terms of a whole text, sorted, and how often each stands there."""
     words = Counter(words_of(text.as_buffer().to_pybytes())) if text.is_valid else {}
     found = [known[w] for w in words]
-    terms = np.fromiter(chain.from_iterable(found), kind)
-    if not len(terms):
-        return terms, np.zeros(0), 0.0
-    n, alone = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found))), 0.0
-    if kind is np.int64:
-        unseen = terms == UNSEEN
-        w = 1 + np.log(n[unseen])
-        terms, n, alone = terms[~unseen], n[~unseen], float((w * w).sum())
+    terms = np.fromiter(chain.from_iterable(found), np.uint64)
+    n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
     distinct, place = np.unique(terms, return_inverse=True)
-    return distinct, np.bincount(place, n, len(distinct)), alone
+    return distinct, np.bincount(place, n, len(distinct))
+
+
+def asked(texts: pa.Array, known: Numbered, factor: np.ndarray, unseen: float) -> Queries:
+    """The unit vectors of whole texts, without the words that have no place: each of these has the weight ``unseen`` times 1 + log of its count."""
+    doc, number, n = known.counts(texts)
+    places = known.places[number]
+    alone = places[:, 0] == UNSEEN
+    length = np.bincount(doc[alone], (unseen * (1 + np.log(n[alone]))) ** 2, len(texts))
+    held = places >= 0
+    width = max(1, len(factor))
+    terms, at = np.unique(np.repeat(doc, held.sum(axis=1)) * width + places[held], return_inverse=True)
+    doc, term = np.divmod(terms, width)
+    weight = (1 + np.log(np.bincount(at, np.repeat(n, held.sum(axis=1)), len(terms)))) * factor[term]
+    length = length + np.bincount(doc, weight * weight, len(texts))
+    return len(texts), doc, term, weight / np.sqrt(length[doc])
+
+
+def together(vectors: list[Vector]) -> Queries:
+    """Vectors as queries."""
+    doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    return len(vectors), doc, np.concatenate([v[0] for v in vectors]), np.concatenate([v[1] for v in vectors])
 
 
 def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +126,9 @@ class BlockMaxIndex:
     """Postings of normalised example vectors by term and block of examples, with the
     largest weight of each term in each block.
 
-    Terms of a sixteenth of the examples or more have one posting for every example (a dense row). A query
-    first visits the ``FIRST`` blocks of the largest bounds (query times largest weights), and then each block whose
+    Terms of a sixteenth of the examples or more have one posting for every example (a dense row), and their part of all cosines
+    comes from one product. A block's bound is the largest such part in it and the query times the largest weights of the other terms. A
+    query first visits the ``FIRST`` blocks of the largest bounds, and then each block whose
     bound reaches its k-th cosine there; no other block can hold one of the k nearest, so they are exact.
     """
 
@@ -125,7 +158,6 @@ class BlockMaxIndex:
         dense = self.row[term] >= 0
         self.dense = np.zeros((len(common), self.blocks * block))
         self.dense[self.row[term[dense]], place[dense]] = weight[dense]
-        self.dense_most = self.dense.reshape(len(common), self.blocks, block).max(axis=2) if n else np.zeros((len(common), 0))
         term, place, weight = term[~dense], place[~dense], weight[~dense]
         by = np.lexsort((place, term))
         term, self.place, self.weight = term[by], place[by], weight[by]
@@ -136,40 +168,41 @@ class BlockMaxIndex:
         self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.term_end = np.searchsorted(term[first], np.arange(terms + 1))
 
-    def cosines(self, queries: list[Vector], k: int, without: np.ndarray | None = None) -> np.ndarray:
+    def cosines(self, queries: Queries | list[Vector], k: int, without: np.ndarray | None = None) -> np.ndarray:
         """A row of cosines for each query, in the index's order of examples: of its k nearest, all
         that tie with the k-th, and perhaps more; the others are zero. ``without`` names an example that each query leaves out."""
-        q, blocks = len(queries), self.blocks
-        scores = np.zeros((q, blocks * self.block))
+        q, doc, term, weight = together(queries) if isinstance(queries, list) else queries
+        blocks, block = self.blocks, self.block
         if not self.n:
-            return scores
-        doc = np.repeat(np.arange(q), [len(x[0]) for x in queries])
-        term, weight = np.concatenate([x[0] for x in queries]), np.concatenate([x[1] for x in queries])
+            return np.zeros((q, 0))
         row = self.row[term]
+        often, rare = row >= 0, row < 0
         ask = np.zeros((q, len(self.dense)))
-        ask[doc[row >= 0], row[row >= 0]] = weight[row >= 0]
-        doc, term, weight = doc[row < 0], term[row < 0], weight[row < 0]
+        ask[doc[often], row[often]] = weight[often]
+        scores = ask @ self.dense
+        doc, term, weight = doc[rare], term[rare], weight[rare]
         cell, which = spread(self.term_end[term], self.term_end[term + 1])
-        doc, weight, of_block = doc[which], weight[which], self.cell_block[cell]
-        bounds = ask @ self.dense_most + np.bincount(doc * blocks + of_block, weight * self.cell_most[cell], q * blocks).reshape(q, blocks)
+        doc, weight = doc[which], weight[which]
+        of_block = doc * blocks + self.cell_block[cell]
+        bounds = scores.reshape(q, blocks, block).max(axis=2) + np.bincount(of_block, weight * self.cell_most[cell], q * blocks).reshape(q, blocks)
+        left_out = None if without is None else (np.arange(q), np.argsort(self.order)[without])
 
         def visit(go: np.ndarray) -> None:
-            for b in np.flatnonzero(go.any(axis=0)).tolist():
-                rows, part = np.flatnonzero(go[:, b]), slice(b * self.block, (b + 1) * self.block)
-                scores[rows, part] = ask[rows] @ self.dense[:, part]
-            kept = go[doc, of_block]
+            kept = np.flatnonzero(go.ravel()[of_block])
             at, of = spread(self.cell_end[cell[kept]], self.cell_end[cell[kept] + 1])
-            cells = doc[kept][of] * scores.shape[1] + self.place[at]
-            scores.ravel()[:] += np.bincount(cells, weight[kept][of] * self.weight[at], scores.size)
-            if without is not None:
-                scores[np.arange(q), np.argsort(self.order)[without]] = 0
+            to = (doc[kept] * scores.shape[1])[of] + self.place[at]
+            scores.ravel()[:] += np.bincount(to, weight[kept][of] * self.weight[at], scores.size)
+            if left_out:
+                scores[left_out] = 0
 
         first = np.zeros((q, blocks), bool)
         best = np.argpartition(-bounds, min(self.FIRST, blocks) - 1, axis=1)[:, : self.FIRST]
         np.put_along_axis(first, best, True, axis=1)
         visit(first)
-        kth = self.kth(scores, k)
-        visit((bounds >= kth[:, None] - 1e-9) & (bounds > 0) & ~first)
+        kth = self.kth(np.take_along_axis(scores.reshape(q, blocks, block), best[:, :, None], axis=1).reshape(q, -1), k)
+        rest = (bounds >= kth[:, None] - 1e-9) & (bounds > 0) & ~first
+        visit(rest)
+        scores.reshape(q, blocks, block)[~(first | rest)] = 0
         return scores[:, : self.n]
 
     @staticmethod
@@ -186,16 +219,16 @@ class Votes:
         self.toxic = toxic[self.index.order] if len(toxic) else toxic
         self.names = [names[i] for i in self.index.order]
 
-    def of(self, queries: list[Vector], without: np.ndarray | None = None, evidence: bool = True) -> tuple[np.ndarray, list[list[str]]]:
+    def of(self, queries: Queries, without: np.ndarray | None = None, evidence: bool = True) -> tuple[np.ndarray, list[list[str]]]:
         """The k nearest vote, with all that tie with the k-th, by 1 / (1.05 - cosine); the prior has one vote of weight 1."""
         if not self.index.n:
-            return np.full(len(queries), self.prior), [[] for _ in queries]
+            return np.full(queries[0], self.prior), [[] for _ in range(queries[0])]
         cos = np.round(np.minimum(self.index.cosines(queries, self.k, without), 1.0), 12)
         near = (cos >= self.index.kth(cos, self.k)[:, None]) & (cos > 0)
         weight = np.where(near, 1 / (1.05 - cos), 0)
         share = (weight @ self.toxic + self.prior) / (weight.sum(axis=1) + 1)
         found = []
-        for i in range(len(queries) if evidence else 0):
+        for i in range(queries[0] if evidence else 0):
             at = np.flatnonzero(near[i])
             found.append([self.names[j] for j in sorted(at.tolist(), key=lambda j: (-cos[i, j], self.names[j]))[:5]])
         return share, found
@@ -222,10 +255,10 @@ def curve(share: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray, alone: float = 0.0) -> Vector:
-    """The part of the unit vector that has places; ``alone`` is the squared length of the rest."""
-    w = (1 + np.log(counts)) * factor[terms] if len(factor) else np.zeros(len(terms))
-    return terms, w / np.sqrt((w * w).sum() + alone) if len(w) else w
+def weighed(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray) -> Vector:
+    """The unit vector of an example."""
+    w = (1 + np.log(counts)) * factor[terms]
+    return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 #: What a worker has made of a broadcast: the index and the table of words are built once, not in each task.
@@ -256,9 +289,9 @@ def example_terms(sample: DataFrame) -> pa.Table:
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(term_hashes)
         for batch in batches:
-            terms = [counted(t, known, np.uint64) for t in batch.column("text")]
-            h = pa.array([x.view(np.int64) for x, _, _ in terms], pa.list_(pa.int64()))
-            tf = pa.array([n.astype(np.int32) for _, n, _ in terms], pa.list_(pa.int32()))
+            terms = [counted(t, known) for t in batch.column("text")]
+            h = pa.array([x.view(np.int64) for x, _ in terms], pa.list_(pa.int64()))
+            tf = pa.array([n.astype(np.int32) for _, n in terms], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), h, tf], ["id", "toxic", "h", "tf"])
 
     return sample.select(F.col("id").cast("string").alias("id"), "toxic", "text").mapInArrow(of_task, "id string, toxic int, h array<long>, tf array<int>").toArrow()
@@ -270,12 +303,15 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, df, n = Remembered(numbered(sent.value)), np.zeros(len(sent.value), np.int64), 0
+        known, n, width = Numbered(sent.value), 0, len(sent.value)
+        df = np.zeros(width, np.int64)
         for batch in batches:
             n += len(batch)
-            for text in batch.column("text"):
-                words = set(words_of(text.as_buffer().to_pybytes())) if text.is_valid else ()
-                df[np.array([t for t in set(chain.from_iterable(known[w] for w in words)) if t >= 0], np.int64)] += 1
+            for i in range(0, len(batch), BATCH):
+                doc, number, _ = known.counts(batch.column("text")[i : i + BATCH])
+                places = known.places[number]
+                held = places >= 0
+                df += np.bincount(np.unique(np.repeat(doc, held.sum(axis=1)) * width + places[held]) % width, minlength=width)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], ["term", "n"])
 
@@ -361,20 +397,32 @@ def score_toxicity(
         ends = np.cumsum(lengths)
         vectors = [weighed(terms[e - m : e], tf[e - m : e], factor) for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
         votes = (vectors, toxic, names)
-        ballot = Votes(*votes, len(vocabulary), prior, neighbours)
-        shares = [ballot.of(vectors[i : i + BATCH], np.arange(i, min(i + BATCH, len(vectors))), evidence=False)[0] for i in range(0, len(vectors), BATCH)]
-        slope, shift = curve(np.concatenate(shares), toxic)
     sent, key = docs.sparkSession.sparkContext.broadcast((vocabulary, factor, votes)), uuid.uuid4().hex
 
+    def ready() -> tuple[Votes, Numbered]:
+        """What a task needs; a worker makes it once."""
+        vocabulary, _, votes = sent.value
+        return built(key, lambda: (Votes(*votes, len(vocabulary), prior, neighbours), Numbered(vocabulary)))
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in batch.column("id").to_pylist():
+                vectors = sent.value[2][0][begin : begin + BATCH]
+                share = ready()[0].of(together(vectors), np.arange(begin, begin + len(vectors)), evidence=False)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin, begin + len(vectors))), pa.array(share)], ["i", "share"])
+
+    if bad and good:
+        shares = docs.sparkSession.range(0, len(toxic), BATCH).mapInArrow(own_votes, "i long, share double").toArrow().sort_by("i")
+        slope, shift = curve(shares.column("share").to_numpy(), toxic)
+
     @F.arrow_udf("struct<score:double,evidence:array<string>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, factor, votes = sent.value
-        ballot, known = built(key, lambda: (Votes(*votes, len(vocabulary), prior, neighbours), Remembered(numbered(vocabulary))))
+        (vocabulary, factor, _), (ballot, known) = sent.value, ready()
         kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.string()))])
         for texts in batches:
             shares, near = [np.zeros(0)], []
             for i in range(0, len(texts), BATCH):
-                found = ballot.of([weighed(terms, n, factor, unseen * unseen * rest) for terms, n, rest in (counted(t, known, np.int64) for t in texts[i : i + BATCH])])
+                found = ballot.of(asked(texts[i : i + BATCH], known, factor, unseen))
                 shares.append(found[0])
                 near += found[1]
             share = np.concatenate(shares)

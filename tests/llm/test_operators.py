@@ -4,11 +4,13 @@ import collections
 import hashlib
 import io
 import math
+import os
 import re
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -439,6 +441,36 @@ def test_words_that_no_example_has_weigh(spark):
     assert got[101].score < got[100].score
 
 
+def test_words_of_a_batch_are_counted_at_once():
+    vocabulary = np.unique(np.array([h for w in (b"vile", b"rottenness") for h in toxicity.term_hashes(w)], np.uint64))
+    known = toxicity.Numbered(vocabulary)
+    texts = pa.array(["vile VILE new new rottenly", None, "", "rottenness rotten"])
+    n, doc, term, weight = toxicity.asked(texts, known, np.array([1.0, 2.0, 3.0]), 5.0)
+    place = {h: i for i, h in enumerate(vocabulary.tolist())}
+    vile, (whole, stem) = place[toxicity.term_hashes(b"vile")[0]], (place[h] for h in toxicity.term_hashes(b"rottenness"))
+    log2 = 1 + math.log(2)
+    first = np.linalg.norm([log2 * (vile + 1), stem + 1, log2 * 5, 5])
+    last = np.linalg.norm([whole + 1, stem + 1, 5])
+    want = {(0, vile): log2 * (vile + 1) / first, (0, stem): (stem + 1) / first, (3, whole): (whole + 1) / last, (3, stem): (stem + 1) / last}
+    assert n == 4 and {k: w for *k, w in zip(doc.tolist(), term.tolist(), weight.tolist(), strict=True) for k in [tuple(k)]} == pytest.approx(want)
+
+
+def test_examples_vote_on_themselves_in_tasks(spark, monkeypatch):
+    """The driver builds no index: it would hold all that a task's search needs."""
+
+    driver, make = os.getpid(), toxicity.BlockMaxIndex.__init__
+
+    def made(self, *given):
+        assert os.getpid() != driver
+        make(self, *given)
+
+    docs = spark.createDataFrame([(i, f"vile rotten nasty w{i}" if i % 2 else f"lake river stone w{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    want = sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(docs, labels).collect())
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "__init__", made)
+    assert sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(docs, labels).collect()) == want
+
+
 def test_stems_end_with_a_letter():
     assert toxicity.stem_of("überéal".encode(), 6) == "über".encode()
     assert toxicity.stem_of("abcdéf".encode(), 6) == "abcdé".encode()

@@ -47,15 +47,20 @@ def pages(chunks: list[tuple[tuple[int, int, int, int], int, int, int]], at: int
 
 
 def file_bytes(points: pa.Table, low: tuple[float, float, float], side: float, scale: float, crs: str | None, form: int, page_depth: int) -> bytes:
-    """A whole file. Points are in the order of their nodes; the hierarchy is an extended record at the end."""
+    """A whole file. Points are in the order of their nodes; the hierarchy is an extended record at the end. Counts of returns that
+    are too large for their field stand in extra bytes of the records, beside the most that the field holds."""
     keys = np.stack([points.column(c).to_numpy() for c in ("d", "kx", "ky", "kz")], axis=1).astype(np.int64)
     order = np.lexsort(keys.T[::-1])
     columns = {c: points.column(c).to_numpy()[order] for c in COLUMNS if c in points.column_names}
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
     ends = np.append(starts[1:], len(keys))
-    raw, size = las.encoded(columns, form, [scale] * 3, list(low)), las.LAYOUTS[form].itemsize
+    extra = las.too_wide(columns)
+    raw = las.encoded(columns, form, [scale] * 3, list(low), extra)
+    size = len(raw) // len(keys)
     records = [record(copc.CRS_USER, copc.CRS_RECORD, crs.encode() + b"\0")] if crs else []
+    if extra:
+        records.append(record(copc.EXTRA_USER, copc.EXTRA_RECORD, b"".join(struct.pack(copc.EXTRA, las.WIDE_TYPE, 0, c.encode()) for c in extra)))
     data_at = HEADER + RECORD_HEAD + INFO + sum(map(len, records))
     evlr_at = data_at + len(raw)
     page_at = evlr_at + LONG_HEAD

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pointquarry.sources.http import reader_of
+from pointquarry.sources.las import EXTRA_TYPES, LAYOUTS, WIDE
 from pointquarry.stores import opened
 
 # Fixed values of the public format: the length of the header part read, places in it, and the layout of its fields.
@@ -23,6 +24,7 @@ ENTRY = "<4iQ2i"
 HEADER_SIZE_AT, RECORDS_AT, LONG_RECORDS_AT = 94, 100, 235
 RECORD, LONG_RECORD = "<2x16sHH32x", "<2x16sHQ32x"
 CRS_USER, CRS_RECORD = b"LASF_Projection", 2112
+EXTRA_USER, EXTRA_RECORD, EXTRA = b"LASF_Spec", 4, "<2xBB32s156x"
 FORM_AT, RECORD_AT = 104, 105
 SCALE_AT, OFFSET_AT, BOUNDS_AT, COUNT_AT = 131, 155, 179, 247
 
@@ -50,21 +52,44 @@ def read_range(path: str, begin: int, end: int, attempts: int = 4, wait_s: float
     return data
 
 
-def crs_of(path: str, raw: bytes, reader: ReadRange) -> str | None:
-    """The reference system in well-known text, from the records behind the header or at the
-    end of the file; null without one. Only the heads of records are read, and the text."""
+def records_of(path: str, raw: bytes, reader: ReadRange) -> Iterator[tuple[bytes, int, int, int]]:
+    """User, kind, place and size of each record behind the header and at the end of the file. Only the heads of records are read."""
     starts = [(struct.unpack_from("<H", raw, HEADER_SIZE_AT)[0], struct.unpack_from("<I", raw, RECORDS_AT)[0], RECORD)]
     starts.append((*struct.unpack_from("<QI", raw, LONG_RECORDS_AT), LONG_RECORD))
     for at, n, layout in starts:
         head = struct.calcsize(layout)
         for _ in range(n):
             user, kind, size = struct.unpack(layout, reader(path, at, at + head))
-            if user.rstrip(b"\0") == CRS_USER and kind == CRS_RECORD:
-                return reader(path, at + head, at + head + size).rstrip(b"\0").decode() or None if size else None
+            yield user.rstrip(b"\0"), kind, at + head, size
             at += head + size
+
+
+def crs_of(path: str, raw: bytes, reader: ReadRange) -> str | None:
+    """The reference system in well-known text, from the records behind the header or at the
+    end of the file; null without one. Only the heads of records are read, and the text."""
+    for user, kind, at, size in records_of(path, raw, reader):
+        if user == CRS_USER and kind == CRS_RECORD:
+            return reader(path, at, at + size).rstrip(b"\0").decode() or None if size else None
     return None
 
 
+def extra_of(path: str, raw: bytes, reader: ReadRange) -> list[tuple[str, str, int]]:
+    """Columns of ``WIDE`` that extra bytes of the records hold whole: (column, type, place in the record)."""
+    form, record = struct.unpack_from("<BH", raw, FORM_AT)
+    form &= 0x3F
+    if form not in LAYOUTS or record == LAYOUTS[form].itemsize:
+        return []
+    found, place = [], LAYOUTS[form].itemsize
+    for user, kind, at, size in records_of(path, raw, reader):
+        if user == EXTRA_USER and kind == EXTRA_RECORD:
+            for number, options, name in struct.iter_unpack(EXTRA, reader(path, at, at + size)):
+                column, known = name.rstrip(b"\0").decode("latin-1"), EXTRA_TYPES.get(number)
+                if column in WIDE and known:
+                    found.append((column, known, place))
+                place += int(known[-1]) if known else options
+    return found
+
+
 def header_of(path: str, reader: ReadRange) -> dict:
     raw = reader(path, 0, HEADER_BYTES)
     if raw[:4] != b"LASF" or raw[377:381] != b"copc":
@@ -87,9 +112,9 @@ def header_of(path: str, reader: ReadRange) -> dict:
 
 
 def point_header_of(path: str, reader: ReadRange) -> dict:
-    """The header with the format of point records and their length."""
+    """The header with the format of point records, their length, and the columns in their extra bytes."""
     raw = reader(path, 0, HEADER_BYTES)
-    return header_of(path, reader) | {"form": raw[FORM_AT], "record": struct.unpack_from("<H", raw, RECORD_AT)[0]}
+    return header_of(path, reader) | {"form": raw[FORM_AT], "record": struct.unpack_from("<H", raw, RECORD_AT)[0], "extra": extra_of(path, raw, reader)}
 
 
 def entries_of(raw: bytes) -> Iterator[tuple[int, ...]]:

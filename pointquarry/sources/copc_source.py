@@ -170,7 +170,7 @@ class CopcReader(DataSourceReader):
         kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
         for (at, size), raw in by_runs(part.path, list(known), self.max_gap, self.max_bytes):
             _, _, n, key, d, sides = known[at, size]
-            found = las.decoded(raw, n, h["form"] & 0x3F, h["record"], h["scale"], h["offset"], codec)
+            found = las.decoded(raw, n, h["form"] & 0x3F, h["record"], h["scale"], h["offset"], codec, h["extra"])
             whole = {"path": [part.path] * n, "node_key": [key] * n, "d": np.full(n, d)} | {c: np.full(n, v) for c, v in zip(SIDES, sides, strict=True)} | found
             columns = [(c, kinds[t]) for c, t in (x.split() for x in POINTS.split(", "))]
             yield pa.RecordBatch.from_arrays([pa.array(whole[c]).cast(t) if c in whole else pa.nulls(n, t) for c, t in columns], names)

@@ -135,3 +135,16 @@ def test_names_of_stores():
     assert store_uri("/x/a:b") == "/x/a:b"
     with pytest.raises(ValueError, match="no byte reader"):
         store_uri("what://x")
+
+
+def test_more_returns_than_their_field_holds(spark, tmp_path):
+    from pointquarry.sinks.copc import write_copc
+
+    points = spark.range(40).selectExpr("0 as d", "0 as kx", "0 as ky", "0 as kz", "id * 1.0D as x", "0D as y", "0D as z", "cast(id as int) as return_number", "cast(id * 100 as int) as number_of_returns")
+    write_copc(points, str(tmp_path), (0.0, 0.0, 0.0), 64.0, 0.5, crs="some text").collect()
+    register(spark)
+    got = spark.read.format("copc").option("table", "points").load(str(tmp_path)).select("x", "return_number", "number_of_returns").collect()
+    assert sorted(tuple(r) for r in got) == [(float(i), i, i * 100) for i in range(40)]
+    assert spark.read.format("copc").option("table", "headers").load(str(tmp_path)).first().crs == "some text"
+    with pytest.raises(ValueError, match="number_of_returns does not fit"):
+        las.encoded({a: np.zeros(1) for a in "xyz"} | {"number_of_returns": np.array([16])}, 6, [1.0] * 3, [0.0] * 3)

@@ -33,7 +33,8 @@ def copc_points(spark, sf):
     """What the decoded records of all files hold, by node and class: numbers and sums, coordinates in hundredths."""
     p = files(spark, sf, "points")
     sums = {"intensity": "intensity", "return_number": "returns", "number_of_returns": "of_returns", "point_source_id": "sources", "gps_time": "pulses", "red": "red", "green": "green", "blue": "blue"}
-    return p.groupBy("node_key", "classification").agg(F.count("*").alias("n"), *[F.sum(F.round(F.col(a) * 100).cast("long")).alias(a) for a in "xyz"], *[F.sum(c).alias(n) for c, n in sums.items()])
+    value = {"point_source_id": F.col("point_source_id") % 65536}
+    return p.groupBy("node_key", "classification").agg(F.count("*").alias("n"), *[F.sum(F.round(F.col(a) * 100).cast("long")).alias(a) for a in "xyz"], *[F.sum(value.get(c, F.col(c))).alias(n) for c, n in sums.items()])
 
 
 @query("keyed", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,8 @@ def pages(chunks: list[tuple[tuple[int, int, int, int], int, int, int]], at: int
 
 
 def file_bytes(points: pa.Table, low: tuple[float, float, float], side: float, scale: float, crs: str | None, form: int, page_depth: int) -> bytes:
-    """A whole file. Points are in the order of their nodes; the hierarchy is an extended record at the end. Counts of returns that
-    are too large for their field stand in extra bytes of the records, beside the most that the field holds."""
+    """A whole file. Points are in the order of their nodes; the hierarchy is an extended record at the end. Counts of returns and ids
+    of sources that are too large for their field stand in extra bytes of the records, beside the most that the field holds."""
     keys = np.stack([points.column(c).to_numpy() for c in ("d", "kx", "ky", "kz")], axis=1).astype(np.int64)
     order = np.lexsort(keys.T[::-1])
     columns = {c: points.column(c).to_numpy()[order] for c in COLUMNS if c in points.column_names}
@@ -84,19 +85,17 @@ def file_bytes(points: pa.Table, low: tuple[float, float, float], side: float, s
 
 
 def write_copc(points: DataFrame, folder: str, low: tuple[float, float, float], side: float, scale: float = 0.01, crs: str | None = None, form: int = 7, file_points: int = FILE_POINTS, page_depth: int = PAGE_DEPTH) -> DataFrame:
-    """Write points with their places in the octree (``d``, ``kx``, ``ky``, ``kz``) to files of about ``file_points`` each, and return
+    """Write points with their places in the octree (``d``, ``kx``, ``ky``, ``kz``) to files of at most ``file_points`` each, and return
     (path, points, bytes) of each file.
 
     A file holds a part of the points of any node and is an octree of its own, so no node is too large for a task: a task holds one file's
-    points. Points are dealt by a hash of all their columns with the place of the row. Columns not in ``COLUMNS`` are left out, missing ones
-    are zero; coordinates become whole multiples of ``scale``. Null values raise. Without points there are no files.
+    points. A task writes its rows as they come, a file after another, so nothing is shuffled. Columns not in ``COLUMNS`` are left out,
+    missing ones are zero; coordinates become whole multiples of ``scale``. Null values raise. Without points there are no files.
     """
     held = points.select("d", "kx", "ky", "kz", *[F.col(c).cast(t).alias(c) for c, t in COLUMNS.items() if c in points.columns])
-    n = held.count()
-    files = max(1, -(-n // file_points))
-    dealt = held.withColumn("file", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files)).cast("int"))
 
-    def write(table: pa.Table) -> pa.Table:
+    def write(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
         if any(c.null_count for c in table.columns):
             raise ValueError("a point with a null value cannot be written")
         raw = file_bytes(table, low, side, scale, crs, form, page_depth)
@@ -105,6 +104,19 @@ def write_copc(points: DataFrame, folder: str, low: tuple[float, float, float],
         system.create_dir(inner.rpartition("/")[0], recursive=True)
         with system.open_output_stream(inner) as f:
             f.write(raw)
-        return pa.table({"path": [path], "points": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(raw)], pa.int64())})
-
-    return dealt.groupBy("file").applyInArrow(write, "path string, points long, bytes long")
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([table.num_rows], pa.int64()), pa.array([len(raw)], pa.int64())], ["path", "points", "bytes"])
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, count = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                rows.append(batch.slice(0, file_points - count))
+                count += rows[-1].num_rows
+                batch = batch.slice(rows[-1].num_rows)
+                if count == file_points:
+                    yield write(rows)
+                    rows, count = [], 0
+        if rows:
+            yield write(rows)
+
+    return held.mapInArrow(of_task, "path string, points long, bytes long")

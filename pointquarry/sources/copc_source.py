@@ -25,6 +25,10 @@ NODES = "path string, node_key string, d int, x int, y int, z int, off long, len
 POINTS = "path string, node_key string, d int, x double, y double, z double, intensity int, return_number int, number_of_returns int, classification int, scan_angle int, user_data int, point_source_id int, gps_time double, withheld boolean, overlap boolean, red int, green int, blue int, nir int, " + ", ".join(f"{s} double" for s in SIDES)
 
 
+#: Points that a batch has at least, but for the last of a part.
+BATCH = 1 << 15
+
+
 def runs_of(ranges: Iterable[tuple[int, int]], max_gap: int, max_bytes: int) -> list[tuple[int, int]]:
     """Reads that cover all ranges (offset, length): in the order of offsets a range joins the read before it where the gap
     and the whole are not too long."""
@@ -109,14 +113,14 @@ def nodes_of(path: str, header: dict, cut: Cut, max_gap: int, max_bytes: int) ->
 
 @dataclass
 class Part(InputPartition):
-    """A file, or a part of its nodes: (key, offset, length, points, depth, sides) each."""
+    """A file, or those of its nodes whose bytes begin from ``begin`` on and before ``end``."""
 
     path: str
-    nodes: list | None = None
-    header: dict | None = None
+    begin: int = 0
+    end: int = 1 << 63
 
-    def __init__(self, path: str, nodes: list | None = None, header: dict | None = None):
-        self.path, self.nodes, self.header = path, nodes, header
+    def __init__(self, path: str, begin: int = 0, end: int = 1 << 63):
+        self.path, self.begin, self.end = path, begin, end
 
 
 class CopcReader(DataSourceReader):
@@ -131,28 +135,23 @@ class CopcReader(DataSourceReader):
         self.cut = Cut.of([f for f in filters if usable(f)])
         return filters
 
-    def files(self) -> list[str]:
+    def files(self) -> list[tuple[str, int]]:
+        """Paths and sizes of the files."""
         system, inner = opened(self.folder)
         prefix = self.folder[: len(self.folder.rstrip("/")) - len(inner.rstrip("/"))]
         info = system.get_file_info(inner)
         if info.type == fs.FileType.File:
-            return [self.folder]
+            return [(self.folder, info.size)]
         found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-        return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(self.pattern))
+        return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(self.pattern))
 
     def partitions(self) -> list[Part]:
-        """A file each; for points the nodes of a file in the order of their offsets, about ``run_bytes`` each. Points are planned
-        from the hierarchies, which the planner reads as far as filters let it."""
+        """A file each; for points each stretch of ``run_bytes`` of a file. The planner lists files and opens none: a task reads
+        the hierarchy of its file, as far as filters let it, and the nodes that begin in its stretch."""
         if self.table != "points":
-            return [Part(f) for f in self.files()]
-        parts = []
-        for path in self.files():
-            header = copc.point_header_of(path, copc.read_range)
-            nodes = sorted((r[6], r[7], r[8], r[1], r[2], r[9:]) for r in nodes_of(path, header, self.cut, self.max_gap, self.max_bytes) if r[8])
-            sizes = np.cumsum([n[1] for n in nodes]) // max(1, self.run_bytes)
-            for k in np.unique(sizes).tolist():
-                parts.append(Part(path, [n for n, s in zip(nodes, sizes.tolist(), strict=True) if s == k], header))
-        return parts
+            return [Part(path) for path, _ in self.files()]
+        step = max(1, self.run_bytes)
+        return [Part(path, at, at + step) for path, size in self.files() for at in range(0, max(1, size), step)]
 
     def read(self, part: Part) -> Iterator[tuple | pa.RecordBatch]:
         if self.table == "headers":
@@ -164,16 +163,39 @@ class CopcReader(DataSourceReader):
             yield from self.points(part)
 
     def points(self, part: Part) -> Iterator[pa.RecordBatch]:
-        h, known = part.header, {(n[0], n[1]): n for n in part.nodes or []}
+        """The points of a part, in batches of whole nodes of about ``BATCH`` points."""
+        h = copc.point_header_of(part.path, copc.read_range)
+        known = {(r[6], r[7]): r for r in nodes_of(part.path, h, self.cut, self.max_gap, self.max_bytes) if r[8] and part.begin <= r[6] < part.end}
         codec = self.codec if h["form"] & las.COMPRESSED else "none"
-        names = [c.split()[0] for c in POINTS.split(", ")]
-        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-        for (at, size), raw in by_runs(part.path, list(known), self.max_gap, self.max_bytes):
-            _, _, n, key, d, sides = known[at, size]
-            found = las.decoded(raw, n, h["form"] & 0x3F, h["record"], h["scale"], h["offset"], codec, h["extra"])
-            whole = {"path": [part.path] * n, "node_key": [key] * n, "d": np.full(n, d)} | {c: np.full(n, v) for c, v in zip(SIDES, sides, strict=True)} | found
-            columns = [(c, kinds[t]) for c, t in (x.split() for x in POINTS.split(", "))]
-            yield pa.RecordBatch.from_arrays([pa.array(whole[c]).cast(t) if c in whole else pa.nulls(n, t) for c, t in columns], names)
+        held: list[tuple[tuple, bytes]] = []
+        count = 0
+        for place, raw in by_runs(part.path, list(known), self.max_gap, self.max_bytes):
+            node = known[place]
+            held.append((node, las.plain_records(raw, node[8], h["record"], codec)))
+            count += node[8]
+            if count >= BATCH:
+                yield batch_of(held, h)
+                held, count = [], 0
+        if held:
+            yield batch_of(held, h)
+
+
+def batch_of(held: list[tuple[tuple, bytes]], h: dict) -> pa.RecordBatch:
+    """The points of nodes (a row of ``nodes_of``, plain records) of a file."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    counts = [node[8] for node, _ in held]
+    n = sum(counts)
+    found = las.decoded(b"".join(raw for _, raw in held), n, h["form"] & 0x3F, h["record"], h["scale"], h["offset"], extra=h["extra"])
+    of_nodes = {"path": 0, "node_key": 1, "d": 2} | {c: 9 + i for i, c in enumerate(SIDES)}
+    columns, names = [], []
+    for name, kind in (x.split() for x in POINTS.split(", ")):
+        if name in of_nodes:
+            column = pa.array([node[of_nodes[name]] for node, _ in held], kinds[kind]).take(pa.array(np.repeat(np.arange(len(held)), counts)))
+        else:
+            column = pa.array(found[name]).cast(kinds[kind]) if name in found else pa.nulls(n, kinds[kind])
+        columns.append(column)
+        names.append(name)
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 class CopcSource(DataSource):

@@ -148,3 +148,44 @@ def test_more_returns_than_their_field_holds(spark, tmp_path):
     assert spark.read.format("copc").option("table", "headers").load(str(tmp_path)).first().crs == "some text"
     with pytest.raises(ValueError, match="number_of_returns does not fit"):
         las.encoded({a: np.zeros(1) for a in "xyz"} | {"number_of_returns": np.array([16])}, 6, [1.0] * 3, [0.0] * 3)
+
+
+def test_ids_of_more_sources_than_their_field_holds(spark, tmp_path):
+    from pointquarry.sinks.copc import write_copc
+
+    points = spark.range(3).selectExpr("0 as d", "0 as kx", "0 as ky", "0 as kz", "id * 1.0D as x", "0D as y", "0D as z", "cast(65535 + id * 100000 as int) as point_source_id", "cast(id * 8 as int) as return_number")
+    write_copc(points, str(tmp_path), (0.0, 0.0, 0.0), 64.0, 0.5).collect()
+    register(spark)
+    got = spark.read.format("copc").option("table", "points").load(str(tmp_path)).select("point_source_id", "return_number").collect()
+    assert sorted(tuple(r) for r in got) == [(65535, 0), (165535, 8), (265535, 16)]
+
+
+def test_points_are_planned_without_opening_files(tmp_path, reads, monkeypatch):
+    n = 5000
+    draw = np.random.default_rng(3)
+    places = {c: draw.integers(0, 8, n) for c in ("kx", "ky", "kz")}
+    table = pa.table({"d": np.full(n, 3), **places, **{a: np.arange(n) * 1.0 for a in "xyz"}})
+    for name in "ab":
+        (tmp_path / f"{name}.copc.laz").write_bytes(sink.file_bytes(table, (0.0, 0.0, 0.0), 8.0, 0.5, None, 6, 2))
+    reader = CopcReader({"path": str(tmp_path), "table": "points", "run_bytes": "10000"})
+    parts = reader.partitions()
+    assert reads == []
+    assert len(parts) > 20
+    batches = [b for part in parts for b in reader.read(part)]
+    assert sorted(x for b in batches for x in b.column("x").to_pylist()) == sorted([*range(n), *range(n)])
+    # Nodes of a part come together, not a batch each.
+    assert len(batches) <= len(parts)
+    keys = {x: k for b in batches for x, k in zip(b.column("x").to_pylist(), b.column("node_key").to_pylist(), strict=True)}
+    assert all(keys[i] == f"3-{x}-{y}-{z}" for i, (x, y, z) in enumerate(zip(*places.values(), strict=True)))
+
+
+def test_files_hold_no_more_points_than_asked(spark, tmp_path):
+    from pointquarry.sinks.copc import write_copc
+
+    points = spark.range(0, 1000, 1, 3).selectExpr("0 as d", "0 as kx", "0 as ky", "0 as kz", "id * 1.0D as x", "0D as y", "0D as z")
+    written = write_copc(points, str(tmp_path), (0.0, 0.0, 0.0), 1024.0, 0.5, file_points=100)
+    assert "Exchange" not in written._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.points for r in written.collect()) == [33, 33, 34] + [100] * 9
+    register(spark)
+    assert sorted(r.x for r in spark.read.format("copc").option("table", "points").load(str(tmp_path)).collect()) == [float(i) for i in range(1000)]
+    assert write_copc(points.limit(0), str(tmp_path / "none"), (0.0, 0.0, 0.0), 1024.0).collect() == []

@@ -41,7 +41,7 @@ def rows_of_joins(node):
     return max([own, *(rows_of_joins(node.children().apply(i)) for i in range(node.children().size()))])
 
 
-@pytest.mark.parametrize("name", ["nearest_in_node"])
+@pytest.mark.parametrize("name", ["nearest_in_node", "snap_point"])
 def test_copies_of_seeds_and_points_do_not_pair(spark, sf_dir, tmp_path, name):
     shifted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").crossJoin(spark.range(30).withColumnRenamed("id", "i"))
     shifted.selectExpr("* except (i, l_orderkey)", "l_orderkey + i * 1500 as l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pointquarry.functions.colors import CHANNELS, class_color, eight_bit, hue_bin, ramp, return_color
 from pointquarry.operators.orderstats import robust_range
+from pointquarry.scratch import small, written
 
 MODES = ("height", "intensity", "classification", "return", "rgb")
 
@@ -30,9 +31,10 @@ def scaled_by_node(points: DataFrame, value: str, by: str = "node_key") -> DataF
 
 
 def true_colored(points: DataFrame, by: str = "node_key") -> DataFrame:
-    """Adds ``color`` of the points' own channels, in 8 bits if their node needs it."""
-    most = F.max(F.greatest(*CHANNELS)).over(W.partitionBy(by))
-    p = points.withColumn("__most", most)
+    """Adds ``color`` of the points' own channels, in 8 bits if their node needs it. A node's largest value comes to its points,
+    which stay where they are."""
+    most = written(points.groupBy(by).agg(F.max(F.greatest(*CHANNELS)).alias("__most")), "channels")
+    p = points.join(small(most), by, "left")
     return p.withColumn("color", F.struct(*[eight_bit(F.col(c), F.col("__most")).cast("int").alias(c) for c in CHANNELS])).drop("__most")
 
 

@@ -110,3 +110,36 @@ def test_pages_of_a_tree(spark):
     with pytest.raises(Exception, match="no such page: 9-9-9-9"):
         trees.asked_documents(spark.createDataFrame([("9-9-9-9",)], "page_key string"), docs).collect()
     assert trees.page_documents(nodes.limit(0), 160.0, "s/").collect() == []
+
+
+def test_a_large_tile_is_packed_in_slices(spark):
+    rows = [(f"0-0-0-{k}", float(i % 97) / 9, 44.0 + i / 1e4, float(k), 300.0 + i, (i * 7919) % 5000) for k, n in ((0, 5000), (1, 3)) for i in range(n)]
+    p = spark.createDataFrame(rows, "node_key string, lon double, lat double, h double, Intensity double, i int").repartition(5)
+    p = p.selectExpr("*", "named_struct('red', i % 256, 'green', 256 + i % 7, 'blue', 255) as color")
+    found = [Attribute("Intensity", "UNSIGNED_SHORT"), Attribute("i", "INT")]
+    args = (found, {"Intensity": "Intensity", "i": "i"}, ["i"])
+    slices = tiles.tile_slices(p, *args, slice_points=300)
+    held = slices.collect()
+    assert sorted(r.first for r in held if r.node_key == "0-0-0-1") == [-1, 0]
+    assert len(held) >= 2 + 17 + 1
+    assert max(len(piece["bytes"]) for r in held for piece in r.pieces) < 6 * 300 + 1
+    assert {(r.node_key, r.n, r.whole) for r in tiles.tile_sizes(slices).collect()} == {("0-0-0-0", 5000, True), ("0-0-0-1", 3, True)}
+    cut = slices.where("first < 600 or first >= 900")
+    assert {(r.node_key, r.whole) for r in tiles.tile_sizes(cut).collect()} == {("0-0-0-0", False), ("0-0-0-1", True)}
+    # The pieces are the tile that is packed at once.
+    own = {k: sorted((r for r in tiles.with_geocentric(p).collect() if r.node_key == k), key=lambda r: r.i) for k in ("0-0-0-0", "0-0-0-1")}
+    for key, points in own.items():
+        once = tiles.tile_bytes(np.array([[r.ex, r.ey, r.ez] for r in points]), np.array([[r.color.red, r.color.green, r.color.blue] for r in points]), [(a, np.array([float(r[a.name]) for r in points])) for a in found])
+        assert tiles.joined([(x["at"], bytes(x["bytes"])) for r in held if r.node_key == key for x in r.pieces]) == once
+    whole = tiles.point_tiles(p, *args)
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    assert read(tiles.slice_points(slices, found)) == read(tiles.tile_points(whole, found))
+
+
+def test_points_stay_in_their_tasks_for_colors(spark):
+    from pointquarry.operators.shading import true_colored
+
+    p = spark.createDataFrame([("a", 256, 0, 512), ("a", 1, 2, 300), ("b", 7, 8, 9)], "node_key string, red int, green int, blue int")
+    colored = true_colored(p)
+    assert "Window" not in colored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r.color) for r in colored.collect()) == [(0, 0, 1), (1, 0, 2), (7, 8, 9)]
